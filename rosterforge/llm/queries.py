@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .language_model import op2_lm_scoring
 from .mixing import op4_mixing
 from .near_dups import op3_ngram_jaccard
 from .quality_model import op6_quality_classifier
@@ -13,6 +14,6 @@ from .tokens import op9_bpe, op10_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_sharding, op8_secret_scan, op9_bpe, op10_token_counts)
+    for f in (op1_exact_dedup, op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_sharding, op8_secret_scan, op9_bpe, op10_token_counts)
 }
 SQL = {"op1_exact_dedup": OP1_SQL}
