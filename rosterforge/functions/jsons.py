@@ -34,9 +34,8 @@ def string_map(c: Column) -> Column:
 
 def nested_keys(c: Column) -> Column:
     """The keys of a JSON object whose values are arrays or objects."""
-    entries = F.map_entries(string_map(c))
-    nested = F.filter(entries, lambda e: e["value"].rlike(r"(?s)^[\[{]") & F.get_json_object(c, F.concat(F.lit("$['"), e["key"], F.lit("']"))).rlike(r"(?s)^[\[{]"))
-    return F.transform(nested, lambda e: e["key"])
+    values = F.map_entries(F.when(is_object(c), F.from_json(c, "map<string,variant>")))
+    return F.transform(F.filter(values, lambda e: F.schema_of_variant(e["value"]).rlike("^(ARRAY|OBJECT)")), lambda e: e["key"])
 
 
 @F.pandas_udf(StringType())

@@ -24,7 +24,7 @@ def build(df: DataFrame) -> DataFrame:
     )
     return df.withColumns(
         {
-            "email_key": text.email_key(F.col("email")), "build_error": error, "payload_metadata": jsons.flattened(F.col("metadata")),
+            "email_key": F.nullif(text.email_key(F.col("email")), F.lit("")), "build_error": error, "payload_metadata": jsons.flattened(F.col("metadata")),
             "payload_hash": F.when(hashed, f("password_hash")), "payload_hash_type": F.when(hashed, f("password_hash_type")), "payload_password": F.when(~hashed, f("password")),
             "verified": text.parse_bool(F.col("email_verified")), "own_roles": text.split_list(F.col("role_slugs")),
         }
