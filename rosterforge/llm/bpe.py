@@ -19,8 +19,9 @@ import regex
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: No piece of the pattern reaches over the end of one of these.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: So many chunks of a task's texts are remembered.
+#: So many chunks of a task's texts are remembered, and as many older ones.
 REMEMBERED = 300_000
+ID = 256
 
 
 class Vocabulary:
@@ -32,7 +33,15 @@ class Vocabulary:
         self.bytes = {i: t for t, i in tokens.items()}
         self.longest = max(map(len, tokens))
         self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
-        self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.fits: dict[int, bool] = {}
+        self.shift = max(tokens.values()).bit_length()
+        self.trie: dict = {}  # by byte; the id of the token that ends at a node is at ID
+        for token, i in tokens.items():
+            if self.made(token):
+                node = self.trie
+                for b in token:
+                    node = node.setdefault(b, {})
+                node[ID] = i
 
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes this one; None for a byte, or for what merges never make."""
@@ -61,13 +70,11 @@ class Vocabulary:
             else:  # of equal merges the left one came first: here a merge across the border at the same rank would have won
                 right, before = self.split(right)[0], b + 1
 
-    def follows(self, left: bytes, right: bytes) -> bool:
-        """Whether the encoding of left + right is these two tokens."""
-        pair = (left, right)
-        if (known := self.fits.get(pair)) is None:
-            if len(self.fits) > 500_000:
-                self.fits.clear()
-            known = self.fits[pair] = self._together(left, right, 1 << 60)
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the encoding of the bytes of two tokens is these two."""
+        if len(self.fits) > 500_000:
+            self.fits.clear()
+        known = self.fits[left << self.shift | right] = self._together(self.bytes[left], self.bytes[right], 1 << 60)
         return known
 
     def made(self, token: bytes) -> bool:
@@ -75,67 +82,70 @@ class Vocabulary:
 
 
 class Prefixes:
-    """A byte string's table of last tokens: last[i] ends the encoding of the first i + 1 bytes, count[i] is its number of tokens."""
+    """A byte string's table of last tokens: last[i] is the id of the token that ends the encoding of the first i bytes."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
         self.vocabulary, self.data = vocabulary, b""
-        self.last: list[bytes] = []
-        self.count: list[int] = []
+        self.last: list[int] = [-1]
         self.append(data)
 
     def append(self, data: bytes) -> None:
-        v, first = self.vocabulary, len(self.data)
+        """Adds bytes at the end. Tokens that reach over the old end begin less than the longest token before it."""
+        v, old = self.vocabulary, len(self.data)
         self.data = text = self.data + data
-        last, count, ids, fits, parts, longest = self.last, self.count, v.ids, v.fits, v.parts, v.longest
-        for end in range(first + 1, len(text) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = text[begin:end]
-                if token not in ids or not (begin + 1 == end or (parts[token] if token in parts else v.split(token))):
-                    continue
-                if begin == 0:
-                    count.append(1)
-                    break
-                left = last[begin - 1]
-                known = fits.get((left, token))
-                if known or known is None and v.follows(left, token):
-                    count.append(count[begin - 1] + 1)
-                    break
-            else:
-                raise ValueError(f"no token for {text[end - 1 : end]!r}")
-            last.append(token)
+        last, trie, fits, follows, shift, size = self.last, v.trie, v.fits, v.follows, v.shift, len(text)
+        last += [-1] * (size - old)
+        for begin in range(max(0, old - v.longest + 1), size):
+            node, end, left = trie, begin, last[begin] << shift
+            while end < size and (node := node.get(text[end])) is not None:
+                end += 1
+                if last[end] < 0 and (token := node.get(ID)) is not None:
+                    if not begin or (fits[pair] if (pair := left | token) in fits else follows(left >> shift, token)):
+                        last[end] = token
+            if last[begin + 1] < 0:
+                raise ValueError(f"no token for {text[begin : begin + 1]!r}")
 
     def replace(self, begin: int, end: int, data: bytes) -> None:
         """Puts data in the place of the bytes from begin to end; what stands before begin is not encoded again."""
         rest = data + self.data[end:]
         self.data = self.data[:begin]
-        del self.last[begin:], self.count[begin:]
+        del self.last[begin + 1 :]
         self.append(rest)
 
-    def tokens(self, end: int | None = None) -> list[bytes]:
+    def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first `end` bytes."""
-        at, out = len(self.last) if end is None else end, []
+        at, out = len(self.data) if end is None else end, []
         while at:
-            out.append(token := self.last[at - 1])
-            at -= len(token)
+            out.append(token := self.last[at])
+            at -= len(self.vocabulary.bytes[token])
         return out[::-1]
 
+    def counts(self) -> list[int]:
+        """The number of tokens of each prefix, the empty one first."""
+        out = [0]
+        for i in range(1, len(self.last)):
+            out.append(out[i - len(self.vocabulary.bytes[self.last[i]])] + 1)
+        return out
+
     def within(self, budget: int) -> int:
         """The longest prefix, in bytes, such that it and all shorter ones have no more than `budget` tokens."""
-        return next((i for i, n in enumerate(self.count) if n > budget), len(self.count))
+        return next((i - 1 for i, n in enumerate(self.counts()) if n > budget), len(self.data))
 
 
 class Remembered(dict):
-    """What `make` gives for a chunk, remembered for the next time. A full memory starts anew, and chunks that occur often are soon back."""
+    """What `make` gives for a string, remembered for the next time. When the memory is full it becomes the older one, from which what is asked for again comes back."""
 
     def __init__(self, make: Callable, limit: int = REMEMBERED):
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, chunk: str):
+    def __missing__(self, asked: str):
+        if (made := self.older.get(asked)) is None:
+            made = self.make(asked)
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        made = self.make(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = made
+        if len(asked) <= 64:
+            self[asked] = made
         return made
 
 
@@ -151,7 +161,7 @@ class Encoder:
         v, data = self.vocabulary, piece.encode()
         if v.made(data):  # the whole piece is one token
             return [v.ids[data]]
-        return [v.ids[t] for t in Prefixes(v, data).tokens()]
+        return Prefixes(v, data).ids()
 
     def chunk_ids(self, chunk: str) -> list[int]:
         return [i for piece in self.pieces.findall(chunk) for i in self.known[piece]]
