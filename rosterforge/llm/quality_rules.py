@@ -124,4 +124,33 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(documents(spark, sf_dir))
+    return quality_rules(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_divergence(a: str, b: str) -> str:
+    """The divergence in SQL, of two lists."""
+    p, q = f"x[1] / list_sum({a})", f"x[2] / list_sum({b})"
+    half = lambda v: f"(CASE WHEN {v} > 0 THEN ({v}) * log2(({v}) / (({p} + {q}) / 2)) ELSE 0 END)"
+    return f"coalesce(CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN list_sum(list_transform(list_zip({a}, {b}), lambda x: ({half(p)} + {half(q)}) / 2)) END, 0)"
+
+
+def _sql() -> str:
+    classes = [f"length(t) - length(regexp_replace(t, '{c.replace(chr(39), chr(39) * 2)}', '', 'g'))" for c in CLASSES.values()]
+    common = " ".join(f"WHEN lang = '{name}' THEN {list(ws)}" for name, ws in COMMON.items())
+    sums = lambda c, n: "[" + ", ".join(f"coalesce(sum({c}[{k}]), 0)::DOUBLE" for k in range(1, n + 1)) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - {WINDOW - 2}), lambda i: {{'i': i, 'w': array_to_string(ws[i:i + {WINDOW - 1}], ' ')}})) AS x FROM d),
+again AS (SELECT doc_id, x.i AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x.w) AS n FROM starts) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS k FROM again) GROUP BY 1),
+f AS (SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '{SYMBOLS}', '', 'g')) AS n_symbols,
+  len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, [{', '.join(classes)}] AS c, list_transform(CASE {common} END, lambda k: len(list_filter(ws, lambda w: lower(w) = k))) AS h FROM d LEFT JOIN covered USING (doc_id)),
+g AS (SELECT *, list_transform(list_append(c, word_chars - list_sum(c)), lambda v: v::DOUBLE) AS chars, list_transform(list_append(h, n_words - list_sum(h)), lambda v: v::DOUBLE) AS common FROM f),
+r AS (SELECT lang AS l, sum(n_words) AS all_words, {sums('chars', len(CLASSES) + 1)} AS all_chars, {sums('common', 13)} AS all_common FROM g GROUP BY 1),
+j AS (SELECT g.*, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, n_words >= {GUARD_WORDS} AND coalesce(all_words, 0) >= {GUARD_REFERENCE} AS judged,
+  {_sql_divergence('chars', 'all_chars')} AS a, {_sql_divergence('common', 'all_common')} AS b FROM g LEFT JOIN r ON l = lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (judged AND (a > {MOST_CHARACTERS} OR b > {MOST_WORDS})) AS kept FROM j"""
+
+
+OP5_SQL = _sql()
