@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -145,8 +145,9 @@ def histogram(df: DataFrame) -> DataFrame:
         ).alias("x")
     ).select("x.*")
     counts = long.groupBy("dimension", "value").agg(F.count("*").alias("errors"))
-    total = classified.agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(total), how="cross").select("dimension", "value", "errors", F.round(F.col("errors") * 100.0 / F.col("total"), 6).alias("percent"))  # one row
+    # each error counts once for its type, once for its status and once for its reason
+    all_errors = F.sum("errors").over(Window.partitionBy(F.when(F.col("dimension").isin("type", "status"), F.col("dimension")).otherwise("reason")))
+    return counts.select("dimension", "value", "errors", F.round(F.col("errors") * 100.0 / all_errors, 6).alias("percent"))
 
 
 def retryability(df: DataFrame) -> DataFrame:

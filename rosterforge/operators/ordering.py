@@ -9,9 +9,16 @@ from ..schema import RECORD
 
 
 def with_record_number(df: DataFrame, first: int = 1, name: str = RECORD) -> DataFrame:
-    """Rows numbered in the order in which they are read, without gaps: each partition counts its rows, and goes on from those before it."""
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + first))
-    return df.sparkSession.createDataFrame(numbered, df.schema.add(name, "long", False))
+    """Rows numbered in the order in which they are read, without gaps: each partition's rows go on from those of the partitions before it, which are counted first.
+
+    df must give the same partitions whenever it is read, as files do.
+    """
+    ided = df.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.expr("shiftright(__id, 33)"))
+    counts = ided.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__begins"))  # a row per partition
+    number = F.col("__begins") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + first
+    return ided.join(F.broadcast(begins), "__p").withColumn(name, number).drop("__id", "__p", "__begins")
 
 
 def number_by(df: DataFrame, *order: str, first: int = 1, name: str = RECORD, buckets: int = 64) -> DataFrame:

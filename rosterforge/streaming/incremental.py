@@ -31,10 +31,11 @@ def finished_chunks(spark: SparkSession, table: str) -> DataFrame | None:
 
 def progress(chunks: DataFrame, total: int) -> DataFrame:
     """One row: chunks done, percent, and the time left by the mean of the last five durations. chunks: chunk_id, duration_ms."""
-    last = chunks.where("duration_ms is not null").orderBy(F.desc("chunk_id")).limit(5)
-    return chunks.agg(F.count("*").alias("done")).join(last.agg(F.avg("duration_ms").alias("mean_ms")), how="cross").select(
-        "done", F.round(F.col("done") * 100.0 / max(1, total)).cast("int").alias("percent"), (F.col("mean_ms") * (total - F.col("done"))).alias("left_ms")
-    )
+    timed = F.filter(F.sort_array(F.collect_list(F.struct("chunk_id", "duration_ms")), asc=False), lambda x: x["duration_ms"].isNotNull())
+    last = F.transform(F.slice(timed, 1, 5), lambda x: x["duration_ms"].cast("double"))
+    mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(last), F.lit(0))
+    done = chunks.agg(F.count("*").alias("done"), mean.alias("mean_ms"))
+    return done.select("done", F.round(F.col("done") * 100.0 / max(1, total)).cast("int").alias("percent"), (F.col("mean_ms") * (total - F.col("done"))).alias("left_ms"))
 
 
 def stream_users(spark: SparkSession, path: str, schema: str, files_each: int = 8) -> DataFrame:
