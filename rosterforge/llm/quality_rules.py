@@ -107,9 +107,9 @@ def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
     """
     found = written(features(docs, key, text, lang), "quality-features")
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)])
-    reference = found.groupBy("lang").agg(
-        F.sum("n_words").alias("all_words"), sums("chars", len(CLASSES) + 1).alias("all_chars"), sums("common", 13).alias("all_common")
-    )
+    totals = found.groupBy("lang").agg(F.sum("n_words").alias("all_words"), sums("chars", len(CLASSES) + 1).alias("all_chars"), sums("common", 13).alias("all_common"))
+    # written, so that its size is known when the join is planned: few languages are broadcast, and texts are not dealt out by language
+    reference = written(totals, "quality-references")
     doubles = lambda c: F.transform(c, lambda v: v.cast("double"))
     judged = found.join(reference, "lang", "left").select(
         *[c for c in found.columns if c not in ("lang", "chars", "common")],
