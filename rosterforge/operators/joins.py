@@ -144,6 +144,18 @@ def resolve_orgs(rows: DataFrame, orgs: DataFrame, create_missing: bool = False)
     return joined.withColumns({"resolved_org_id": resolved, "org_error": F.when(lost, F.concat(F.lit("Organization not found: "), F.coalesce(text.filled(F.col("org_id")), text.filled(F.col("org_external_id")))))}).drop("__key", "__known", "__id")
 
 
+def resolve_one(orgs: DataFrame, org_id: str | None = None, external_id: str | None = None, create_missing: bool = False) -> str | None:
+    """The id of the one organisation that a whole load is for; None if none is named, an error if it is not there."""
+    if not org_id and not external_id:
+        return None
+    found = orgs.where(F.col("id") == org_id if org_id else F.col("external_id") == external_id).select("id").first()
+    if found:
+        return found.id
+    if create_missing and external_id:
+        return f"org_dryrun_{external_id}"
+    raise LookupError(f"Organization not found: {org_id or external_id}")
+
+
 def lookup_statistics(rows: DataFrame, key: Column) -> DataFrame:
     """Hits and misses of a lookup that keeps every key: the first row of a key misses."""
     counts = rows.agg(F.count(key).alias("lookups"), F.countDistinct(key).alias("misses"))
@@ -159,6 +171,11 @@ def export_members(orgs: DataFrame, members: DataFrame, users: DataFrame, allowe
     return chosen.join(members, "org_id").join(users, "user_id", "left")
 
 
+def export_summary(exported: DataFrame) -> DataFrame:
+    """One row: rows exported and skipped (by skip_reason), distinct organisations."""
+    return exported.agg(F.count_if(F.col("skip_reason").isNull()).alias("users_exported"), F.count_if(F.col("skip_reason").isNotNull()).alias("users_skipped"), F.countDistinct("org_external_id").alias("organizations"))
+
+
 def totp_from_csv(df: DataFrame) -> DataFrame:
     """(email_key, secret) of rows that have both."""
     return df.select(RECORD, text.email_key(F.col("email")).alias("email_key"), text.filled(F.col("totp_secret")).alias("secret")).where((F.col("email_key") != "") & F.col("secret").isNotNull())

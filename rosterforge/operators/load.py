@@ -94,6 +94,11 @@ def total_of_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.agg(*[F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(k) for k in counters()]).withColumn("status", status_label(F.col("successes"), F.col("failures")))
 
 
-def error_records(found: DataFrame) -> DataFrame:
-    """The failed rows as records for the error log."""
-    return found.where(F.col("error_type").isNotNull()).select(F.col(RECORD).alias("recordNumber"), F.col("email_key").alias("email"), F.col("error_type").alias("errorType"), F.col("error").alias("errorMessage"))
+def error_records(found: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """The failed rows as records for the error log; with `rows`, those as they were read go along as rawRow (see sinks.files.redacted)."""
+    failed = found.where(F.col("error_type").isNotNull())
+    records = failed.select(F.col(RECORD).alias("recordNumber"), F.col("email_key").alias("email"), F.col("error_type").alias("errorType"), F.col("error").alias("errorMessage"))
+    if rows is None:
+        return records
+    raw = F.map_from_entries(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in rows.columns if c != RECORD]))
+    return records.join(rows.select(F.col(RECORD).alias("recordNumber"), raw.alias("rawRow")), "recordNumber")

@@ -65,3 +65,49 @@ def load(rows: DataFrame, client, rate: float = 50.0, tasks: int = 8, require_me
             yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in RESULT.split(",")])
 
     return rows.repartition(tasks, "email").sortWithinPartitions("record_number").mapInPandas(run, RESULT)
+
+
+def enroll(planned: DataFrame, client, rate: float = 50.0, tasks: int = 4) -> DataFrame:
+    """(record_number, outcome): enrolls the TOTP secret of each planned record (joins.plan_totp). client: enroll_factor(user_id, secret) -> status; an existing factor (409) counts as skipped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(rate / tasks)
+        for batch in batches:
+            out = []
+            for row in batch.itertuples():
+                if row.outcome != "enroll":
+                    out.append((row.record_number, row.outcome))
+                    continue
+
+                def once(row=row):
+                    bucket.acquire()
+                    status = client.enroll_factor(row.user_id, row.secret)
+                    if status == 429 or status >= 500:
+                        raise RetryAfter(status)
+                    return status
+
+                try:
+                    status = with_retry(once)
+                except RetryAfter as e:
+                    status = e.status
+                out.append((row.record_number, "enrolled" if status in (200, 201) else "skipped" if status == 409 else "failed"))
+            yield pd.DataFrame(out, columns=["record_number", "outcome"])
+
+    return planned.repartition(tasks, "record_number").mapInPandas(run, "record_number long, outcome string")
+
+
+def ensure(wanted: DataFrame, create, most: int = 100_000) -> dict[str, int]:
+    """Creates the rows of a small dimension (organisations, roles, permissions) one by one on the driver: {created, existed, failed}. create(row) -> status. Gives up when more than a tenth fail.
+
+    A dimension of more than `most` rows is refused: it goes through load() instead.
+    """
+    rows = wanted.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    found = {"created": 0, "existed": 0, "failed": 0}
+    for row in rows:
+        status = create(row.asDict())
+        found["created" if status in (200, 201) else "existed" if status == 409 else "failed"] += 1
+        if found["failed"] > max(1, 0.1 * len(rows)):
+            raise RuntimeError(f"{found['failed']} of {len(rows)} rows failed")
+    return found

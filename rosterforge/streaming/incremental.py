@@ -29,6 +29,16 @@ def finished_chunks(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(table).select("chunk_id").distinct()
 
 
+def last_job(spark: SparkSession, folder: str) -> str | None:
+    """The name of the folder inside `folder` that was changed last; None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    jobs = [(s.getModificationTime(), s.getPath().getName()) for s in files.listStatus(path) if s.isDirectory()]
+    return max(jobs)[1] if jobs else None
+
+
 def progress(chunks: DataFrame, total: int) -> DataFrame:
     """One row: chunks done, percent, and the time left by the mean of the last five durations. chunks: chunk_id, duration_ms."""
     timed = F.filter(F.sort_array(F.collect_list(F.struct("chunk_id", "duration_ms")), asc=False), lambda x: x["duration_ms"].isNotNull())
