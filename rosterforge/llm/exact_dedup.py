@@ -16,20 +16,17 @@ def bucket_directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int =
 
     keys: a column slot, one row per distinct key. A bucket of local depth d holds the keys that agree in the first d bits of
     their hash. It is split, which doubles the directory where d was the global depth, while it has more than capacity keys.
-    So each slot's local depth is the first depth at which its prefix has no more keys than that. Buckets that
+    So the buckets are the prefixes that have no more keys than that while the prefix one bit shorter has more. Buckets that
     are overfull at max_depth stay so: their keys are chained. The directory has at most 2 ** max_depth rows.
     """
     slots = keys.groupBy("slot").agg(F.count("*").alias("keys"))
     at_depth = slots.select("slot", "keys", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    prefix = F.expr(f"shiftright(slot, {max_depth} - depth)")
-    fits = at_depth.groupBy("depth", prefix.alias("prefix")).agg(F.sum("keys").alias("keys")).where((F.col("keys") <= capacity) | (F.col("depth") == max_depth))
-    return (
-        at_depth.select("slot", "depth", prefix.alias("prefix"))
-        .join(fits.select("depth", "prefix"), ["depth", "prefix"])
-        .groupBy("slot")
-        .agg(F.min("depth").alias("depth"))
-        .select("slot", "depth", F.expr(f"shiftright(slot, {max_depth} - depth) << ({max_depth} - depth)").alias("bucket"))
-    )
+    prefixes = at_depth.groupBy("depth", F.expr(f"shiftright(slot, {max_depth} - depth)").alias("prefix")).agg(F.sum("keys").alias("keys"))
+    fits = written(prefixes.where((F.col("keys") <= capacity) | (F.col("depth") == max_depth)).select("depth", "prefix"), "exact-prefixes")
+    halves = fits.select((F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+    leaves = fits.join(halves, ["depth", "prefix"], "left_anti")  # those whose undivided bucket did not fit
+    begin, size = F.expr(f"prefix << ({max_depth} - depth)"), F.expr(f"1 << ({max_depth} - depth)")
+    return leaves.select(F.explode(F.sequence(begin, begin + size - 1)).alias("slot"), "depth", begin.alias("bucket"))
 
 
 def exact_index(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -63,10 +60,11 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
     # columns are renamed at once, so that further columns of the input cannot clash
     named = docs.select(F.col(key).alias("doc_id"), ascii_lower(whole(text)).alias("body"))
     index = exact_index(docs, key, text, capacity, max_depth)
-    sought = named.select("doc_id", F.sha2("body", 256).alias("digest"))
-    once = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("place")) == 1
+    # rows are numbered before the join, so that nothing after it keeps the rows of a frequent text together
+    once = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("doc_id")) == 1
+    sought = named.select("doc_id", F.sha2("body", 256).alias("digest")).withColumn("once", once)
     return sought.join(index, "digest").select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & once).alias("kept"), F.col("digest").alias("text_sha256"), "bucket", F.col("place").alias("chain")
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("once")).alias("kept"), F.col("digest").alias("text_sha256"), "bucket", F.col("place").alias("chain")
     )
 
 
