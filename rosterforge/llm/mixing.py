@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 from collections.abc import Sequence
 
@@ -40,7 +41,7 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, mo
 
 
 class Flow:
-    """Min-cost flow by shortest augmenting paths; integer capacities, costs of 0 or more."""
+    """Min-cost flow; integer capacities, costs of 0 or more. Each phase finds the shortest distances and then fills all shortest paths at once, so there are no more phases than path costs."""
 
     def __init__(self):
         self.arcs: list[list] = []  # to, capacity left, cost; arc k ^ 1 is the way back
@@ -58,29 +59,67 @@ class Flow:
 
     def run(self, source: object, sink: object) -> None:
         potential = dict.fromkeys(self.out, 0)
-        while True:
-            far, by, heap, tie = {source: 0}, {}, [(0, 0, source)], 0
-            while heap:
-                d, _, x = heapq.heappop(heap)
-                if d > far[x]:
-                    continue
-                for k in self.out[x]:
-                    y, capacity, cost = self.arcs[k]
-                    if capacity > 0 and (new := d + cost + potential[x] - potential[y]) < far.get(y, float("inf")):
-                        far[y], by[y], tie = new, k, tie + 1
-                        heapq.heappush(heap, (new, tie, y))
-            if sink not in far:
-                return
+        while (far := self._distances(source, potential)).get(sink) is not None:
             reach = max(far.values())
-            potential = {x: p + far.get(x, reach) for x, p in potential.items()}
-            path, x = [], sink
-            while x != source:
-                path.append(by[x])
-                x = self.arcs[by[x] ^ 1][0]
-            amount = min(self.arcs[k][1] for k in path)
-            for k in path:
-                self.arcs[k][1] -= amount
-                self.arcs[k ^ 1][1] += amount
+            for x in potential:
+                potential[x] += far.get(x, reach)
+            while (level := self._levels(source, potential)).get(sink) is not None:
+                at = {x: iter(ks) for x, ks in self.out.items()}
+                while self._fill(source, sink, potential, level, at):
+                    pass
+
+    def _open(self, x: object, k: int, potential: dict) -> bool:
+        """Whether an arc has room and lies on shortest paths."""
+        y, capacity, cost = self.arcs[k]
+        return capacity > 0 and cost + potential[x] == potential[y]
+
+    def _distances(self, source: object, potential: dict) -> dict:
+        far, heap, tie = {source: 0}, [(0, 0, source)], 0
+        while heap:
+            d, _, x = heapq.heappop(heap)
+            if d > far[x]:
+                continue
+            for k in self.out[x]:
+                y, capacity, cost = self.arcs[k]
+                if capacity > 0 and (new := d + cost + potential[x] - potential[y]) < far.get(y, float("inf")):
+                    far[y], tie = new, tie + 1
+                    heapq.heappush(heap, (new, tie, y))
+        return far
+
+    def _levels(self, source: object, potential: dict) -> dict:
+        level, queue = {source: 0}, [source]
+        for x in queue:
+            for k in self.out[x]:
+                y = self.arcs[k][0]
+                if y not in level and self._open(x, k, potential):
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        return level
+
+    def _fill(self, source: object, sink: object, potential: dict, level: dict, at: dict) -> bool:
+        """Sends what fits along one path of growing levels. Arcs that lead nowhere are not tried again."""
+        path, x = [], source
+        while x != sink:
+            for k in at[x]:
+                y = self.arcs[k][0]
+                if level.get(y) == level[x] + 1 and self._open(x, k, potential):
+                    path.append(k)
+                    x = y
+                    break
+            else:
+                if not path:
+                    return False
+                x = self.arcs[path.pop() ^ 1][0]
+        amount = min(self.arcs[k][1] for k in path)
+        for k in path:
+            self.arcs[k][1] -= amount
+            self.arcs[k ^ 1][1] += amount
+        # an arc of the path may have room left: its turn comes again
+        x = source
+        for k in path:
+            at[x] = itertools.chain([k], at[x])
+            x = self.arcs[k][0]
+        return True
 
 
 def route(patterns: dict[str, tuple[list[str | None], int]], quota: dict[str | None, float], most: int = MOST_REPEATS) -> dict[str, int]:
@@ -104,7 +143,7 @@ def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text
     the mix takes of the row, its size times 0 to `most`. Which rows are taken once more than the others of their pattern is drawn by a hash of doc_id and seed, so a rerun agrees.
     Then, in up to ROUNDS rounds, one more row of each pattern is put in or left out where that brings the pattern's words nearer their quota. Repeated rows are rows of their own; an empty table gives no rows.
     """
-    pattern = F.to_json(F.array_sort(F.array_distinct(members)))
+    pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string"))))))
     sizes = written(docs.select(docs[key].alias("doc_id"), pattern.alias("pattern"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(docs[key], F.lit(seed)).alias("draw")), "mix-sizes")
     totals = sizes.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
@@ -174,7 +213,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; rows without words are not taken."""
+    """The rows of docs, each as often as the mix takes it; rows without words are not taken. Rows that share a doc_id are taken as often as the one taken most."""
     rows, _ = mix(docs, F.array(docs[source]), key, text, **options)
     times = rows.where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("__times")).select(F.col("doc_id").alias("__doc_id"), "__times")
     chosen = docs.join(times, docs[key].eqNullSafe(times["__doc_id"])).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times"))))

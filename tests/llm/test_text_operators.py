@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -229,6 +231,39 @@ def test_flow_prefers_fewer_repeats():
     assert mixing.route({"x": (["a"], 10)}, {"a": 100}) == {"x": 30}
 
 
+def test_flow_is_best_of_all():
+    """As many words as the quotas allow, at the least cost of repetition."""
+    rng = random.Random(1)
+
+    def cost(words, taken):
+        return sum((2 * r - 1) * max(0, min(words, taken - (r - 1) * words)) for r in (1, 2, 3))
+
+    for _ in range(60):
+        names = ["a", "b", "c"][: rng.randint(1, 3)]
+        patterns = {str(i): (rng.sample(names, rng.randint(1, len(names))), rng.randint(1, 3)) for i in range(rng.randint(1, 3))}
+        quota = {s: rng.randint(0, 6) for s in names}
+        subsets = [set(c) for k in range(1, len(names) + 1) for c in itertools.combinations(names, k)]
+
+        def fits(x, patterns=patterns, quota=quota, subsets=subsets):
+            return all(sum(v for v, (m, _) in zip(x, patterns.values(), strict=True) if set(m) <= sub) <= sum(quota[s] for s in sub) for sub in subsets)
+
+        value = lambda x, ps=patterns: (-sum(x), sum(cost(w, v) for v, (_, w) in zip(x, ps.values(), strict=True)))
+        best = min(value(x) for x in itertools.product(*[range(3 * w + 1) for _, w in patterns.values()]) if fits(x))
+        found = mixing.route(patterns, quota)
+        assert fits(tuple(found.values())) and value(tuple(found.values())) == best
+
+
+def test_overlapping_sources(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "w " * (1 + i % 7), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(300)]
+    df = spark.createDataFrame([*rows, (999, "x y", None)], "doc_id long, text string, sources array<string>")
+    made, sources = mixing.mix(df, F.col("sources"))
+    found = made.collect()
+    assert len(found) == 301 and {r.pattern for r in found} == {'["a","b"]', '["a"]', '["b"]', "[null]"}
+    assert sum(r.taken for r in found) == pytest.approx(sum(t for _, t in sources.values()), rel=0.02) and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in found)
+
+
 def test_mix_of_whole_table(spark):
     docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = mixing.op4_mixing(spark, "/root/testdata/sf0.01").collect()
