@@ -234,6 +234,10 @@ def test_group_ids(spark):
 def test_record_numbers(spark):
     df = spark.range(1000).repartition(7)
     assert [r[0] for r in ordering.number_by(df, "id").where("record_number != id + 1").collect()] == []
+    pairs = spark.createDataFrame([(k % 3, f"v{k:03}") for k in range(200)] + [(None, "x")], "a int, b string")
+    found = [tuple(r) for r in ordering.number_by(pairs, "a", "b", buckets=7).orderBy("record_number").collect()]
+    assert [r[2] for r in found] == list(range(1, 202)) and [r[:2] for r in found] == [(None, "x"), *sorted((k % 3, f"v{k:03}") for k in range(200))]
+    assert ordering.number_by(pairs.limit(0), "a").count() == 0
     assert sorted(r.record_number for r in ordering.with_record_number(df).collect()) == list(range(1, 1001))
 
 
