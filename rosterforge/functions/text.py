@@ -137,8 +137,8 @@ def message_pattern(c: Column) -> Column:
 
 def api_error_text(code: Column, errors: Column) -> Column:
     """code: message; code: message ... of an array of structs with code and message; the outer code where there are none."""
-    each = F.transform(errors, lambda e: F.concat_ws(": ", e["code"], e["message"]))
-    return F.when(F.size(errors) > 0, F.concat_ws("; ", F.nullif(code, F.lit("")), F.array_join(each, "; "))).otherwise(code)
+    each = F.transform(errors, lambda e: F.concat_ws(": ", F.coalesce(e["code"], F.lit("unknown")), F.nullif(e["message"], F.lit(""))))
+    return F.when(F.size(errors) > 0, F.array_join(each, "; ")).otherwise(F.coalesce(code, F.lit("unknown_error")))
 
 
 def scope_key(org_id: Column, external_id: Column) -> Column:
@@ -168,3 +168,10 @@ def format_duration(ms: float) -> str:
     seconds = int(ms // 1000)
     hours, minutes, rest = seconds // 3600, seconds % 3600 // 60, seconds % 60
     return f"{hours}h {minutes}m {rest}s" if hours else f"{minutes}m {rest}s" if minutes else f"{rest}s"
+
+
+def rough_duration(ms: float) -> str:
+    """Seconds below a minute, minutes below an hour, else hours and minutes."""
+    if ms < 60_000:
+        return f"{round(ms / 1000)}s"
+    return f"{round(ms / 60_000)}m" if ms < 3_600_000 else f"{int(ms // 3_600_000)}h {round(ms % 3_600_000 / 60_000)}m"

@@ -74,7 +74,7 @@ def parse_role_definitions(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     require_columns(df, ["role_slug", "role_name", "role_type", "permissions"])
     c = lambda name: text.filled(F.col(name)) if name in df.columns else F.lit(None).cast("string")
-    kind = F.lower(c("role_type"))
+    kind = c("role_type")
     org = F.coalesce(c("org_id"), c("org_external_id"))
     rows = df.select(
         RECORD, c("role_slug").alias("slug"), c("role_name").alias("name"), kind.alias("type"), F.coalesce(text.split_list(F.col("permissions")), F.array().cast("array<string>")).alias("permissions"),

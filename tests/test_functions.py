@@ -93,3 +93,9 @@ def test_transformers_registry(spark):
 def test_unique_suffix_and_durations(spark):
     assert values(spark, lambda c: text.unique_suffix(c, "7"), "a@b.c", "id", "") == ["a+7@b.c", "id_7", None]
     assert [text.format_duration(x) for x in (5_000, 65_000, 3_725_000)] == ["5s", "1m 5s", "1h 2m 5s"]
+    assert [text.rough_duration(x) for x in (5_000, 125_000, 3_900_000)] == ["5s", "2m", "1h 5m"]
+
+
+def test_api_errors(spark):
+    df = spark.sql("select 'c' as code, array(named_struct('code', 'a', 'message', 'x'), named_struct('code', null, 'message', '')) as some, cast(array() as array<struct<code:string,message:string>>) as none, cast(null as string) as gone")
+    assert tuple(df.select(text.api_error_text(F.col("code"), F.col("some")), text.api_error_text(F.col("code"), F.col("none")), text.api_error_text(F.col("gone"), F.col("none"))).first()) == ("a: x; unknown", "c", "unknown_error")
