@@ -11,6 +11,7 @@ import base64
 import functools
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import regex
@@ -19,8 +20,10 @@ import regex
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: No piece of the pattern reaches over the end of one of these.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: So many chunks of a task's texts are remembered, and as many older ones.
-REMEMBERED = 300_000
+#: So many chunks of a worker's texts are remembered, and as many older ones; the same holds for pieces. About 80 MB each.
+REMEMBERED = 200_000
+#: Pairs of tokens of which it is remembered whether one follows the other.
+PAIRS = 200_000
 ID = 256
 
 
@@ -72,7 +75,7 @@ class Vocabulary:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether the encoding of the bytes of two tokens is these two."""
-        if len(self.fits) > 500_000:
+        if len(self.fits) >= PAIRS:
             self.fits.clear()
         known = self.fits[left << self.shift | right] = self._together(self.bytes[left], self.bytes[right], 1 << 60)
         return known
@@ -157,14 +160,18 @@ class Encoder:
         self.pieces = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"(?!\S)", rf"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
         self.known = Remembered(self.piece_ids)
 
-    def piece_ids(self, piece: str) -> list[int]:
+    def piece_ids(self, piece: str) -> bytes:
+        """The ids of a piece, packed as little-endian unsigned 32-bit integers."""
         v, data = self.vocabulary, piece.encode()
-        if v.made(data):  # the whole piece is one token
-            return [v.ids[data]]
-        return Prefixes(v, data).ids()
+        ids = [v.ids[data]] if v.made(data) else Prefixes(v, data).ids()  # the whole piece may be one token
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def packed(self, chunk: str) -> bytes:
+        return b"".join([self.known[piece] for piece in self.pieces.findall(chunk)])
 
     def chunk_ids(self, chunk: str) -> list[int]:
-        return [i for piece in self.pieces.findall(chunk) for i in self.known[piece]]
+        data = self.packed(chunk)
+        return list(struct.unpack(f"<{len(data) // 4}I", data))
 
     def ids(self, text: str) -> list[int]:
         return [i for c in CHUNK.findall(text) for i in self.chunk_ids(c)]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import re
-import struct
 from collections.abc import Callable
 
 import numpy as np
@@ -28,12 +27,7 @@ def memory(kind: str, path: str, make: Callable) -> Remembered:
 
 def packed(encoder: Encoder, path: str) -> Remembered:
     """A chunk's ids as little-endian unsigned 32-bit integers."""
-
-    def make(chunk: str) -> bytes:
-        ids = encoder.chunk_ids(chunk)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    return memory("packed", path, make)
+    return memory("packed", path, encoder.packed)
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -72,7 +66,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public
 
     def make(texts: list[str]) -> dict[str, list]:
         encoder, added = json_encoder(path, pattern)
-        known = memory("count", path, lambda chunk: len(encoder.chunk_ids(chunk)))
+        known = memory("count", path, lambda chunk: len(encoder.packed(chunk)) // 4)
         special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         out: dict[str, list] = {"n_bytes": [], "n_tokens": [], "over_limit": [], "limit_bytes": []}
         for x in texts:
