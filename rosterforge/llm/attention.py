@@ -7,6 +7,7 @@ are rows of tables by symbol, so a position costs some look-ups and the small pr
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,8 @@ WIDTH, CLASSES, OPENING = 16, 64, 32
 STEP = 8
 #: Blocks worked on at a time.
 BATCH = 256
+#: Positions of a part of a sequence that is learned from, a multiple of STEP, and of a step of learning.
+LONGEST, POSITIONS = 512, 2048
 END, BYTES = 0, 256
 
 
@@ -116,20 +119,52 @@ def gradients(m: Model, last: np.ndarray, then: np.ndarray, first: np.ndarray) -
     d_weights = d_read @ values.transpose(0, 2, 1)
     d_scores = weights * (d_weights - (weights * d_weights).sum(axis=2, keepdims=True))
     scaled = d_scores * np.float32(WIDTH**-0.5)
-    tables = [np.zeros_like(t) for t in (m.query, m.key, m.value)]
-    np.add.at(tables[0], last, scaled @ m.key[seen])
-    np.add.at(tables[1], seen, scaled.transpose(0, 2, 1) @ m.query[last])
-    np.add.at(tables[2], seen, weights.transpose(0, 2, 1) @ d_read)
+    def to_keys(d_window: np.ndarray) -> np.ndarray:
+        """Of what windows give their keys: by position. A block's keys are those of the next block's window too, unless that begins a sequence (it gives nothing then)."""
+        own = d_window[:, STEP:].copy()
+        own[:-1] += d_window[1:, :STEP]
+        return own
+
+    by_position = np.concatenate([scaled @ m.key[seen], to_keys(scaled.transpose(0, 2, 1) @ m.query[last]), to_keys(weights.transpose(0, 2, 1) @ d_read)], axis=2).reshape(-1, 3 * WIDTH)
+    order = np.argsort(x, kind="stable")
+    begins = np.flatnonzero(np.diff(x[order], prepend=-1))
+    tables = np.zeros((len(m.query), 3 * WIDTH), m.query.dtype)
+    tables[x[order][begins]] = np.add.reduceat(by_position[order], begins)
     near = np.bincount(np.maximum(DISTANCE, 0).ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=2 * STEP).astype(np.float32)
-    return [*tables, near, flat.T @ d]
+    return [*np.split(tables, 3, axis=1), near, flat.T @ d]
 
 
-def learn(m: Model, sequences: list[np.ndarray], rate: float, batch: int = 16) -> None:
-    """One pass of Adam over sequences."""
+def pieces(sequence: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, bool]]:
+    """Parts of a sequence that together foretell each of its symbols once, and whether the part's first block is only there to be looked back at: blocks and windows are those of the whole sequence."""
+    for a in range(0, len(sequence) - 1, longest):
+        yield sequence[max(0, a - STEP) : a + longest + 1], a > 0
+
+
+def gathered(parts: Iterable[tuple[np.ndarray, bool]], positions: int = POSITIONS) -> Iterator[list[tuple[np.ndarray, bool]]]:
+    """The parts in lists of at least so many positions, but for the last."""
+    own, n = [], 0
+    for part in parts:
+        own.append(part)
+        n += len(part[0])
+        if n >= positions:
+            yield own
+            own, n = [], 0
+    if own:
+        yield own
+
+
+def descend(m: Model, batches: Iterable[list[tuple[np.ndarray, bool]]], rate: float) -> None:
+    """One step of Adam for each batch of parts."""
     moments = [[np.zeros_like(t), np.zeros_like(t)] for t in m.learned()]
-    for step, a in enumerate(range(0, len(sequences), batch), 1):
-        last, then, first, _ = blocks(sequences[a : a + batch])
+    for step, parts in enumerate(batches, 1):
+        last, then, first, begins = blocks([s for s, _ in parts])
+        then[begins[[goes_on for _, goes_on in parts]]] = -1
         for t, g, (one, two) in zip(m.learned(), gradients(m, last, then, first), moments, strict=True):
             one += 0.1 * (g - one)
             two += 0.01 * (g * g - two)
             t -= (rate * one / (1 - 0.9**step) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+
+def learn(m: Model, sequences: list[np.ndarray], rate: float, batch: int = 16) -> None:
+    """One pass of Adam over sequences."""
+    descend(m, ([(s, False) for s in sequences[a : a + batch]] for a in range(0, len(sequences), batch)), rate)

@@ -1,9 +1,8 @@
 """Scores of texts under a causal self-attention model over subword ids, and under word counts.
 
 A text is its words, lower-cased in A-Z, and an end. The model sees each word's subword ids; ids that are not among the most frequent are spelled in
-bytes, so that every text has a probability. Counts come from all training texts: of words by a shuffle, of symbols after symbols within words from the counted words, and of what begins and
-ends texts. What follows from word to word is counted, and attention is learned, on passages of every training text; tasks each learn from a share of them, over a few rounds after each of which
-their tables are averaged.
+bytes, so that every text has a probability. Counts come from all training texts, of words and of symbols after symbols. Attention is learned from every symbol of every training text once,
+whatever the size of the table: each text belongs to one of a few rounds, tasks each learn from their texts of a round, and after it their tables are averaged.
 """
 
 from __future__ import annotations
@@ -18,22 +17,18 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .attention import BYTES, CLASSES, END, OPENING, Model, blocks, learn, scored, start
+from .attention import BYTES, CLASSES, END, OPENING, Model, blocks, descend, gathered, pieces, scored, start
 from .bpe import Remembered
 from .common import documents, whole, written
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Symbols; words of a passage, of which a text gives one for each EACH characters and at least one; characters in which a passage is looked for.
-SYMBOLS, PASSAGE, EACH, SIGHT = 2048, 12, 6000, 300
-#: Rounds of learning; tasks of a round, whose tables (400 KB each) are averaged on the driver, one for each SHARE texts; rate of the first round.
-ROUNDS, TASKS, SHARE, RATE = 2, 48, 2000, 0.02
-#: A round makes more passes over few passages: as many as bring all rounds together to so many passages, yet no more than MOST_PASSES.
-LEAST_LEARNED, MOST_PASSES = 200_000, 12
+SYMBOLS = 2048
+#: Rounds of learning, which share the training texts out; rate of the first round; numbers of a slice of the tables, which are averaged slice by slice on executors.
+ROUNDS, RATE, SLICE = 2, 0.02, 4096
 #: Words by falling count that every scoring task holds, at most, and their bytes; the others' counts are joined.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Words whose symbols a worker remembers, and as many older ones.
@@ -67,9 +62,6 @@ class Alphabet:
         enc = subwords(path)
         own = {i: BYTES + 1 + k for k, i in enumerate(chosen)}
         spelled = [[own[i]] if i in own else [1 + b for b in enc.decode_single_token_bytes(i)] for i in range(enc.n_vocab)]
-        self.length = np.array([len(x) for x in spelled])
-        self.begin = np.cumsum(self.length) - self.length
-        self.flat = np.array([s for x in spelled for s in x], np.int32)
         packed = [np.array(x, "<u2").tobytes() for x in spelled]
         encode = enc.encode_ordinary
         #: A word's symbols, packed.
@@ -80,9 +72,9 @@ class Alphabet:
     def spell(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2").astype(np.int32)
 
-    def symbols(self, ids: np.ndarray) -> np.ndarray:
-        size = self.length[ids]
-        return self.flat[np.repeat(self.begin[ids] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+    def sequence(self, words: list[bytes]) -> np.ndarray:
+        """The words' symbols between an END and another."""
+        return np.concatenate([[END], self.spell(words), [END]]).astype(np.int32)
 
 
 @functools.lru_cache(1)
@@ -152,67 +144,25 @@ def frequent_ids(counts: DataFrame, path: str, n: int) -> list[int]:
     return [r.id for r in by_id.where(~F.col("id").isin(sorted(single))).orderBy(F.desc("c"), "id").limit(n).collect()]
 
 
-def pair_counts(rows: DataFrame, pairs_of, n: int) -> np.ndarray:
-    """The n x n table of what pairs_of(batch) adds to an array of n * n counts."""
+def symbol_counts(train: DataFrame, chosen: list[int], path: str) -> np.ndarray:
+    """How often each symbol follows each (n x n) in all texts of a column text, END standing for the begin of a text too. Each task counts what it reads in a table of that size."""
+    n = BYTES + 1 + len(chosen)
 
     def run(batches):
-        total = np.zeros(n * n, np.int64)
+        letters, total = alphabet(tuple(chosen), path), np.zeros(n * n, np.int64)
         for batch in batches:
-            pairs_of(batch, total)
+            for text in batch.column(0).to_pylist():
+                s = letters.sequence(words_of(text)).astype(np.int64)
+                np.add.at(total, s[:-1] * n + s[1:], 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "c"])
 
-    pairs = rows.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()  # n * n rows at most
+    pairs = train.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).toPandas()  # n * n rows at most
     table = np.zeros(n * n)
     table[pairs["pair"].to_numpy(np.int64)] = pairs["c"].to_numpy(float)
     return table.reshape(n, n)
 
 
-def symbol_counts(counts: DataFrame, found: DataFrame, chosen: list[int], path: str, held: float = 20.0) -> np.ndarray:
-    """How often each symbol follows each (n x n), END standing for the begin of a text too.
-
-    Within words that is counted; so is what begins a text, and what its last symbol is. The other words' last symbols are followed by words' first symbols in the shares that these have in
-    the passages after that symbol, mixed with those after any symbol, which count as much as `held` occurrences.
-    """
-    n = BYTES + 1 + len(chosen)
-
-    def within_words(batch, total):
-        letters = alphabet(tuple(chosen), path)
-        ids, owner, c = counted_ids(batch, path)
-        s, owner = letters.symbols(ids), np.repeat(owner, letters.length[ids])
-        if len(s):
-            new = np.diff(owner, prepend=-1) > 0
-            np.add.at(total, np.where(new, n, np.roll(s, 1)) * (n + 1) + s, c[owner])
-            ends = np.append(new[1:], True)
-            np.add.at(total, s[ends] * (n + 1) + n, c[owner[ends]])
-
-    def between_words(batch, total):
-        opens = alphabet(tuple(chosen), path).opens
-        s = np.frombuffer(b"".join(batch.column("symbols").to_pylist()), "<u2").astype(np.int64)
-        ends = np.cumsum(pc.binary_length(batch.column("symbols")).to_numpy(zero_copy_only=False) // 2)
-        inside = np.ones(len(s), bool)
-        inside[ends[ends < len(s)]] = False  # no pair reaches from one passage to the next
-        pair = opens[s] & inside & (s != END)
-        pair[:1] = False
-        at = np.flatnonzero(pair)
-        at = at[s[at - 1] != END]
-        np.add.at(total, s[at - 1] * n + s[at], 1)
-        for a, b in (("", "begins"), ("ends", "")):
-            known = batch.column(a or b).drop_null().to_numpy(zero_copy_only=False)
-            np.add.at(total, known * n + END if a else END * n + known, 1)
-
-    words = pair_counts(counts, within_words, n + 1)
-    across = pair_counts(found, between_words, n)
-    begins, ends = across[END].copy(), across[:, END].copy()
-    across[END] = across[:, END] = 0
-    first = words[n, :n] - begins
-    share = (across + held * first / max(1.0, first.sum())) / (across.sum(axis=1, keepdims=True) + held)
-    after = words[:n, :n] + np.maximum(words[:n, n] - ends, 0)[:, None] * share
-    after[END] += begins
-    after[:, END] += ends
-    return after
-
-
 def shares(after: np.ndarray, opens: np.ndarray, held: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The model's fixed tables. A symbol's share after another is mixed with its share in all, which counts as much as `held` occurrences.
 
@@ -241,71 +191,51 @@ def text_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(p, begins) / math.log(10)
 
 
-def edge_words(text: str) -> list[bytes]:
-    """The first and the last word; none of a text without words."""
-    found = []
-    for part, k in ((text[: 10 * SIGHT], 0), (text[-10 * SIGHT :], -1)):
-        words = words_of(part)
-        if len(part) < len(text) and len(words) < 2:  # the word may go on beyond what is looked at
-            words = words_of(text)
-        found += words[k:][:1]
-    return found
-
-
-def passages(train: DataFrame, chosen: list[int], path: str) -> DataFrame:
-    """(symbols, begins, ends): PASSAGE words of each EACH characters of a text, at a place drawn by the checksum of its first characters; with the text's first passage
-    come its first and last symbol, which are null elsewhere and for a text without words."""
-
-    def run(batches):
-        letters = alphabet(tuple(chosen), path)
-        for batch in batches:
-            out: list[tuple] = []
-            for text in batch.column(0).to_pylist():
-                draw = zlib.crc32(text[:64].encode("utf-8", "surrogatepass"))
-                edges = [int(letters.spell([w])[k]) for w, k in zip(edge_words(text), (0, -1), strict=False)] or [None, None]
-                for begin in range(0, max(1, len(text)), EACH):
-                    at = begin + draw % max(1, min(EACH, len(text) - begin) - SIGHT + 1)
-                    words = words_of(text[at : at + SIGHT])
-                    words = words[at > 0 : len(words) - (at + SIGHT < len(text))]  # cut words go
-                    ends = at + SIGHT >= len(text) and len(words) <= PASSAGE
-                    ids = letters.spell(words[:PASSAGE])
-                    lead, tail = ([END] if at == 0 else []), ([END] if ends else [])
-                    out.append((np.concatenate([lead, ids, tail]).astype("<u2").tobytes(), *(edges if begin == 0 else (None, None))))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)], ["symbols", "begins", "ends"])
-
-    return train.mapInArrow(run, "symbols binary, begins long, ends long")
-
-
-def taught(model: Model, learned_from: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """The model after learning: in each round every task makes one pass over its passages, or more if they are few, and the tables are averaged by the tasks' numbers of passages."""
-    spark = learned_from.sparkSession
-    passes = max(1, min(MOST_PASSES, LEAST_LEARNED // (rounds * max(1, learned_from.count()))))
+def taught(model: Model, train: DataFrame, chosen: list[int], path: str, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """The model after learning from all texts of a column text. A text's hash says in which round it is learned from, once; the tasks' tables are averaged by the numbers of symbols."""
+    spark = train.sparkSession
     for r in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches, shared=shared, r=r):
             own = shared.value
             own = Model(*(getattr(own, f).copy() for f in Model.LEARNED), own.after, own.inside, own.classes)
-            n = 0
-            for batch in batches:
-                found = [np.frombuffer(x, "<u2").astype(np.int32) for x in batch.column("symbols").to_pylist()]
-                found = [x for x in found if len(x) > 1]
-                for k in range(passes if found else 0):
-                    learn(own, found, rate / (1 + 2 * r + k))
-                n += len(found)
+            letters, n = alphabet(tuple(chosen), path), 0
+
+            def parts():
+                nonlocal n
+                for batch in batches:
+                    for text in batch.column(0).to_pylist():
+                        s = letters.sequence(words_of(text))
+                        n += len(s) - 1
+                        yield from pieces(s)
+
+            descend(own, gathered(parts()), rate / (1 + 2 * r))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([b"".join(t.tobytes() for t in own.learned())], pa.binary())], ["n", "tables"])
-
-        made = learned_from.mapInArrow(run, "n long, tables binary").collect()  # one row of 400 KB for each task, of which there are TASKS at most
-        if not made:
-            return model
-        total = sum(np.frombuffer(x.tables, np.float32).astype(float) * x.n for x in made) / sum(x.n for x in made)
-        at, tables = 0, []
-        for t in model.learned():
-            tables.append(total[at : at + t.size].reshape(t.shape).astype(np.float32))
-            at += t.size
-        model = Model(*tables, model.after, model.inside, model.classes)
+                flat = np.concatenate([t.ravel() for t in own.learned()])
+                cut = [flat[a : a + SLICE].astype(float) * n for a in range(0, len(flat), SLICE)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int64()), pa.array([n] * len(cut), pa.int64()), pa.array([x.tobytes() for x in cut], pa.binary())], ["slice", "n", "sums"])
+
+        def add(batches):
+            found: dict[int, tuple[int, np.ndarray]] = {}
+            for batch in batches:
+                for k, n, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    m, so_far = found.get(k, (0, 0.0))
+                    found[k] = m + n, so_far + np.frombuffer(sums)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.int64()), pa.array([n for n, _ in found.values()], pa.int64()), pa.array([x.tobytes() for _, x in found.values()], pa.binary())], ["slice", "n", "sums"]
+            )
+
+        columns = "slice long, n long, sums binary"
+        of_round = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        made = sorted(of_round.mapInArrow(run, columns).repartition("slice").mapInArrow(add, columns).collect())  # the tables once: 800 KB
+        if made:
+            flat = np.concatenate([np.frombuffer(x.sums) / x.n for x in made])
+            at, tables = 0, []
+            for t in model.learned():
+                tables.append(flat[at : at + t.size].reshape(t.shape).astype(np.float32))
+                at += t.size
+            model = Model(*tables, model.after, model.inside, model.classes)
         shared.unpersist()
     return model
 
@@ -338,26 +268,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))) % FOLDS == 0
     train = named.where(~out).select("text")
     counts = written(word_counts(train), "lm-words")
-    of_all = [F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(STOP), F.col("c"))), F.lit(0)).alias("texts")]
-    totals = counts.agg(*of_all).first()
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = math.log10(totals.n + 0.1 * (totals.v + 1))
     chosen = frequent_ids(counts, path, SYMBOLS - BYTES - 1)
-    found = written(passages(train, chosen, path), "lm-passages")
-    model = start(*shares(symbol_counts(counts, found, chosen, path), alphabet(tuple(chosen), path).opens))
-    model = taught(model, found.repartition(min(TASKS, totals.texts // SHARE + 1)))
+    model = start(*shares(symbol_counts(train, chosen, path), alphabet(tuple(chosen), path).opens))
+    model = taught(model, train, chosen, path)
     head, in_head = head_words(counts)
     shared = spark.sparkContext.broadcast((model, head))  # tables of a fixed size and HEAD words
 
     def run(batches):
         model, head = shared.value
-        letters, border = alphabet(tuple(chosen), path), np.array([END], np.int32)
+        letters = alphabet(tuple(chosen), path)
         for batch in batches:
             for a in range(0, batch.num_rows, 250):
                 part = batch.slice(a, 250)
                 split = [[*words_of(t), STOP] for t in part.column(1).to_pylist()]
                 sizes = np.array([len(ws) for ws in split])
                 begins = np.cumsum(sizes) - sizes
-                sequences = [np.concatenate([border, letters.spell(ws[:-1]), border]) for ws in split]
+                sequences = [letters.sequence(ws[:-1]) for ws in split]
                 flat = [w for ws in split for w in ws]
                 c = np.fromiter(map(head.get, flat, itertools.repeat(0)), np.int64, len(flat))
                 base = np.where(c > 0, np.log10(c + 0.1) - least, 0.0)

@@ -310,6 +310,42 @@ def test_language_model_of_odd_rows(spark):
     assert language_model.score(df.limit(0)).count() == 0
 
 
+def test_symbols_are_counted_over_whole_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(3000)), "x" * 9000 + " y", "", "one two"]
+    chosen = language_model.subword_ids([b"alpha", b"beta", b"one"], RANKS).tolist()
+    letters, n = language_model.alphabet(tuple(chosen), RANKS), 257 + len(chosen)
+    expected = np.zeros((n, n))
+    for t in texts:
+        s = letters.sequence(language_model.words_of(t)).tolist()
+        for a, b in itertools.pairwise(s):
+            expected[a, b] += 1
+    found = language_model.symbol_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), chosen, RANKS)
+    assert (found == expected).all()
+
+
+def test_every_symbol_is_learned_from_once(spark, monkeypatch, tmp_path):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 5, 600, 9000]))) + str(k) for k in range(40)]
+
+    def seen(m, batches, rate, folder=str(tmp_path)):
+        with open(f"{folder}/{random.Random().getrandbits(64)}", "w") as out:
+            for parts in batches:
+                _, then, _, begins = attention.blocks([s for s, _ in parts])
+                then[begins[[goes_on for _, goes_on in parts]]] = -1
+                print(*then[then >= 0].tolist(), file=out)
+
+    monkeypatch.setattr(language_model, "descend", seen)
+    letters = language_model.alphabet((), RANKS)
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    model = attention.start(*language_model.shares(np.ones((257, 257)), letters.opens))
+    made = language_model.taught(model, train, [], RANKS)
+    counted = Counter(int(x) for f in tmp_path.iterdir() for x in f.read_text().split())
+    expected = Counter(s for t in texts for s in letters.sequence(language_model.words_of(t))[1:].tolist())
+    assert counted == expected
+    assert all(np.allclose(a, b) for a, b in zip(made.learned(), model.learned(), strict=True))
+
+
 def small_model(n=8):
     rng = np.random.default_rng(1)
     after = rng.random((n, n)) * 30
@@ -335,6 +371,17 @@ def test_attention_gives_probabilities_and_each_position_once():
     assert np.allclose(a[:39], b[:39])
 
 
+def test_parts_have_the_windows_of_their_sequence():
+    m, rng = small_model()
+    m.out[:] = rng.standard_normal(m.out.shape) * 0.5
+    s = np.concatenate([[0], rng.integers(1, 8, 77)]).astype(np.int32)
+    together = attention.scored(m, *attention.blocks([s])[:3]).ravel()[:77]
+    found = []
+    for part, goes_on in attention.pieces(s, 2 * attention.STEP):
+        found.extend(attention.scored(m, *attention.blocks([part])[:3]).ravel()[attention.STEP * goes_on : len(part) - 1])
+    assert np.allclose(found, together)
+
+
 def test_attention_gradients():
     m, rng = small_model()
     m.out[:] = rng.standard_normal(m.out.shape) * 0.3
