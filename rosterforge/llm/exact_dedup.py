@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, documents, whole, written
+from .common import LOWER, UPPER, ascii_lower, documents, numbered, whole, written
 
 #: A bucket with more distinct keys than this is split, up to a directory of 2 ** MAX_DEPTH slots.
 CAPACITY, MAX_DEPTH = 256, 12
@@ -69,10 +69,10 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows that stay, with the columns of docs. Rows that repeat both doc_id and text of the row that stays are left to their owner: each stays."""
-    index = exact_index(docs, key, text).select(F.col("keep_id").alias("__stays"), F.col("digest").alias("__digest"))
-    same_text = F.sha2(ascii_lower(whole(docs[text])), 256) == index["__digest"]
-    return docs.join(index, same_text & docs[key].eqNullSafe(index["__stays"]), "left_semi")
+    """One row of each text, with the columns of docs: the one of the largest doc_id, and of rows that repeat doc_id and text any one."""
+    rows = numbered(docs, "exact-rows")
+    stays = exact_index(rows.withColumn("__at", F.struct(rows[key], rows["__row"])), "__at", text).select(F.col("keep_id")["__row"].alias("__stays"))
+    return rows.join(stays, rows["__row"] == stays["__stays"], "left_semi").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, whole, written
+from .common import WORD, documents, numbered, whole, written
 
 WEIGHTS, MOST_REPEATS, SEED = (5.0, 2.0, 1.0), 3, 20
 #: Documents are told apart by the sets of sources they belong to. More such sets than this are refused, as their totals go through the driver.
@@ -136,15 +136,15 @@ def route(patterns: dict[str, tuple[list[str | None], int]], quota: dict[str | N
     return {p: sum(map(flow.taken, ks)) for p, ks in levels.items()}
 
 
-def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED) -> tuple[DataFrame, dict]:
-    """(doc_id, pattern, size, taken) of each row, and {source: (size, target)}.
+def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, carried: Sequence[str] = ()) -> tuple[DataFrame, dict]:
+    """(doc_id, pattern, size, taken) and the columns carried, of each row, and {source: (size, target)}.
 
     members: the array of a row's sources, of which a null is one too; a row of several may be taken for any of them. size: words of the text, none for a null text. taken: words that
     the mix takes of the row, its size times 0 to `most`. Which rows are taken once more than the others of their pattern is drawn by a hash of doc_id and seed, so a rerun agrees.
     Then, in up to ROUNDS rounds, one more row of each pattern is put in or left out where that brings the pattern's words nearer their quota. Repeated rows are rows of their own; an empty table gives no rows.
     """
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string"))))))
-    sizes = written(docs.select(docs[key].alias("doc_id"), pattern.alias("pattern"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(docs[key], F.lit(seed)).alias("draw")), "mix-sizes")
+    sizes = written(docs.select(docs[key].alias("doc_id"), pattern.alias("pattern"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(docs[key], F.lit(seed)).alias("draw"), *carried), "mix-sizes")
     totals = sizes.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
     if len(totals) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
@@ -173,7 +173,7 @@ def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text
     reached = F.col("cut_begins") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
     drawn = written(
         planned.withColumn("reached", reached).select(
-            "doc_id", "pattern", "size", "draw", "times", "rest",
+            "doc_id", "pattern", "size", "draw", "times", "rest", *carried,
             F.when(F.col("rest") == 0, False).when(F.col("cut").isNull(), True).when(F.col("bucket") == F.col("cut"), F.col("reached") <= F.col("rest")).otherwise(F.col("bucket") < F.col("cut")).alias("more"),
         ),
         "mix-drawn",
@@ -195,7 +195,7 @@ def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text
             break
     result = drawn.join(_turns(spark, turned), ["pattern", "draw", "size"], "left")
     taken = F.col("size") * (F.col("times") + (F.col("more") != F.col("turn").isNotNull()).cast("long"))
-    return result.select("doc_id", "pattern", "size", taken.alias("taken")), {s: (sources[s], quota[s]) for s in sources}
+    return result.select("doc_id", "pattern", "size", taken.alias("taken"), *carried), {s: (sources[s], quota[s]) for s in sources}
 
 
 def _turns(spark: SparkSession, turned: dict[tuple[str, int, int], bool]) -> DataFrame:
@@ -213,11 +213,12 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; rows without words are not taken. Rows that share a doc_id are taken as often as the one taken most."""
-    rows, _ = mix(docs, F.array(docs[source]), key, text, **options)
-    times = rows.where("taken > 0").groupBy("doc_id").agg(F.max(F.expr("taken div size")).alias("__times")).select(F.col("doc_id").alias("__doc_id"), "__times")
-    chosen = docs.join(times, docs[key].eqNullSafe(times["__doc_id"])).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return chosen.select(*[docs[c] for c in docs.columns])
+    """The rows of docs, each as often as the mix takes it; rows without words are not taken."""
+    own = numbered(docs, "mix-rows")
+    rows, _ = mix(own, F.array(own[source]), key, text, carried=["__row"], **options)
+    times = rows.where("taken > 0").select(F.col("__row").alias("__taken"), F.expr("taken div size").alias("__times"))
+    chosen = own.join(times, own["__row"] == times["__taken"]).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    return chosen.select(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -446,3 +446,29 @@ def test_pipeline(spark):
         made = stage(spark, docs.limit(0), sf)
         assert made.columns == docs.columns and made.count() == 0
     assert exact_dedup.drop_copies(docs).count() >= near_dups.keep_one_each(docs).count()
+
+
+def test_stages_with_repeated_ids_and_rows(spark):
+    from pyspark.sql import functions
+
+    from rosterforge.llm import exact_dedup, near_dups
+
+    schema = "doc_id long, text string, lang string, source string"
+    some = lambda rows: spark.createDataFrame([(*r, "en", "s") for r in rows], schema).repartition(3)
+    found = lambda df: sorted((r.doc_id or 0, r.text) for r in df.collect())
+    assert found(exact_dedup.drop_copies(some([(1, "A"), (2, "a"), (2, "a"), (2, "b"), (None, "c"), (None, "c")]))) == [(0, "c"), (2, "a"), (2, "b")]
+    long = " ".join(f"w{k}" for k in range(100))
+    near = some([(1, long), (1, long), (2, long + " x"), (2, "all else that is said here"), (1, "one more of the id one"), (None, "no id at all in here"), (None, "no id at all in here")])
+    assert found(near_dups.keep_one_each(near)) == sorted([(0, "no id at all in here"), (1, long), (1, "one more of the id one"), (2, "all else that is said here")])
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en'").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    good = [i for i in sorted(r.doc_id for r in labels.where("quality = 1").collect()) if i in texts][:40]
+    junk = "#$%& |<>* " * 60
+    kept = quality_model.keep_good(some([*((i, texts[i]) for i in good), (-1, texts[good[0]]), (-1, junk)]), labels)
+    assert found(kept) == sorted([*((i, texts[i]) for i in good), (-1, texts[good[0]])])
+    rows = [(7, f"{k} " + "w " * (k % 5)) for k in range(60)]
+    rows += [(8, "of another source"), (8, "w " * 500)]
+    taken = Counter(found(mixing.apply_mix(spark.createDataFrame([(*r, "en", "t" if r[0] == 7 else "s") for r in rows], schema))))
+    own = spark.createDataFrame([(*r, "en", "t" if r[0] == 7 else "s") for r in rows], schema)
+    made, _ = mixing.mix(own, functions.array("source"))
+    assert sum(n * len(WORD.findall(t)) for (_, t), n in taken.items()) == sum(r.taken for r in made.collect())
