@@ -17,10 +17,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN_LEAST = 6
-#: Where a value is looked at by its guess cost: after more names than the base kinds know, and with more characters in the value.
+#: Where a value is looked at by its guess cost: after more names than the base kinds know, and with more characters in the value. A value in quotes that close on its line is all between them.
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|credentials?|auth(?:orization)?|private[_-]?key|access[_-]?key|client[_-]?secret)"""
-    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:bearer\x20+|basic\x20+)?["']?([^\s"'`<>,;(){}\[\]|]+)""",
+    r"""["']?\x20*(?::=|=>|[:=])\x20*(?:bearer\x20+|basic\x20+)?"""
+    r"""(?:"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|["']?([^\s"'`<>,;(){}\[\]|]+))""",
     re.IGNORECASE | re.ASCII,
 )
 NEAR = re.compile(r"pass|pwd|secret|token|key|credential|auth", re.IGNORECASE | re.ASCII)
@@ -124,7 +125,7 @@ def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
     base, values = [], []
     if NEAR.search(text):
         base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
-        values = [(m.start(1), m.end(1), guess_cost(m[1])) for m in CONTEXT.finditer(text)]
+        values = [(*m.span(m.lastindex), guess_cost(m[m.lastindex])) for m in CONTEXT.finditer(text)]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()

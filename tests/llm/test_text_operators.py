@@ -103,6 +103,15 @@ def test_secret_spans(spark):
         assert set(base) <= set(spans) and len(spans) == len(base) + r.n_guess
 
 
+@pytest.mark.parametrize("value", ["correct horse battery staple", "k7(Zq!w9;pR", r'a\"b Zq9,{w7}x'])
+def test_quoted_values_are_scanned_whole(value):
+    for text in (f'passphrase = "{value}" end', f"pwd: '{value}', x"):
+        _, spans, values = secrets.secrets(text)
+        assert [text[a:b] for a, b, _ in values] == [value] and values[0][2] == secrets.guess_cost(value)
+        assert [text[a:b] for a, kind, b in spans if kind == 3] == [value]
+    assert [t[a:b] for t in ['pwd: "k7Zq!w9pRx and more'] for a, b, _ in secrets.secrets(t)[2]] == ["k7Zq!w9pRx"]
+
+
 def test_guess_costs():
     cost = secrets.guess_cost
     assert cost("") == 0 and cost("password") < 1 < cost("P4ssw0rd") < 3
