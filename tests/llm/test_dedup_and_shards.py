@@ -90,23 +90,78 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_dups.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_prefixes_are_shortened_until_the_recall():
-    assert near_dups.prefix_length(0.8) == 5 and near_dups.prefix_length(0.8, recall=0.99) == 8 and near_dups.prefix_length(0.8, recall=0.999) == 7
+def test_prefixes_are_shortened_until_the_recall(spark):
+    assert near_dups.shortest_prefix(0.8) == 5 and near_dups.shortest_prefix(0.8, recall=0.99) == 8 and near_dups.shortest_prefix(0.8, recall=0.999) == 7
     with pytest.raises(ValueError, match="trees"):
-        near_dups.prefix_length(0.8, trees=2)
+        near_dups.shortest_prefix(0.8, trees=2)
+    rng = np.random.default_rng(2)
+    rows, matches = [], []
+    for k in range(100):
+        both = rng.integers(0, 1 << 63, 330, np.uint64)
+        near = 2 if k % 2 else 14  # similarity of about 0.98, or of 0.91
+        for i, s in ((2 * k, both[near:300]), (2 * k + 1, both[: 300 - near])):
+            high, low = near_dups.labels(np.unique(s)).T.tolist()
+            rows.append((i, high, low))
+        matches.append((2 * k, 2 * k + 1, 8))
+    sets = spark.createDataFrame(rows, "set_id long, high array<long>, low array<long>")
+    found = spark.createDataFrame(matches, "a long, b long, shared long")
+    assert near_dups.prefix_length(found, sets, 0.8) == 7  # none but the pair taken to be there is near the least similarity
+    assert near_dups.prefix_length(found.limit(0), sets, 0.8) == 5 and near_dups.prefix_length(found, sets, 0.8, recall=0.99) == 8
+
+
+def test_labels_agree_as_often_as_sets_do():
+    rng = np.random.default_rng(4)
+    shares = []
+    for _ in range(60):
+        both = rng.integers(0, 1 << 63, 300, np.uint64)
+        shares.append(near_dups.agreement(near_dups.labels(np.unique(both[:250])), near_dups.labels(np.unique(both[50:]))))
+    assert abs(np.mean(shares) - 200 / 300) < 0.015
 
 
 def test_forest_finds_pairs_at_the_threshold():
-    """Of pairs a little above the least similarity all share a prefix."""
+    """Of pairs a little above the least similarity all share a prefix of the shortest length."""
     rng = np.random.default_rng(3)
     missed = 0
     for _ in range(300):
         both = rng.integers(0, 1 << 63, 240, np.uint64)
         a, b = np.unique(both[:220]), np.unique(np.concatenate([both[20:220], both[220:]]))
-        missed += not np.any(near_dups.tree_keys(a, 32, 5) == near_dups.tree_keys(b, 32, 5))
+        missed += not np.any(near_dups.shared_length(near_dups.labels(a), near_dups.labels(b)) >= 5)
     assert missed == 0
 
 
+def test_neighbours_are_those_of_the_sorted_labels(spark):
+    """Over few tasks and many, with a label that very many sets have."""
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([5, 5, 5 << 16, i]), 7], [rng.choice([0, 1 << 48, i]), i]) for i in range(500)]
+    sets = spark.createDataFrame(rows, "set_id long, high array<long>, low array<long>")
+    expected = Counter()
+    for tree in range(2):
+        order = sorted((high[tree], low[tree], i) for i, high, low in rows)
+        for (h, x, i), (g, y, j) in zip(order, order[1:], strict=False):
+            digits = [[*np.array([u], ">i8").view(">u2").tolist(), *np.array([v], ">i8").view(">u2").tolist()] for u, v in ((h, x), (g, y))]
+            n = next((k for k in range(8) if digits[0][k] != digits[1][k]), 8)
+            expected[i, j, n] += n >= 5
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found = Counter((r.a, r.b, r.shared) for r in near_dups.neighbours(sets, 5).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert found == +expected
+
+
+def test_links_between_blocks_grow_with_the_group(spark, monkeypatch):
+    """Near copies of one text: as many rows across blocks as sets, and a few links for each pair of blocks."""
+    kept = []
+    monkeypatch.setattr(near_dups, "across_blocks", lambda *x, own=near_dups.across_blocks: kept.append(near_dups.written(own(*x), "kept")) or kept[-1])
+    for n in (500, 1000, 2000):
+        docs = [(i, " ".join(f"w{k}" if k != 20 + i % 60 else f"v{i}" for k in range(100))) for i in range(n)]
+        found = near(spark, documents(spark, *docs))
+        assert {r.class_id for r in found.values()} == {0} and all(r.n_links == n - 1 for r in found.values())
+        rows = kept[-1].collect()
+        assert sum(r.root is None for r in rows) == n and sum(r.root is not None for r in rows) <= (n // 64 + 1) ** 2
+
+
 def test_jump_hash():
     keys = np.arange(20_000)
     before, after = sharding.jump(keys, 24), sharding.jump(keys, 25)
