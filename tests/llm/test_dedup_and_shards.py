@@ -102,9 +102,9 @@ def test_prefixes_are_shortened_until_the_recall(spark):
         for i, s in ((2 * k, both[near:300]), (2 * k + 1, both[: 300 - near])):
             high, low = near_dups.labels(np.unique(s)).T.tolist()
             rows.append((i, high, low))
-        matches.append((2 * k, 2 * k + 1, 8))
+        matches.append((2 * k + 1, [2 * k] * 4))
     sets = spark.createDataFrame(rows, "set_id long, high array<long>, low array<long>")
-    found = spark.createDataFrame(matches, "a long, b long, shared long")
+    found = spark.createDataFrame(matches, "id long, pivots array<long>")
     assert near_dups.prefix_length(found, sets, 0.8) == 7  # none but the pair taken to be there is near the least similarity
     assert near_dups.prefix_length(found.limit(0), sets, 0.8) == 5 and near_dups.prefix_length(found, sets, 0.8, recall=0.99) == 8
 
@@ -129,25 +129,26 @@ def test_forest_finds_pairs_at_the_threshold():
     assert missed == 0
 
 
-def test_neighbours_are_those_of_the_sorted_labels(spark):
-    """Over few tasks and many, with a label that very many sets have."""
+def test_matches_are_those_of_the_sorted_labels(spark):
+    """Over few tasks and many, with a prefix that very many sets have: what is joined at each length are the sets with one prefix."""
     rng = random.Random(6)
-    rows = [(i, [rng.choice([5, 5, 5 << 16, i]), 7], [rng.choice([0, 1 << 48, i]), i]) for i in range(500)]
+    rows = [(i, [rng.choice([5, 5, 5 << 16, i]), 7 + i // 250], [rng.choice([0, 1 << 48, i]), i]) for i in range(500)]
     sets = spark.createDataFrame(rows, "set_id long, high array<long>, low array<long>")
-    expected = Counter()
-    for tree in range(2):
-        order = sorted((high[tree], low[tree], i) for i, high, low in rows)
-        for (h, x, i), (g, y, j) in zip(order, order[1:], strict=False):
-            digits = [[*np.array([u], ">i8").view(">u2").tolist(), *np.array([v], ">i8").view(">u2").tolist()] for u, v in ((h, x), (g, y))]
-            n = next((k for k in range(8) if digits[0][k] != digits[1][k]), 8)
-            expected[i, j, n] += n >= 5
     for parts in ("1", "7"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         try:
-            found = Counter((r.a, r.b, r.shared) for r in near_dups.neighbours(sets, 5).collect())
+            found = near_dups.matched(sets, 5)
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", "4")
-        assert found == +expected
+        for length in (5, 8):
+            edges = []
+            for tree in range(2):
+                prefixes = defaultdict(list)
+                for i, high, low in rows:
+                    prefixes[tree, high[tree], low[tree] >> (16 * (8 - length))].append(i)
+                edges += [(min(ids), i) for ids in prefixes.values() for i in ids if i != min(ids)]
+            expected, made = (components(df) for df in (spark.createDataFrame(edges, "a long, b long"), near_dups.matches(found, length, 5)))
+            assert sorted(map(tuple, made.collect())) == sorted(map(tuple, expected.collect()))
 
 
 def test_links_between_blocks_grow_with_the_group(spark, monkeypatch):
