@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from brute import SF, TABLE, documents, jaccard_links, table
 
+from pyspark.sql import functions as F
+
 from rosterforge.llm import exact_dedup, near_dups, sharding
 from rosterforge.llm.components import components
 
@@ -41,9 +43,27 @@ def test_exact_dedup_of_whole_table(spark):
 
 
 def test_directory_splits_overfull_buckets(spark):
-    slots = [0] * 10 + [1] * 2 + [8] * 3 + [15]
-    made = {r.slot: (r.depth, r.bucket) for r in exact_dedup.bucket_directory(spark.createDataFrame([(s,) for s in slots], "slot int"), capacity=4, max_depth=4).collect()}
-    assert {k: made[k] for k in slots} == {0: (4, 0), 1: (4, 1), 8: (1, 8), 15: (1, 8)} and len(made) == 10
+    signed = lambda h: h - (1 << 64) if h >= 1 << 63 else h
+    hashes = [*(k << 57 for k in range(8)), (1 << 60) + 1, (1 << 60) + 2, 8 << 60, (8 << 60) + 1, 15 << 60]  # first bits: 0000 eight times, 0001, 1000, 1111
+    directory, depth = exact_dedup.bucket_directory(spark.createDataFrame([(signed(h),) for h in hashes], "hash long"), capacity=4)
+    made = {r.slot: (r.depth, r.bucket) for r in directory.collect()}
+    assert depth == 5 and len(made) == 20  # prefixes without keys have no bucket
+    assert [made[h >> 59] for h in hashes] == [(5, 0)] * 4 + [(5, 1)] * 4 + [(4, 2)] * 2 + [(1, 16)] * 3
+
+
+def test_index_of_hashes_that_collide(spark):
+    """With a hash of the length alone, chains tell texts apart by their bytes, and overfull buckets are split."""
+    docs = [(i, t) for i, t in enumerate(["aa", "bb", "AA", "cc", "", None, "bB", "ccc", "x" * 5, "y" * 5] + ["z" * k for k in range(6, 60)])]
+    df = documents(spark, *docs, (1, "bb"))
+    weak = lambda c: F.shiftleft(F.length(c).cast("long"), 56)
+    plain = {tuple(r) for r in exact_dedup.exact_groups(df).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()}
+    rows = exact_dedup.exact_groups(df, capacity=8, hashed=weak).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows} == plain and len(rows) == len(docs) + 1
+    of = {r.doc_id: r for r in rows}
+    assert [of[i].chain for i in (0, 1, 2, 3, 4, 8, 9)] == [0, 1, 0, 2, 0, 0, 1]
+    assert max(Counter(r.bucket for r in {r.text_sha256: r for r in rows}.values()).values()) <= 10 and len({r.bucket for r in rows}) >= 7
+    kept = exact_dedup.drop_copies(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, *_, k, _ in plain if k)
 
 
 def test_components(spark):
