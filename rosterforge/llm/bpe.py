@@ -8,10 +8,13 @@ appended, tokens counted up to any place, and the part behind an edit encoded an
 from __future__ import annotations
 
 import base64
+import bisect
 import functools
+import itertools
 import json
 import re
 import struct
+from array import array
 from collections.abc import Callable
 
 import regex
@@ -34,6 +37,7 @@ class Vocabulary:
         """ranks: of each token, the place of its merge; smaller merges first. Single bytes have none or one below all merges."""
         self.ids, self.ranks = tokens, {t: (-1 if len(t) == 1 else r) for t, r in ranks.items()}
         self.bytes = {i: t for t, i in tokens.items()}
+        self.sizes = {i: len(t) for t, i in tokens.items()}
         self.longest = max(map(len, tokens))
         self.parts: dict[bytes, tuple[bytes, bytes] | None] = {}
         self.fits: dict[int, bool] = {}
@@ -94,11 +98,24 @@ class Prefixes:
 
     def append(self, data: bytes) -> None:
         """Adds bytes at the end. Tokens that reach over the old end begin less than the longest token before it."""
-        v, old = self.vocabulary, len(self.data)
-        self.data = text = self.data + data
-        last, trie, fits, follows, shift, size = self.last, v.trie, v.fits, v.follows, v.shift, len(text)
-        last += [-1] * (size - old)
-        for begin in range(max(0, old - v.longest + 1), size):
+        old = len(self.data)
+        self.data += data
+        self.last += [-1] * len(data)
+        self._fill(max(0, old - self.vocabulary.longest + 1))
+
+    def replace(self, begin: int, end: int, data: bytes) -> int:
+        """Puts data in the place of the bytes from begin to end. What stands before begin is not encoded again, nor what stands behind the place where old and new tables agree over more
+        than the longest token: the table goes on from there as it was. Gives that place."""
+        old = self.last[end + 1 :]
+        self.data = self.data[:begin] + data + self.data[end:]
+        self.last[begin + 1 :] = [-1] * (len(self.data) - begin)
+        return self._fill(max(0, begin - self.vocabulary.longest + 1), begin + len(data), old)
+
+    def _fill(self, first: int, edited: int | None = None, old: list[int] | None = None) -> int:
+        """Fills in the places of the table that are -1, from tokens that begin at `first` or later. old: what the table had behind the place `edited`."""
+        v, text, last = self.vocabulary, self.data, self.last
+        trie, fits, follows, shift, size, agreed = v.trie, v.fits, v.follows, v.shift, len(self.data), 0
+        for begin in range(first, size):
             node, end, left = trie, begin, last[begin] << shift
             while end < size and (node := node.get(text[end])) is not None:
                 end += 1
@@ -107,13 +124,12 @@ class Prefixes:
                         last[end] = token
             if last[begin + 1] < 0:
                 raise ValueError(f"no token for {text[begin : begin + 1]!r}")
-
-    def replace(self, begin: int, end: int, data: bytes) -> None:
-        """Puts data in the place of the bytes from begin to end; what stands before begin is not encoded again."""
-        rest = data + self.data[end:]
-        self.data = self.data[:begin]
-        del self.last[begin + 1 :]
-        self.append(rest)
+            if old is not None and begin >= edited:
+                agreed = agreed + 1 if last[begin + 1] == old[begin - edited] else 0
+                if agreed > v.longest:
+                    last[begin + 2 :] = old[begin + 1 - edited :]
+                    return begin + 1
+        return size
 
     def ids(self, end: int | None = None) -> list[int]:
         """The encoding of the first `end` bytes."""
@@ -126,10 +142,15 @@ class Prefixes:
     def counts(self) -> list[int]:
         """The number of tokens of each prefix, the empty one first."""
         out = [0]
-        for i in range(1, len(self.last)):
-            out.append(out[i - len(self.vocabulary.bytes[self.last[i]])] + 1)
+        for i, n in enumerate(self.lengths()[1:], 1):
+            out.append(out[i - n] + 1)
         return out
 
+    def lengths(self) -> list[int]:
+        """The bytes of the token that ends each prefix's encoding, 0 for the empty one."""
+        size = self.vocabulary.sizes
+        return [0, *(size[t] for t in self.last[1:])]
+
     def within(self, budget: int) -> int:
         """The longest prefix, in bytes, such that it and all shorter ones have no more than `budget` tokens."""
         return next((i - 1 for i, n in enumerate(self.counts()) if n > budget), len(self.data))
@@ -169,6 +190,16 @@ class Encoder:
     def packed(self, chunk: str) -> bytes:
         return b"".join([self.known[piece] for piece in self.pieces.findall(chunk)])
 
+    def table(self, chunk: str) -> tuple:
+        """Of each prefix of a chunk's bytes, the empty one first: the number of its tokens, and the bytes of its last token. A prefix that ends in a piece counts as the pieces before it and the part of that one."""
+        counts, lengths = [0], [0]
+        for piece in self.pieces.findall(chunk):
+            own = Prefixes(self.vocabulary, piece.encode()).lengths()
+            for n in own[1:]:
+                counts.append(counts[len(counts) - n] + 1)
+            lengths += own[1:]
+        return tuple(bytes(x) if max(x) < 256 else array("I", x) for x in (counts, lengths))
+
     def chunk_ids(self, chunk: str) -> list[int]:
         data = self.packed(chunk)
         return list(struct.unpack(f"<{len(data) // 4}I", data))
@@ -180,6 +211,54 @@ class Encoder:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids))
 
 
+class Text:
+    """A text that is appended to and edited: its chunks, of which only those near a change are cut and encoded again."""
+
+    def __init__(self, encoder: Encoder, text: str = ""):
+        self.encoder, self.chunks = encoder, CHUNK.findall(text)
+
+    def __str__(self) -> str:
+        return "".join(self.chunks)
+
+    def ids(self) -> list[int]:
+        return [i for c in self.chunks for i in self.encoder.chunk_ids(c)]
+
+    def append(self, text: str) -> None:
+        n = sum(map(len, self.chunks))
+        self.replace(n, n, text)
+
+    def replace(self, begin: int, end: int, text: str) -> tuple[int, int]:
+        """Puts text in the place of the characters from begin to end. Gives the numbers of the first chunk cut anew and of the one behind the last.
+
+        Where a chunk ends depends on what stands before the next one's first two characters, so cutting starts two chunks before the change. It ends at the first place behind the change where a chunk ended before too, as
+        from there on both cuts go on alike.
+        """
+        ends = list(itertools.accumulate(map(len, self.chunks)))
+        first = max(0, bisect.bisect_left(ends, begin) - 1)
+        start = ends[first - 1] if first else 0
+        after = bisect.bisect_left(ends, end)  # the chunks up to this one may be changed
+        old = "".join(self.chunks[first : after + 1])
+        new, stop, at = old[: begin - start] + text + old[end - start :], after + 1, 0
+        made: list[str] = []
+        behind = begin - start + len(text)
+        while True:
+            rest = "".join(self.chunks[stop : stop + 2])
+            made, at, ended = [], 0, None
+            known = {e - start - (end - begin) + len(text): k + 1 for k, e in enumerate(ends[after:stop], after)}
+            for m in CHUNK.finditer(new + rest):
+                made.append(m[0])
+                at = m.end()
+                if at >= behind and at in known and (at < len(new + rest) or stop >= len(self.chunks)):
+                    ended = known[at]
+                    break
+            if ended is not None or stop >= len(self.chunks):
+                ended = len(self.chunks) if ended is None else ended
+                break
+            new, stop = new + rest, stop + 2
+        self.chunks[first:ended] = made
+        return first, first + len(made)
+
+
 @functools.cache
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """Of a file of ranks: base64 of a token's bytes, its rank, which is its id too."""

@@ -59,21 +59,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, limit_bytes: how many of the text's bytes its first `limit` tokens hold.
 
-    path: a tokenizers file with byte-level BPE that all executors can read; its added tokens count one where they stand in a text.
+    path: a tokenizers file with byte-level BPE that all executors can read; its added tokens count one where they stand in a text. Counts and limits are read from the chunks' tables of prefixes.
     A null text has no tokens; repeated rows give repeated rows, an empty table no rows; further columns are left out.
     """
     path = path or public_tokenizers.path(MODEL)
 
     def make(texts: list[str]) -> dict[str, list]:
         encoder, added = json_encoder(path, pattern)
-        known = memory("count", path, lambda chunk: len(encoder.packed(chunk)) // 4)
+        known = memory("tables", path, encoder.table)
         special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         out: dict[str, list] = {"n_bytes": [], "n_tokens": [], "over_limit": [], "limit_bytes": []}
         for x in texts:
             parts = list(chunks(x, special))
-            counts = [1 if c in added else known[c] for c in parts]
+            counts = [1 if c in added else known[c][0][-1] for c in parts]
             size, tokens = len(x.encode()), sum(counts)
-            held = size if tokens <= limit else held_bytes(encoder, added, parts, counts, limit)
+            held = size if tokens <= limit else held_bytes(known, added, parts, counts, limit)
             for name, value in zip(out, (size, tokens, tokens > limit, held), strict=True):
                 out[name].append(value)
         return out
@@ -92,13 +92,18 @@ def chunks(text: str, special: re.Pattern | None) -> list[str]:
     return out + CHUNK.findall(text[at:])
 
 
-def held_bytes(encoder: Encoder, added: dict[str, int], parts: list[str], counts: list[int], limit: int) -> int:
-    """The bytes of the first `limit` tokens: whole chunks, then tokens of the chunk in which the limit falls."""
+def held_bytes(known: Remembered, added: dict[str, int], parts: list[str], counts: list[int], limit: int) -> int:
+    """The bytes of the first `limit` tokens: whole chunks, and of the chunk in which the limit falls the tokens that its table leaves when its last ones are taken away."""
     ends = list(itertools.accumulate(counts))
     whole = next(i for i, n in enumerate(ends) if n > limit)
     rest = limit - (ends[whole - 1] if whole else 0)
-    ids = [] if parts[whole] in added else encoder.chunk_ids(parts[whole])[:rest]
-    return sum(len(c.encode()) for c in parts[:whole]) + len(encoder.decode(ids))
+    at = 0
+    if parts[whole] not in added:
+        tokens, lengths = known[parts[whole]]
+        at = len(tokens) - 1
+        while tokens[at] > rest:
+            at -= lengths[at]
+    return sum(len(c.encode()) for c in parts[:whole]) + at
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

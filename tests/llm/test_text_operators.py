@@ -58,6 +58,59 @@ def test_prefix_tables(encoder, library):
     assert bpe.Prefixes(v, b"=" * 3000).ids() == library.encode_ordinary("=" * 3000)
 
 
+def test_edits_of_tables_stop_where_they_agree(encoder, library):
+    v, rng = encoder.vocabulary, random.Random(9)
+    data = ("internationalization of the committee's misunderstandings " * 30).replace(" ", "").encode()
+    p = bpe.Prefixes(v, data)
+    for _ in range(30):
+        a = rng.randrange(len(p.data))
+        b = min(len(p.data), a + rng.randrange(6))
+        new = "".join(rng.choice("aeinrst=é") for _ in range(rng.randrange(6))).encode()
+        before, n = p.data, len(p.data)
+        stop = p.replace(a, b, new)
+        assert p.data == before[:a] + new + before[b:] and p.last == bpe.Prefixes(v, p.data).last
+        assert stop == len(p.data) or stop < a + len(new) + 6 * v.longest
+    p.replace(0, 3, b"")
+    assert p.last == bpe.Prefixes(v, p.data).last and n > 1000
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.data())
+def test_edited_texts(library, encoder, data):
+    some = st.text(st.one_of(st.sampled_from(list("  \n\tab'sé!1\x85")), st.sampled_from(list("wordé "))), max_size=25)
+    plain = data.draw(some)
+    made = bpe.Text(encoder, plain)
+    for _ in range(3):
+        begin = data.draw(st.integers(0, len(plain)))
+        end = data.draw(st.integers(begin, len(plain)))
+        new = data.draw(some)
+        plain = plain[:begin] + new + plain[end:]
+        made.replace(begin, end, new)
+        assert str(made) == plain and made.ids() == library.encode_ordinary(plain)
+        more = data.draw(some)
+        plain += more
+        made.append(more)
+        assert str(made) == plain and made.ids() == library.encode_ordinary(plain)
+
+
+def test_edits_of_texts_stay_near(encoder):
+    made = bpe.Text(encoder, "one two  three\n" * 500)
+    first, behind = made.replace(3000, 3001, "x yz")
+    assert behind - first < 10
+
+
+def test_tables_of_chunks(library):
+    encoder, _ = bpe.json_encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    for chunk in (" internationalization", "don't've!!", "é" * 300, "===" * 400, " \n\n"):
+        counts, lengths = encoder.table(chunk)
+        ids, at = encoder.chunk_ids(chunk), len(chunk.encode())
+        assert counts[-1] == len(ids) and len(counts) == at + 1
+        for n in range(len(ids), 0, -1):
+            assert counts[at] == n
+            at -= lengths[at]
+        assert at == 0
+
+
 def test_token_tables(spark, library):
     docs = table(spark) | {10_000 + k: t for k, t in enumerate(ODD)}
     df = documents(spark, *docs.items())
