@@ -10,34 +10,36 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import number_by
 from .common import WORD, documents, numbered, whole, written
+from .components import components
 
 WEIGHTS, MOST_REPEATS, SEED = (5.0, 2.0, 1.0), 3, 20
-#: Documents are told apart by the sets of sources they belong to. More such sets than this are refused, as their totals go through the driver.
-MOST_PATTERNS = 10_000
-#: The seeded order of a pattern's documents is cut into 2 ** BUCKET_BITS buckets; only that in which the quota falls is looked at document by document.
-BUCKET_BITS = 10
+#: The seeded order of a pattern's documents is cut into 2 ** BUCKET_BITS buckets, and the one in which the quota falls into as many again; only in the last one are documents put in order.
+BUCKET_BITS, CUTS = 10, 2
 ROUNDS = 5
 
 
-def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS) -> dict[str | None, float]:
-    """Words to take of each source: all sources' words, shared by weight (dealt out by code point order, null last), no source above `most` times its size.
+def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
+    """(source, size, target) of a table (source, size): all sources' words, shared by weight (dealt out by code point order, null last), no source above `most` times its size.
 
-    What is above goes to the others by weight, until none is above.
+    What is above goes to the others by weight, until none is above. A source stops if its size is small for its weight, so each turn is one pass over the sources that makes that bound higher. Without sources no rows.
     """
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    left, target, open_ = float(sum(sizes.values())), {}, set(names)
-    while open_:
-        total = sum(weight[s] for s in names if s in open_)
-        above = [s for s in names if s in open_ and left * weight[s] / total > most * sizes[s]]
-        if not above:
-            return target | {s: left * weight[s] / total for s in open_}
-        for s in above:
-            target[s] = float(most * sizes[s])
-        left -= sum(target[s] for s in above)
-        open_ -= set(above)
-    return target
+    named = number_by(sizes.select("source", "size", F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name")), "last", "name", name="k")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("k") - 1) % len(weights) + 1).cast("int"))
+    shared = written(named.select("source", "size", weight.alias("weight")), "mix-sources")
+    small, bound, step = F.col("size") / F.col("weight"), -1.0, 0.0
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    while True:
+        stops = small < bound
+        t = shared.agg(zero(F.sum("size")).alias("all"), zero(F.sum(F.when(stops, F.col("size")))).alias("stopped"), zero(F.sum(F.when(~stops, F.col("weight")))).alias("open")).first()
+        if not t.open:
+            break
+        step = (t.all - most * t.stopped) / t.open
+        if shared.where(~stops & (F.col("weight") * step > most * F.col("size"))).isEmpty():
+            break
+        bound = step / most
+    return shared.select("source", "size", F.when(small < bound, most * F.col("size")).otherwise(F.col("weight") * step).cast("double").alias("target"))
 
 
 class Flow:
@@ -136,80 +138,99 @@ def route(patterns: dict[str, tuple[list[str | None], int]], quota: dict[str | N
     return {p: sum(map(flow.taken, ks)) for p, ks in levels.items()}
 
 
-def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, carried: Sequence[str] = ()) -> tuple[DataFrame, dict]:
-    """(doc_id, pattern, size, taken) and the columns carried, of each row, and {source: (size, target)}.
+def quotas(by_pattern: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """(pattern, words, quota): how many words to take of each pattern. members: pattern, words, source, share (the words to take of that source).
+
+    Where no source of a pattern belongs to another one, it gives what its source is to have, as far as it can. Sources that patterns bind together are one min-cost flow, and each such set of sources is solved by itself.
+    """
+    own = F.least(F.round("share").cast("long"), most * F.col("words"))
+    if by_pattern.where(F.size("names") > 1).isEmpty():
+        return members.select("pattern", "words", own.alias("quota"))
+    nodes = members.withColumn("node", F.xxhash64("source", F.col("source").isNull()))
+    bound = components(nodes.groupBy("pattern").agg(F.min("node").alias("a")).join(nodes.select("pattern", F.col("node").alias("b")), "pattern").where("a != b").select("a", "b").distinct())
+    placed = nodes.join(bound, nodes["node"] == bound["id"], "left")
+
+    def solve(rows):
+        own = {p: ([None if s != s else s for s in of["source"]], int(of["words"].iloc[0])) for p, of in rows.groupby("pattern")}
+        share = {None if s != s else s: x for s, x in zip(rows["source"], rows["share"], strict=True)}
+        found = route(own, share, most)
+        return rows[["pattern", "words"]].drop_duplicates("pattern").assign(quota=lambda d: d["pattern"].map(found))
+
+    flows = placed.where("component IS NOT NULL").select("component", "pattern", "words", "source", "share").groupBy("component").applyInPandas(solve, "pattern string, words long, quota long")
+    return placed.where("component IS NULL").select("pattern", "words", own.alias("quota")).union(flows)
+
+
+def _cut(ranked: DataFrame, plans: DataFrame) -> DataFrame:
+    """(pattern, cut, cut_begins): the bucket of draws, by CUTS times BUCKET_BITS bits, in which a pattern's rest falls, and the words before it; no row where the rest is all the pattern's words."""
+    cuts = plans.where("rest > 0").select("pattern", "rest", F.lit(0).cast("long").alias("cut"), F.lit(0).cast("long").alias("cut_begins"))
+    for k in range(1, CUTS + 1):
+        inside = ranked.withColumn("bucket", F.shiftrightunsigned("draw", 64 - k * BUCKET_BITS)).join(cuts, "pattern").where(F.shiftrightunsigned("bucket", BUCKET_BITS) == F.col("cut"))
+        counted = inside.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket"), F.first("rest").alias("rest"), F.first("cut_begins").alias("from"))
+        before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        begins = counted.withColumn("begins", F.col("from") + F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
+        reached = begins.where((F.col("begins") <= F.col("rest")) & (F.col("begins") + F.col("in_bucket") > F.col("rest")))
+        cuts = written(reached.groupBy("pattern").agg(F.first("rest").alias("rest"), F.min("bucket").alias("cut"), F.min("begins").alias("cut_begins")), "mix-cuts")
+    return cuts.drop("rest")
+
+
+def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, pattern, size, taken) and the columns carried, of each row, and (source, size, target).
 
     members: the array of a row's sources, of which a null is one too; a row of several may be taken for any of them. size: words of the text, none for a null text. taken: words that
-    the mix takes of the row, its size times 0 to `most`. Which rows are taken once more than the others of their pattern is drawn by a hash of doc_id and seed, so a rerun agrees.
+    the mix takes of the row, its size times 0 to `most`. Which rows are taken once more than the others of their pattern is drawn by a hash of doc_id, text and seed, so a rerun agrees.
     Then, in up to ROUNDS rounds, one more row of each pattern is put in or left out where that brings the pattern's words nearer their quota. Repeated rows are rows of their own; an empty table gives no rows.
     """
     pattern = F.to_json(F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string"))))))
-    sizes = written(docs.select(docs[key].alias("doc_id"), pattern.alias("pattern"), F.regexp_count(whole(docs[text]), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(docs[key], F.lit(seed)).alias("draw"), *carried), "mix-sizes")
-    totals = sizes.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MOST_PATTERNS + 1).collect()
-    if len(totals) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
-    patterns = {r.pattern: (json.loads(r.pattern), r.words) for r in sorted(totals, key=lambda r: r.pattern)}
-    sources: dict[str | None, int] = {}
-    for names, words in patterns.values():
-        for s in names:
-            sources[s] = sources.get(s, 0) + words
+    body = whole(docs[text])
+    draw = F.xxhash64(docs[key], body, F.lit(seed))
+    sizes = written(
+        docs.select(docs[key].alias("doc_id"), pattern.alias("pattern"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), draw.alias("draw"), F.monotonically_increasing_id().alias("at"), *carried), "mix-sizes"
+    )
+    by_pattern = written(sizes.groupBy("pattern").agg(F.sum("size").alias("words")).withColumn("names", F.from_json("pattern", "array<string>")), "mix-patterns")
+    named = by_pattern.select("pattern", "words", F.explode("names").alias("source"))
+    sources = source_targets(named.groupBy("source").agg(F.sum("words").alias("size")), weights, most)
     # a word of several sources is shared out once
-    whole_mix = sum(words for _, words in patterns.values())
-    share = targets(sources, weights, most)
-    factor = whole_mix / max(1, sum(sources.values()))
-    quota = {s: t * factor for s, t in share.items()}
-    plan = [(p, n // w if w else 0, n % w if w else 0) for (p, n), w in zip(route(patterns, quota, most).items(), (w for _, w in patterns.values()), strict=True)]
-    spark = docs.sparkSession
-    plans = F.broadcast(spark.createDataFrame(plan, "pattern string, times long, rest long"))  # at most MOST_PATTERNS rows
-    bucket = F.shiftrightunsigned("draw", 64 - BUCKET_BITS).cast("int")
-    ranked = sizes.withColumn("bucket", bucket)
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    begins = ranked.groupBy("pattern", "bucket").agg(F.sum("size").alias("in_bucket")).withColumn("begins", F.coalesce(F.sum("in_bucket").over(before), F.lit(0))).join(plans, "pattern")
+    t = by_pattern.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("once"), F.coalesce(F.sum(F.col("words") * F.size("names")), F.lit(0)).alias("each")).first()
+    sources = written(sources.withColumn("target", F.col("target") * (t.once / max(1, t.each))), "mix-targets")
+    known = sources.select(F.col("source").alias("name"), F.col("target").alias("share"))
+    plans = quotas(by_pattern, named.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name"), most)
+    words = F.greatest("words", F.lit(1))
+    plans = written(plans.select("pattern", F.floor(F.col("quota") / words).alias("times"), (F.col("quota") % words).alias("rest")), "mix-plans")
     # the buckets before the quota's are taken, those after it not; in it, documents by their draw
-    cut = begins.where((F.col("begins") <= F.col("rest")) & (F.col("begins") + F.col("in_bucket") > F.col("rest"))).groupBy("pattern").agg(F.min("bucket").alias("cut"), F.min_by("begins", "bucket").alias("cut_begins"))
-    cuts = spark.createDataFrame([(r.pattern, r.cut, r.cut_begins) for r in cut.collect()], "pattern string, cut int, cut_begins long")  # one row per pattern
-    planned = ranked.join(plans, "pattern").join(F.broadcast(cuts), "pattern", "left")
-    within = Window.partitionBy("pattern", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.col("cut_begins") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2
+    planned = sizes.join(plans, "pattern").join(_cut(sizes, plans), "pattern", "left").withColumn("bucket", F.shiftrightunsigned("draw", 64 - CUTS * BUCKET_BITS))
+    within = Window.partitionBy("pattern").orderBy("draw", "at").rowsBetween(Window.unboundedPreceding, -1)
+    at_cut = planned.where(F.col("bucket") == F.col("cut")).withColumn("reached", F.col("cut_begins") + F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("size") / 2)
+    others = planned.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut")))
+    columns = ["doc_id", "pattern", "size", "draw", "at", "times", "rest", *carried]
     drawn = written(
-        planned.withColumn("reached", reached).select(
-            "doc_id", "pattern", "size", "draw", "times", "rest", *carried,
-            F.when(F.col("rest") == 0, False).when(F.col("cut").isNull(), True).when(F.col("bucket") == F.col("cut"), F.col("reached") <= F.col("rest")).otherwise(F.col("bucket") < F.col("cut")).alias("more"),
+        at_cut.select(*columns, (F.col("reached") <= F.col("rest")).alias("more")).union(
+            others.select(*columns, F.when(F.col("rest") == 0, False).when(F.col("cut").isNull(), True).otherwise(F.col("bucket") < F.col("cut")).alias("more"))
         ),
         "mix-drawn",
-    )
-    missing = {r.pattern: r.missing for r in drawn.groupBy("pattern").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("missing")).collect()}
-    turned: dict[tuple[str, int, int], bool] = {}
+    )
+    rows, turned = drawn.select("pattern", "size", "draw", "at", "times", "more"), drawn.select("at").limit(0)
+    gaps = written(drawn.groupBy("pattern").agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("more"), F.col("size"))), F.lit(0))).alias("missing")), "mix-gaps")
     for _ in range(ROUNDS):
-        state = drawn.join(_turns(spark, turned), ["pattern", "draw", "size"], "left").withColumn("more", F.col("more") != F.col("turn").isNotNull())
-        gaps = F.broadcast(spark.createDataFrame([(p, n) for p, n in missing.items() if n], "pattern string, missing long"))
         off = F.abs(F.col("size") - F.abs("missing"))
         puts_in = (F.col("missing") > 0) & ~F.col("more") & (F.col("times") < most)
         leaves_out = (F.col("missing") < 0) & F.col("more")
-        better = state.join(gaps, "pattern").where((puts_in | leaves_out) & (off < F.abs("missing")) & F.col("turn").isNull())
-        best = better.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "draw", "size", "more")).alias("best")).collect()
-        for p, x in best:
-            turned[p, x.draw, x["size"]] = True
-            missing[p] += x["size"] if x.more else -x["size"]
-        if not best:
+        better = rows.join(gaps.where("missing != 0"), "pattern").where((puts_in | leaves_out) & (off < F.abs("missing"))).join(turned, "at", "left_anti")
+        best = written(better.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "draw", "at", "size", "more")).alias("best")), "mix-best")
+        if best.isEmpty():
             break
-    result = drawn.join(_turns(spark, turned), ["pattern", "draw", "size"], "left")
-    taken = F.col("size") * (F.col("times") + (F.col("more") != F.col("turn").isNotNull()).cast("long"))
-    return result.select("doc_id", "pattern", "size", taken.alias("taken"), *carried), {s: (sources[s], quota[s]) for s in sources}
-
-
-def _turns(spark: SparkSession, turned: dict[tuple[str, int, int], bool]) -> DataFrame:
-    """The rows put in or left out after the draw: one per pattern and round at most."""
-    return F.broadcast(spark.createDataFrame([(*k, v) for k, v in turned.items()], "pattern string, draw long, size long, turn boolean"))
+        turned = turned.union(best.select("best.at"))
+        change = F.when(F.col("best.more"), -F.col("best.size")).otherwise(F.coalesce("best.size", F.lit(0)))
+        gaps = written(gaps.join(best, "pattern", "left").select("pattern", (F.col("missing") - change).alias("missing")), "mix-gaps")
+    turn = written(turned.select(F.col("at").alias("turned")), "mix-turned")
+    taken = F.col("size") * (F.col("times") + (F.col("more") != F.col("turned").isNotNull()).cast("long"))
+    return drawn.join(turn, drawn["at"] == turn["turned"], "left").select("doc_id", "pattern", "size", taken.alias("taken"), *carried), sources
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken: the mix of a table each row of which has one source (a null is a source too)."""
     rows, sources = mix(docs, F.array(docs[source]), key, text, **options)
-    known = docs.sparkSession.createDataFrame([(s, *x) for s, x in sources.items()], "source string, source_size long, target double")
-    named = rows.withColumn("source", F.get(F.from_json("pattern", "array<string>"), F.lit(0)))
-    known = F.broadcast(known.withColumnRenamed("source", "name"))  # at most MOST_PATTERNS rows
-    return named.join(known, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "size", "source_size", "target", "taken")
+    known = sources.select(F.to_json(F.array("source")).alias("pattern"), F.col("size").alias("source_size"), "target")
+    return rows.join(known, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:

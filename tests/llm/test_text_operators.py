@@ -278,12 +278,45 @@ def test_classifier(spark):
     assert quality_model.classify(odd.limit(0), labels).count() == 0
 
 
-def test_mix_targets():
+def plain_targets(sizes, weights=(5, 2, 1), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[k % 3] for k, s in enumerate(names)}
+    open_, target, left = set(names), {}, sum(sizes.values())
+    while open_:
+        total = sum(weight[s] for s in open_)
+        above = {s for s in open_ if left * weight[s] / total > most * sizes[s]}
+        if not above:
+            return target | {s: left * weight[s] / total for s in open_}
+        target |= {s: most * sizes[s] for s in above}
+        left -= sum(most * sizes[s] for s in above)
+        open_ -= above
+    return target
+
+
+def test_mix_targets(spark):
+    found = lambda sizes: {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
     sizes = {"b": 100, "a": 100, "c": 100, None: 10}
-    found = mixing.targets(sizes)
+    made = found(sizes)
     # weights a 5, b 2, c 1, null 5; null stops at 30
-    assert found[None] == 30 and found["a"] == pytest.approx(280 * 5 / 8) and found["b"] == pytest.approx(70) and found["c"] == pytest.approx(35)
-    assert mixing.targets({"a": 1, "b": 100}) == {"a": 3.0, "b": 98.0} and mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
+    assert made[None] == 30 and made["a"] == pytest.approx(280 * 5 / 8) and made["b"] == pytest.approx(70) and made["c"] == pytest.approx(35)
+    assert found({"a": 1, "b": 100}) == {"a": 3.0, "b": 98.0} and found({}) == {} and found({"a": 0}) == {"a": 0.0}
+    rng = random.Random(7)
+    many = {f"s{k}": rng.choice([0, 1, 7, 900, 10**6]) for k in range(300)}
+    assert found(many) == {s: pytest.approx(x) for s, x in plain_targets(many).items()}
+
+
+def test_mix_of_very_many_sources(spark):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(1, 30), f"host{rng.randrange(12_000)}" if i % 3 else "big") for i in range(20_000)]
+    made = mixing.mix_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    of = {i: s for i, _, s in rows}
+    sizes, taken = Counter(), Counter()
+    for r in made:
+        sizes[of[r.doc_id]] += r.size
+        taken[of[r.doc_id]] += r.taken
+    expected = plain_targets(sizes)
+    assert len(made) == 20_000 and all(r.target == pytest.approx(expected[of[r.doc_id]]) for r in made)
+    assert all(abs(taken[s] - expected[s]) < 30 for s in sizes)  # texts have up to 29 words
 
 
 def test_flow_prefers_fewer_repeats():
@@ -323,7 +356,7 @@ def test_overlapping_sources(spark):
     made, sources = mixing.mix(df, F.col("sources"))
     found = made.collect()
     assert len(found) == 301 and {r.pattern for r in found} == {'["a","b"]', '["a"]', '["b"]', "[null]"}
-    assert sum(r.taken for r in found) == pytest.approx(sum(t for _, t in sources.values()), rel=0.02) and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in found)
+    assert sum(r.taken for r in found) == pytest.approx(sum(s.target for s in sources.collect()), rel=0.02) and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in found)
 
 
 def test_mix_of_whole_table(spark):
@@ -336,7 +369,7 @@ def test_mix_of_whole_table(spark):
         sizes[d.source] += r.size
         taken[d.source] += r.taken
         target[d.source] = (r.source_size, r.target)
-    expected = mixing.targets(dict(sizes))
+    expected = plain_targets(dict(sizes))
     for s in sizes:
         assert target[s] == (sizes[s], pytest.approx(expected[s])) and abs(taken[s] - expected[s]) < 0.02 * expected[s]
     again = mixing.op4_mixing(spark, "/root/testdata/sf0.01").collect()
