@@ -7,9 +7,13 @@ import hashlib
 import math
 import re
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents, map_texts
+from .common import documents, map_texts, whole
 
 # The patterns of the base kinds, in the order in which the kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -25,8 +29,13 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 NEAR = re.compile(r"pass|pwd|secret|token|key|credential|auth", re.IGNORECASE | re.ASCII)
-#: A value of fewer guesses (log10) is left alone: a word of the language, a date, a repeat, a placeholder.
-LEAST_GUESSES, LEAST_CHARACTERS = 8.0, 8
+#: A value of fewer guesses (log10) is left alone: a word of the language, a date, a repeat, a placeholder. Words and marks alone, without a digit or a capital inside, need more: they are
+#: names, addresses and options unless there are several of them.
+LEAST_GUESSES, LEAST_OF_WORDS, LEAST_CHARACTERS = 8.0, 15.0, 8
+#: The words of the corpus that are known, at most, those in most documents and in LEAST_SEEN or more; they cost their rank, after those of WORDS.
+KNOWN, LEAST_SEEN = 50_000, 3
+#: log10 of the guesses for letters between other characters that sound like a word, though it is not known; for a mark between words.
+LIKE, MARK = 5.0, 0.7
 
 # Common words of passwords and of configuration texts, most common first.
 WORDS = (
@@ -36,10 +45,15 @@ WORDS = (
     "autumn monday friday january march april june july august october qwerty trustno starwars iloveyou whatever freedom michael "
     "jennifer jordan hunter ranger thomas robert daniel andrew joshua matthew charlie house green blue black white red orange yellow "
     "silver gold computer internet mobile phone email mail data base file link config setting option required optional your insert "
-    "replace placeholder sample demo temp dummy unknown enter reset forgot invalid expired"
+    "replace placeholder sample demo temp dummy unknown enter reset forgot invalid expired http https www com org net html"
 ).split()
 RANK = {w: i + 1 for i, w in reversed(list(enumerate(WORDS)))}
-LONGEST_WORD = max(map(len, WORDS))
+LONGEST_WORD = 24
+CORPUS_WORD = re.compile(rf"\b[a-z]{{3,{LONGEST_WORD}}}\b", re.ASCII)
+#: Letters of one case, or with a capital at the begin, between other characters, and whether they sound like a word.
+RUN = re.compile(r"(?<![A-Za-z])(?:[A-Z]?[a-z]{3,23}|[A-Z]{4,24})(?![a-z])", re.ASCII)
+SOUNDS = re.compile(r"[^aeiouy]{0,3}(?:[aeiouy]{1,3}[^aeiouy]{1,4})*[aeiouy]{0,3}", re.IGNORECASE)
+PLAIN = re.compile(r"[^\W\d_]?[^\d_A-Z]*(?:[\W_]+[^\W\d_]?[^\d_A-Z]*)*")
 # Rows of keys.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 LEET = str.maketrans("4@3105$7", "aaeiosst")
@@ -64,34 +78,51 @@ def spread(value: str) -> float:
     return math.log10(sum(n for c, n in classes if re.search(c, value)) or 1)
 
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that find the value: the least over all ways to cut it into words, dates, repeats, keyboard walks and other spans.
-
-    least[i] is that of the first i characters. Each place offers segments of bounded length from word list and dates; the runs that
-    repeats and walks make are known by their start; and a span without pattern grows by one character, so the time is in proportion to the length.
-    The empty value costs 0.
-    """
+def segments(value: str, ranks: dict[str, int] = RANK) -> dict[int, list[tuple[int, float]]]:
+    """By start: length and log10 guesses of the parts of a value that follow a pattern: known words (in capitals or with digits for letters too), letters that sound like a word, single marks between words,
+    dates, repeats, sequences and keyboard walks."""
     lower = value.lower()
     plain = lower.translate(LEET)
     if len(lower) != len(value):  # a few characters are longer in lower case
         lower = plain = value
-    near, each, n = neighbours(), spread(value), len(value)
+    n = len(value)
+    found = _runs(lower, neighbours())
+    add = lambda i, size, cost: found.setdefault(i, []).append((size, cost))
+    for i in range(n):
+        for size in range(3, min(LONGEST_WORD, n - i) + 1):
+            part = lower[i : i + size]
+            capital = 0.0 if value[i : i + size] == part else 0.5
+            if (rank := ranks.get(part)) is not None:
+                add(i, size, math.log10(rank + 1) + capital)
+            elif plain[i : i + size] != part and (rank := ranks.get(plain[i : i + size])) is not None:
+                add(i, size, math.log10(rank + 1) + 0.5 + capital)
+        if value[i].isdigit() and (m := DATE.match(value, i)):
+            add(i, m.end() - i, 2.1 if len(m[0]) == 4 else 4.6)
+        if 0 < i < n - 1 and not value[i].isalnum() and value[i - 1].isalnum() and value[i + 1].isalnum():
+            add(i, 1, MARK)
+        if value.startswith("://", i):
+            add(i, 3, MARK)
+    for m in RUN.finditer(value):
+        if SOUNDS.fullmatch(m[0]) and re.search("[aeiouyAEIOUY]", m[0]):
+            add(m.start(), len(m[0]), LIKE)
+    return found
+
+
+def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
+    """log10 of the guesses that find the value: the least over all ways to cut it into segments and spans without pattern.
+
+    least[i] is that of the first i characters. Segments are known by their start; a span without pattern grows by one character, so the time is in proportion to the length.
+    The empty value costs 0.
+    """
+    each, n, parts = spread(value), len(value), segments(value, ranks)
     least, brute = [math.inf] * (n + 1), [math.inf] * (n + 1)
     least[0] = 0.0
-    runs = _runs(lower, near)
     for i in range(n):
         # a further segment doubles the guesses, for where it begins
         base = least[i] + (math.log10(2) if i else 0.0)
         brute[i + 1] = min(brute[i], base) + each
         least[i + 1] = min(least[i + 1], brute[i + 1])
-        for size in range(3, min(LONGEST_WORD, n - i) + 1):
-            for text, more in ((lower, 0.0), (plain, 0.5)):
-                if (rank := RANK.get(text[i : i + size])) is not None:
-                    capital = 0.0 if value[i : i + size] == lower[i : i + size] else 0.5
-                    least[i + size] = min(least[i + size], base + math.log10(rank + 1) + more + capital)
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            least[m.end()] = min(least[m.end()], base + (2.1 if len(m[0]) == 4 else 4.6))
-        for size, cost in runs.get(i, ()):
+        for size, cost in parts.get(i, ()):
             least[i + size] = min(least[i + size], base + cost)
     return least[n]
 
@@ -120,16 +151,39 @@ def _runs(text: str, near: frozenset[tuple[str, str]]) -> dict[int, list[tuple[i
     return runs
 
 
-def secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, float]]]:
+def word_ranks(docs: DataFrame, text: str = "text", most: int = KNOWN, least: int = LEAST_SEEN) -> dict[str, int]:
+    """The ranks of WORDS and after them of the corpus's words, by the number of documents that have them. All documents are counted; `most` words go to the driver."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                seen.update(set(CORPUS_WORD.findall(x.lower())))
+                if len(seen) > 300_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+                    seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
+    counts = docs.select(whole(docs[text]).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = [r.word for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    return {w: k for k, w in reversed(list(enumerate([*RANK, *(w for w in found if w not in RANK)], 1)))}
+
+
+def needed(value: str) -> float:
+    """The guesses from which a value is a secret."""
+    return LEAST_OF_WORDS if PLAIN.fullmatch(value) else LEAST_GUESSES
+
+
+def secrets(text: str, ranks: dict[str, int] = RANK) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, float]]]:
     """(start, kind's number, end) of the base kinds, those and the guessed values, and (start, end, guess cost) of each value in a credential context."""
     base, values = [], []
     if NEAR.search(text):
         base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_LEAST]
-        values = [(*m.span(m.lastindex), guess_cost(m[m.lastindex])) for m in CONTEXT.finditer(text)]
+        values = [(*m.span(m.lastindex), guess_cost(m[m.lastindex], ranks)) for m in CONTEXT.finditer(text)]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     base += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base.sort()
-    more = [(a, 3, b) for a, b, cost in values if cost >= LEAST_GUESSES and b - a >= LEAST_CHARACTERS]
+    more = [(a, 3, b) for a, b, cost in values if b - a >= LEAST_CHARACTERS and cost >= needed(text[a:b])]
     return base, sorted(base + more), values
 
 
@@ -142,14 +196,16 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas. Base kinds: assign (a name, then a
     value of at least 6 characters), access and hex; a match of a kind begins after the one before. Kind guess: a value in a credential
-    context whose guess cost reaches LEAST_GUESSES. max_guess_cost: of all such values, null
+    context whose guess cost reaches LEAST_GUESSES, or LEAST_OF_WORDS if it is words and marks only. The words that are known come from all the table's texts. max_guess_cost: of all such values, null
     where there is none. A null text counts as empty: no spans, the digest of the empty string. Repeated rows give repeated rows, an empty table none; further columns are left out.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, text))  # KNOWN words
+
     def make(texts: list[str]) -> dict[str, list]:
         out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_guess", "max_guess_cost")}
         for x in texts:
-            base, every, values = secrets(x)
+            base, every, values = secrets(x, shared.value)
             kinds = [kind for _, kind, _ in every]
             row = [*(kinds.count(k) for k in range(3)), hashlib.sha256(spans(base).encode()).hexdigest(), spans(every), kinds.count(3), max((c for *_, c in values), default=None)]
             for name, value in zip(out, row, strict=True):

@@ -172,20 +172,44 @@ def test_guess_costs():
     assert all(cost(x) > 12 for x in ("x8Kq2!pL9z", "wqjZk38dk2LsPq0"))
     assert cost("passwordqwerty") < cost("passwordqwxkty")
 
-    def slow(value):  # every way to cut into words and spans without pattern
-        each, n = secrets.spread(value), len(value)
-        best = [0.0] + [math.inf] * n
-        for end in range(1, n + 1):
-            for begin in range(end):
-                base = best[begin] + (math.log10(2) if begin else 0)
-                part = value[begin:end]
-                best[end] = min(best[end], base + each * len(part), base + math.log10(secrets.RANK[part] + 1) if part in secrets.RANK else math.inf)
-        return best[n]
-
-    for v in ("kgloverzmonkeyb", "housegreenxk", "kfjwmzp"):
+    def slow(value):  # every way to cut into segments and spans without pattern
+        each, n, parts = secrets.spread(value), len(value), secrets.segments(value)
+        best = math.inf
+        for bits in range(1 << (n - 1)):
+            cuts = [0, *(k + 1 for k in range(n - 1) if bits >> k & 1), n]
+            total = math.log10(2) * (len(cuts) - 2)
+            for a, b in itertools.pairwise(cuts):
+                total += min([each * (b - a), *(c for size, c in parts.get(a, ()) if size == b - a)])
+            best = min(best, total)
+        return best
+
+    for v in ("kgloverxmonk", "ho5se2024aaaa", "qwertyx9111", "kfjwmzp", "abcabcab-Key", "p4ss.99"):
         assert cost(v) == pytest.approx(slow(v))
 
 
+def test_segments_of_all_kinds():
+    has = lambda v, part: any(v[i : i + size] == part for i, found in secrets.segments(v).items() for size, _ in found)
+    assert has("xx20240131y", "20240131") and has("x1990", "1990") and has("--zxcvbnz", "zxcvbn") and has("99abcabcx", "abcabc") and has("x56789", "56789") and has("9P4ssw0rd", "P4ssw0rd") and has("a-b", "-")
+    assert has("x9 Kubernetes", "Kubernetes") and not has("kfjwmzp", "kfjwmzp") and secrets.segments("") == {}
+
+
+def test_ordinary_values_are_no_secrets(spark):
+    for value in ("considerable", "birthdays", "kubernetes", "requirements", "authentication", "https://example.com/login", "mandatory-parameter", "your-api-key-here", "Required", "changeme123", "2024-01-31"):
+        assert not [1 for _, kind, _ in secrets.secrets(f"token: {value} ")[1] if kind == 3], value
+    for value in ("k7Zq!w9pRx", "correct horse battery staple", "xK9pLm2QwRt5", "ghx7fk2lqpz9"):
+        assert [1 for _, kind, _ in secrets.secrets(f'token: "{value}" ')[1] if kind == 3], value
+    ranks = secrets.word_ranks(documents(spark, *((i, f"Zyzzqx said x{i}y {'twice qqtt' if i < 2 else ''}") for i in range(5))))
+    assert ranks["zyzzqx"] <= len(secrets.RANK) + 2 and "qqtt" not in ranks and "twice" not in ranks
+    assert secrets.guess_cost("zyzzqx", ranks) < 3 < secrets.guess_cost("zyzzqx")
+
+
+def test_secrets_of_odd_rows(spark):
+    long = "x " * 400_000 + "password: " + "aB3" * 2000
+    rows = secrets.scan_secrets(documents(spark, (1, long), (1, long), (2, None), (None, "a"))).collect()
+    assert sorted(r.n_assign for r in rows) == [0, 0, 1, 1] and len(rows) == 4
+    assert secrets.scan_secrets(documents(spark, (1, "x")).limit(0)).count() == 0
+
+
 def plain_rules(text):
     w, n = WORD.findall(text or ""), len(WORD.findall(text or ""))
     at = defaultdict(list)
