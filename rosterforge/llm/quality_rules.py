@@ -21,9 +21,8 @@ COMMON = {
     "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "ist"),
     "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"),
 }
-#: A text is rejected if either divergence (Jensen-Shannon, in bits) is above this. Shorter texts and smaller references say too little, and reject nothing.
-MOST_CHARACTERS, MOST_WORDS = 0.12, 0.13
-GUARD_WORDS, GUARD_REFERENCE = 50, 5000
+#: A text is rejected if its two divergences (Jensen-Shannon, in bits) together are above MOST + SHORT / sqrt(words). Texts of fewer than GUARD_WORDS words say too little, and are not rejected by them.
+MOST, SHORT, GUARD_WORDS = 0.08, 0.3, 50
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -100,26 +99,26 @@ def divergence(p: Column, q: Column) -> Column:
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_divergence, words_divergence.
 
-    base_failed: fewer than 20 words, or more than 30 percent of the words in repeated 8-word windows. kept: not base_failed, and neither histogram
-    is further from that of all the table's texts in the same language than MOST_CHARACTERS and MOST_WORDS. A text of fewer than GUARD_WORDS words, or in a language with
-    fewer than GUARD_REFERENCE words in all, is not judged by its histograms; nor is one without a language. A null text counts as
+    base_failed: fewer than 20 words, or more than 30 percent of the words in repeated 8-word windows. kept: not base_failed, and the histograms are not further than MOST + SHORT / sqrt(words) from those of all the
+    table's texts in the same language; of a language without a list of common words only characters are compared. A text without a language is compared with the whole table.
+    So a verdict depends on the other texts of the table, junk among them. A text of fewer than GUARD_WORDS words is not judged by its histograms. A null text counts as
     empty (it fails the base rules); repeated rows give repeated rows, an empty table none; further columns are left out.
     """
     found = written(features(docs, key, text, lang), "quality-features")
     sums = lambda c, n: F.array(*[F.coalesce(F.sum(F.get(c, F.lit(k))), F.lit(0)) for k in range(n)])
-    totals = found.groupBy("lang").agg(F.sum("n_words").alias("all_words"), sums("chars", len(CLASSES) + 1).alias("all_chars"), sums("common", 13).alias("all_common"))
+    totals = [sums("chars", len(CLASSES) + 1).alias("all_chars"), sums("common", 13).alias("all_common")]
+    by_lang = found.where("lang IS NOT NULL").groupBy("lang").agg(*totals).union(found.agg(F.lit(None).cast("string").alias("lang"), *totals))
     # written, so that its size is known when the join is planned: few languages are broadcast, and texts are not dealt out by language
-    reference = written(totals, "quality-references")
+    reference = written(by_lang.withColumnRenamed("lang", "of"), "quality-references")
     doubles = lambda c: F.transform(c, lambda v: v.cast("double"))
-    judged = found.join(reference, "lang", "left").select(
+    judged = found.join(reference, F.col("lang").eqNullSafe(F.col("of")), "left").select(
         *[c for c in found.columns if c not in ("lang", "chars", "common")],
         ((F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))).alias("base_failed"),
-        ((F.col("n_words") >= GUARD_WORDS) & (F.coalesce("all_words", F.lit(0)) >= GUARD_REFERENCE)).alias("judged"),
         divergence(doubles("chars"), doubles("all_chars")).alias("chars_divergence"),
         divergence(doubles("common"), doubles("all_common")).alias("words_divergence"),
     )
-    far = (F.coalesce("chars_divergence", F.lit(0.0)) > MOST_CHARACTERS) | (F.coalesce("words_divergence", F.lit(0.0)) > MOST_WORDS)
-    kept = ~F.col("base_failed") & ~(F.col("judged") & far)
+    far = F.coalesce("chars_divergence", F.lit(0.0)) + F.coalesce("words_divergence", F.lit(0.0)) > MOST + SHORT / F.sqrt("n_words")
+    kept = ~F.col("base_failed") & ~((F.col("n_words") >= GUARD_WORDS) & far)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "chars_divergence", "words_divergence")
 
 
@@ -147,10 +146,11 @@ f AS (SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) A
   len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS n_dup_lines,
   coalesce(n, 0) AS n_repeat_words, [{', '.join(classes)}] AS c, list_transform(CASE {common} END, lambda k: len(list_filter(ws, lambda w: lower(w) = k))) AS h FROM d LEFT JOIN covered USING (doc_id)),
 g AS (SELECT *, list_transform(list_append(c, word_chars - list_sum(c)), lambda v: v::DOUBLE) AS chars, list_transform(list_append(h, n_words - list_sum(h)), lambda v: v::DOUBLE) AS common FROM f),
-r AS (SELECT lang AS l, sum(n_words) AS all_words, {sums('chars', len(CLASSES) + 1)} AS all_chars, {sums('common', 13)} AS all_common FROM g GROUP BY 1),
-j AS (SELECT g.*, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, n_words >= {GUARD_WORDS} AND coalesce(all_words, 0) >= {GUARD_REFERENCE} AS judged,
-  {_sql_divergence('chars', 'all_chars')} AS a, {_sql_divergence('common', 'all_common')} AS b FROM g LEFT JOIN r ON l = lang)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (judged AND (a > {MOST_CHARACTERS} OR b > {MOST_WORDS})) AS kept FROM j"""
+r AS (SELECT lang AS l, {sums('chars', len(CLASSES) + 1)} AS all_chars, {sums('common', 13)} AS all_common FROM g WHERE lang IS NOT NULL GROUP BY 1
+  UNION ALL SELECT NULL, {sums('chars', len(CLASSES) + 1)}, {sums('common', 13)} FROM g),
+j AS (SELECT g.*, n_words < {FEWEST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
+  {_sql_divergence('chars', 'all_chars')} AS a, {_sql_divergence('common', 'all_common')} AS b FROM g LEFT JOIN r ON l IS NOT DISTINCT FROM lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (n_words >= {GUARD_WORDS} AND a + b > {MOST} + {SHORT} / sqrt(n_words)) AS kept FROM j"""
 
 
 OP5_SQL = _sql()
