@@ -9,11 +9,11 @@ from .near_dups import OP3_SQL, op3_ngram_jaccard
 from .quality_model import op6_quality_classifier
 from .quality_rules import OP5_SQL, op5_quality_rules
 from .secrets import op8_secret_scan
-from .sharding import op7_sharding
+from .sharding import OP7_SQL, op7_sharding
 from .tokens import op9_bpe, op10_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (op1_exact_dedup, op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_sharding, op8_secret_scan, op9_bpe, op10_token_counts)
 }
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_quality_rules": OP5_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_sharding": OP7_SQL}

@@ -30,12 +30,13 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return at
 
 
-def jump_shard(key: Column, shards: int) -> Column:
-    """The shard of a long key; a null key counts as 0."""
+def jump_shards(key: Column, shards: int) -> Column:
+    """The shard of a long key, and its shard if there were one more (a struct shard, grown_shard); a null key counts as 0."""
 
-    @F.pandas_udf("int")
-    def of(keys: pd.Series) -> pd.Series:
-        return pd.Series(jump(keys.to_numpy(np.int64), shards).astype(np.int32))
+    @F.pandas_udf("shard int, grown_shard int")
+    def of(keys: pd.Series) -> pd.DataFrame:
+        own = keys.to_numpy(np.int64)
+        return pd.DataFrame({"shard": jump(own, shards).astype(np.int32), "grown_shard": jump(own, shards + 1).astype(np.int32)})
 
     return of(F.coalesce(key.cast("long"), F.lit(0)))
 
@@ -52,10 +53,10 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     # columns are renamed at once, so that further columns of the input cannot clash
     named = docs.select(F.col(key).cast("long").alias("doc_id"), whole(text).alias("text"))
     placed = named.select(
-        "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"),
-        jump_shard(F.col("doc_id"), shards).alias("shard"), jump_shard(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(blocks)).cast("int").alias("block"),
-    )
+        "doc_id", (F.octet_length("text") + 8).cast("long").alias("size"), F.crc32("text").alias("text_crc32"), jump_shards(F.col("doc_id"), shards).alias("to"),
+        # rows without a key are one shard's; their texts put them into blocks
+        F.pmod(F.coalesce("doc_id", F.crc32("text")), F.lit(blocks)).cast("int").alias("block"),
+    ).select("doc_id", "size", "text_crc32", "to.shard", "to.grown_shard", "block")
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     counters = placed.groupBy("shard", "block").count()
     begins = counters.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("begins"))
@@ -67,5 +68,17 @@ def shard_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     )
 
 
+#: DuckDB has no crc32: its table of 256 entries comes from the rule of its polynomial, and bytes are folded one after another.
+OP7_SQL = f"""
+WITH RECURSIVE bits AS (SELECT i AS n, i AS v, 0 AS k FROM range(256) t(i) UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 8 AS size FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(text), '..'), lambda x: ('0x' || x)::BIGINT)), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, crc),
+j AS (SELECT doc_id, n, doc_id::HUGEINT AS state, 0::BIGINT AS here, 0::BIGINT AS there FROM documents, (VALUES ({SHARDS}), ({SHARDS} + 1)) s(n)
+  UNION ALL SELECT doc_id, n, s2, there, floor((there + 1) * (2147483648::DOUBLE / ((s2 >> 33) + 1)::DOUBLE))::BIGINT FROM (SELECT *, (state * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS s2 FROM j WHERE there < n)),
+placed AS (SELECT doc_id, max(here) FILTER (n = {SHARDS}) AS shard, max(here) FILTER (n = {SHARDS} + 1) AS grown_shard FROM j GROUP BY 1)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id % {BLOCKS}, doc_id) - 1 AS slot, grown_shard::INTEGER AS grown_shard FROM c JOIN placed USING (doc_id)"""
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
