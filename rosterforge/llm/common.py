@@ -66,6 +66,17 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_working: list = [None, None]
+
+
+def works(operator: str, forget: Callable[[], object] = lambda: None) -> None:
+    """Says, where a task begins, for which operator a worker works. What it remembers for another one is forgotten then, so that a worker that serves several in turn holds no more than one's memory."""
+    if _working[0] != operator:
+        if _working[1]:
+            _working[1]()
+        _working[:] = operator, forget
+
+
 def map_texts(docs: DataFrame, make: Callable[[list[str]], dict[str, list]], schema: str, key: str = "doc_id", text: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and what `make` gives for the texts, a null text as the empty text.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import CHUNK, Encoder, Remembered, json_encoder, rank_encoder
-from .common import documents, map_texts
+from .common import documents, map_texts, works
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 #: A text with more tokens than this is over the limit.
@@ -20,6 +20,12 @@ LIMIT = 1024
 _memories: dict[tuple, Remembered] = {}
 
 
+def forget() -> None:
+    _memories.clear()
+    rank_encoder.cache_clear()
+    json_encoder.cache_clear()
+
+
 def memory(kind: str, path: str, make: Callable) -> Remembered:
     """What a worker remembers of chunks from one task to the next."""
     return _memories.setdefault((kind, path), Remembered(make))
@@ -38,6 +44,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
     """
 
     def make(texts: list[str]) -> dict[str, list]:
+        works("tokens", forget)
         encoder = rank_encoder(path, pattern)
         known = packed(encoder, path).__getitem__
         ids = [b"".join(map(known, CHUNK.findall(x))) for x in texts]
@@ -65,6 +72,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public
     path = path or public_tokenizers.path(MODEL)
 
     def make(texts: list[str]) -> dict[str, list]:
+        works("tokens", forget)
         encoder, added = json_encoder(path, pattern)
         known = memory("tables", path, encoder.table)
         special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
