@@ -53,6 +53,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keys(key: Column, text: Column) -> dict[str, Column]:
+    """Columns that tell rows apart by doc_id and text, in joins that hold null ids for equal: __id, __none (whether it is null) and __hash. Rows that have all three in common repeat each other."""
+    return {"__id": F.coalesce(key.cast("long"), F.lit(0).cast("long")), "__none": key.isNull(), "__hash": F.xxhash64(text)}
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """The rows of docs, written with a number of their own in a column __row: decisions carried on it meet one row each, whatever ids and texts repeat."""
     return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
