@@ -80,6 +80,7 @@ def works(operator: str, forget: Callable[[], object] = lambda: None) -> None:
         if _working[1]:
             _working[1]()
         _working[:] = operator, forget
+    pa.default_memory_pool().release_unused()
 
 
 def map_texts(docs: DataFrame, make: Callable[[list[str]], dict[str, list]], schema: str, key: str = "doc_id", text: str = "text", part_bytes: int = 4 << 20) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,10 +33,10 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 def jump_shards(key: Column, shards: int) -> Column:
     """The shard of a long key, and its shard if there were one more (a struct shard, grown_shard); a null key counts as 0."""
 
-    @F.pandas_udf("shard int, grown_shard int")
-    def of(keys: pd.Series) -> pd.DataFrame:
-        own = keys.to_numpy(np.int64)
-        return pd.DataFrame({"shard": jump(own, shards).astype(np.int32), "grown_shard": jump(own, shards + 1).astype(np.int32)})
+    @F.arrow_udf("shard int, grown_shard int")
+    def of(keys: pa.Array) -> pa.Array:
+        own = keys.to_numpy(zero_copy_only=False)
+        return pa.StructArray.from_arrays([pa.array(jump(own, n), pa.int32()) for n in (shards, shards + 1)], ["shard", "grown_shard"])
 
     return of(F.coalesce(key.cast("long"), F.lit(0)))
 
