@@ -80,18 +80,21 @@ def top_groups(made: DataFrame, k: int = 5) -> DataFrame:
     return made.orderBy(severity_rank(F.col("severity")), F.desc("count"), "first_record").limit(k)
 
 
+def _first_of_each(rows: DataFrame, most: int) -> DataFrame:
+    """The rows of each group that come first by `at`. Spark keeps `most` rows of a group in each task before the shuffle, as the rank is compared with a constant."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("group_id").orderBy("at"))).where(F.col("__n") <= most).drop("__n")
+
+
 def examples(df: DataFrame, order: str = "recordNumber", most: int = EXAMPLES) -> DataFrame:
-    """(group_id, records): the first errors of each group. Errors are cut into 64 shares first, each of which passes on its own first ones only."""
-    first = lambda c: F.slice(F.array_sort(F.collect_list(c)), 1, most)
-    near = with_groups(df).groupBy("group_id", (F.col(order) % 64).alias("share")).agg(first(F.col(order)).alias("first"))
-    return near.groupBy("group_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, most).alias("records"))
+    """(group_id, records): the first errors of each group. Tasks pass on the first ones of each group only, before errors are dealt out."""
+    first = _first_of_each(with_groups(df).select("group_id", F.col(order).alias("at")), most)
+    return first.groupBy("group_id").agg(F.array_sort(F.collect_list("at")).alias("records"))
 
 
 def affected_emails(df: DataFrame, order: str = "recordNumber", most: int = EMAILS) -> DataFrame:
     """(group_id, emails): the first distinct emails of each group."""
     firsts = with_groups(df).where(F.coalesce("email", F.lit("")) != "").groupBy("group_id", "email").agg(F.min(order).alias("at"))
-    near = firsts.groupBy("group_id", F.pmod(F.hash("email"), F.lit(64)).alias("__p")).agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "email"))), 1, most).alias("first"))
-    chosen = near.groupBy("group_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, most).alias("first"))
+    chosen = _first_of_each(firsts, most).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "email"))).alias("first"))
     return chosen.select("group_id", F.transform("first", lambda x: x["email"]).alias("emails"))
 
 

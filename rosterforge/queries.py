@@ -119,9 +119,8 @@ def q01_canonical_projection(spark, sf_dir):
 
 @query(f"SELECT record_number, CAST({BOOL_SQL} AS VARCHAR) AS parsed, CASE WHEN trim(email_verified) = '' THEN email_verified ELSE CAST(coalesce({BOOL_SQL}, false) AS VARCHAR) END AS fixed FROM users", USERS_SQL)
 def q02_boolean_like(spark, sf_dir):
-    rows = users(spark, sf_dir)
-    fixed = validate.fix_rows(rows, [validate.rule_by_id("boolean-format")])
-    return fixed.select("record_number", F.col("email_verified").alias("fixed")).join(rows.select("record_number", text.bool_text(F.col("email_verified")).alias("parsed")), "record_number").select("record_number", "parsed", "fixed")
+    rows = users(spark, sf_dir).withColumn("parsed", text.bool_text(F.col("email_verified")))
+    return validate.fix_rows(rows, [validate.rule_by_id("boolean-format")]).select("record_number", "parsed", F.col("email_verified").alias("fixed"))
 
 
 ISSUES_SQL = """

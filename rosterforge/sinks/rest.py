@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..sources.rest import Bucket, RetryAfter, with_retry
+from ..functions import text
+from ..sources.rest import Bucket, RetryAfter, asked_seconds, with_retry
 
 RESULT = "record_number long, user_outcome string, membership_outcome string, error_type string, error string, http_status int"
 
@@ -15,7 +17,8 @@ RESULT = "record_number long, user_outcome string, membership_outcome string, er
 def load(rows: DataFrame, client, rate: float = 50.0, tasks: int = 8, require_membership: bool = False) -> DataFrame:
     """What came of each row (record_number, email, org, roles, ...): RESULT.
 
-    client: picklable, with create_user(row) -> (status, id), create_membership(user_id, org, roles) -> status and delete_user(id) -> status. Rows of one email go to one task, so a user is made once;
+    client: picklable, with create_user(row) -> (status, id), create_membership(user_id, org, roles) -> status, delete_user(id) -> status and, for users that are there already, user_by_email(email) -> (status, id). A body in the
+    place of the id of a 429 or a server error may have retry_after. Rows of one email, trimmed and in lower case, go to one task, so a user is made once;
     a 409 counts as a duplicate, so a task that runs again does no harm. A membership that fails with 422 is tried without roles. With require_membership, a user made for a row whose
     membership fails is deleted again. The frame does the calls when it is acted on: write it once, and keep speculation off.
     """
@@ -30,13 +33,13 @@ def load(rows: DataFrame, client, rate: float = 50.0, tasks: int = 8, require_me
                 answer = f(*args)
                 status = answer[0] if isinstance(answer, tuple) else answer
                 if status == 429 or status >= 500:
-                    raise RetryAfter(status)
+                    raise RetryAfter(status, asked_seconds(answer[1] if isinstance(answer, tuple) else None))
                 return answer
 
             try:
                 return with_retry(once)
             except RetryAfter as e:
-                return (e.status, None) if f == client.create_user else e.status
+                return e.status if f in (client.create_membership, client.delete_user) else (e.status, None)
 
         for batch in batches:
             out = []
@@ -47,13 +50,17 @@ def load(rows: DataFrame, client, rate: float = 50.0, tasks: int = 8, require_me
                     status, user = call(client.create_user, row)
                     made = status in (200, 201)
                     outcome = "created" if made else "duplicate" if status == 409 else None
+                    if outcome == "duplicate" and user is None:  # the answer names no user: the service is asked for it
+                        user = call(client.user_by_email, email)[1] if hasattr(client, "user_by_email") else None
                     if outcome:
                         users[email] = user
                 if outcome is None:
                     out.append((row["record_number"], None, None, "user_create", f"status {status}", status))
                     continue
                 failed = None
-                if row.get("org"):
+                if row.get("org") and users[email] is None:
+                    failed = status = 409
+                elif row.get("org"):
                     status = call(client.create_membership, users[email], row["org"], list(row.get("roles") if row.get("roles") is not None else []))
                     if status == 422:
                         status = call(client.create_membership, users[email], row["org"], [])
@@ -64,7 +71,7 @@ def load(rows: DataFrame, client, rate: float = 50.0, tasks: int = 8, require_me
                 out.append((row["record_number"], outcome, member, "membership_create" if failed else None, f"status {failed}" if failed else None, status))
             yield pd.DataFrame(out, columns=[f.strip().split(" ")[0] for f in RESULT.split(",")])
 
-    return rows.repartition(tasks, "email").sortWithinPartitions("record_number").mapInPandas(run, RESULT)
+    return rows.repartition(tasks, text.email_key(F.col("email"))).sortWithinPartitions("record_number").mapInPandas(run, RESULT)
 
 
 def enroll(planned: DataFrame, client, rate: float = 50.0, tasks: int = 4) -> DataFrame:

@@ -32,7 +32,7 @@ class Bucket:
     """A token bucket: `rate` calls a second, `burst` at once. Each task has its own, with its share of the whole rate."""
 
     def __init__(self, rate: float, burst: float | None = None, clock=time.monotonic, sleep=time.sleep):
-        self.rate, self.burst, self.clock, self.sleep = rate, burst or rate, clock, sleep
+        self.rate, self.burst, self.clock, self.sleep = rate, max(1.0, burst or rate), clock, sleep
         self.tokens, self.at = self.burst, clock()
 
     def acquire(self) -> None:
@@ -54,6 +54,15 @@ class RetryAfter(Exception):
         self.status, self.seconds = status, seconds
 
 
+def asked_seconds(body) -> float | None:
+    """The seconds after which an answer asks to come again: its retry_after or Retry-After, if it is a number of 0 or more."""
+    value = next((body[k] for k in ("retry_after", "Retry-After", "retry-after") if k in body), None) if isinstance(body, dict) else None
+    try:
+        return float(value) if value is not None and float(value) >= 0 else None
+    except (TypeError, ValueError):
+        return None
+
+
 def with_retry(call, tries: int = 3, base: float = 0.5, sleep=time.sleep):
     """call(), again after a 429 or a server error: after the time the server asks for, else after base, 2 base, 4 base ..."""
     for n in range(tries):
@@ -67,7 +76,7 @@ def with_retry(call, tries: int = 3, base: float = 0.5, sleep=time.sleep):
 
 @dataclass
 class Resource:
-    """A paged collection. path may name a parent, {parent}; parents are split among tasks, a collection without parents by page ranges of `pages_each`."""
+    """A paged collection. path may name a parent, {parent}; parents are split among tasks, a collection without parents by page ranges of `pages_each`. tasks: how many run at a time and share the rate; parents make no more parts than that."""
 
     path: str
     schema: str
@@ -79,11 +88,12 @@ class Resource:
     fields: bool = False
     offset: str | None = None
     rate: float = 50.0
+    tasks: int = 8
 
 
 @dataclass
 class Part(InputPartition):
-    parent: str | None
+    parents: list[str | None]
     first_page: int
     pages: int | None
 
@@ -95,14 +105,18 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[Part]:
         r = self.resource
         if r.parents:
-            return [Part(p, 0, None) for p in r.parents]
+            return [Part(list(r.parents[k :: r.tasks]), 0, None) for k in range(min(r.tasks, len(r.parents)))]
         if r.cursor or not self.total_pages:
-            return [Part(None, 0, None)]
-        return [Part(None, k, min(r.pages_each, self.total_pages - k)) for k in range(0, self.total_pages, r.pages_each)]
+            return [Part([None], 0, None)]
+        return [Part([None], k, min(r.pages_each, self.total_pages - k)) for k in range(0, self.total_pages, r.pages_each)]
 
     def read(self, part: Part) -> Iterator[tuple]:
+        bucket = Bucket(self.resource.rate / max(1, min(self.resource.tasks, len(self.partitions()))))
+        for parent in part.parents:
+            yield from self._pages(part, parent, bucket)
+
+    def _pages(self, part: Part, parent: str | None, bucket: Bucket) -> Iterator[tuple]:
         r = self.resource
-        bucket = Bucket(r.rate / max(1, len(self.partitions())))
         page, after = part.first_page, None
         while part.pages is None or page < part.first_page + part.pages:
             params = {"per_page": r.per_page}
@@ -117,9 +131,9 @@ class PagedReader(DataSourceReader):
 
             def call(params=params):
                 bucket.acquire()
-                status, body = self.client.get(r.path.format(parent=part.parent), params)
+                status, body = self.client.get(r.path.format(parent=parent), params)
                 if status == 429 or status >= 500:
-                    raise RetryAfter(status)
+                    raise RetryAfter(status, asked_seconds(body))
                 return status, body
 
             status, body = with_retry(call)
@@ -129,7 +143,7 @@ class PagedReader(DataSourceReader):
                 raise RuntimeError(f"{r.path}: status {status}")
             rows = body[r.items] if r.items else body
             for row in rows:
-                yield tuple(part.parent if n == "parent" else row.get(n) for n in self.names)
+                yield tuple(parent if n == "parent" else row.get(n) for n in self.names)
             after = body.get("after") if r.cursor else None
             if (r.cursor and not after) or (not r.cursor and len(rows) < r.per_page):
                 return

@@ -23,10 +23,12 @@ def process_chunks(found: DataFrame, size: int, table: str) -> DataFrame:
 
 
 def finished_chunks(spark: SparkSession, table: str) -> DataFrame | None:
+    """The chunks that the table has; None where it is not there or has no data yet, as after a run that was broken off before its first commit."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path) or not any(s.getPath().getName().endswith(".parquet") for s in files.listStatus(path)):
         return None
-    return spark.read.parquet(table).select("chunk_id").distinct()
+    return spark.read.schema("chunk_id long").parquet(table).distinct()
 
 
 def last_job(spark: SparkSession, folder: str) -> str | None:

@@ -176,3 +176,37 @@ def test_streams(spark, tmp_path):
     counted = incremental.org_counts(stream, "ts").writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
     counted.awaitTermination(120)
     assert spark.table("counted").agg(F.sum("rows")).first()[0] == 50
+
+
+def test_parents_share_the_rate_of_the_tasks_that_run():
+    reader = rest.PagedReader(None, rest.members([str(k) for k in range(10_000)], tasks=4), ["parent", "user_id"], 0)
+    parts = reader.partitions()
+    assert len(parts) == 4 and sorted(p for part in parts for p in part.parents) == sorted(str(k) for k in range(10_000))
+    waits = []
+    slow = rest.Bucket(0.5, clock=lambda: 0.0, sleep=waits.append)
+    slow.acquire()
+    slow.acquire()
+    assert waits == [2.0]
+
+
+def test_retry_waits_as_long_as_the_server_asks():
+    assert rest.asked_seconds({"retry_after": "7"}) == 7 and rest.asked_seconds({"Retry-After": 0}) == 0
+    assert rest.asked_seconds({"Retry-After": "soon"}) is None and rest.asked_seconds([1]) is None and rest.asked_seconds(None) is None
+    waits, answers = [], iter([(429, {"retry_after": 9}), (200, [])])
+
+    def call():
+        status, body = next(answers)
+        if status == 429:
+            raise rest.RetryAfter(status, rest.asked_seconds(body))
+        return body
+
+    assert rest.with_retry(call, sleep=waits.append) == [] and waits == [9]
+
+
+def test_resume_after_a_run_without_data(spark, tmp_path):
+    import os
+
+    from rosterforge.streaming import incremental
+
+    os.makedirs(tmp_path / "table" / "_temporary")
+    assert incremental.finished_chunks(spark, str(tmp_path / "table")) is None
