@@ -180,6 +180,7 @@ class Encoder:
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"(?!\S)", rf"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
         self.known = Remembered(self.piece_ids, REMEMBERED // 4)
+        self.lengths = Remembered(lambda piece: Prefixes(vocabulary, piece.encode()).lengths()[1:], REMEMBERED // 4)
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a piece, packed as little-endian unsigned 32-bit integers."""
@@ -194,11 +195,11 @@ class Encoder:
         """Of each prefix of a chunk's bytes, the empty one first: the number of its tokens, and the bytes of its last token. A prefix that ends in a piece counts as the pieces before it and the part of that one."""
         counts, lengths = [0], [0]
         for piece in self.pieces.findall(chunk):
-            own = Prefixes(self.vocabulary, piece.encode()).lengths()
-            for n in own[1:]:
-                counts.append(counts[len(counts) - n] + 1)
-            lengths += own[1:]
-        return tuple(bytes(x) if max(x) < 256 else array("I", x) for x in (counts, lengths))
+            own = self.lengths[piece]
+            for n in own:
+                counts.append(counts[-n] + 1)
+            lengths += own
+        return (bytes(counts), bytes(lengths)) if len(counts) <= 256 else (array("I", counts), array("I", lengths))
 
     def chunk_ids(self, chunk: str) -> list[int]:
         data = self.packed(chunk)

@@ -11,10 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import CHUNK, Encoder, Remembered, json_encoder, rank_encoder
+from .bpe import CHUNK, REMEMBERED, Encoder, Remembered, json_encoder, rank_encoder
 from .common import documents, map_texts, works
 
 RANKS, MODEL = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+#: Chunks whose tables of prefixes a worker remembers, and as many older ones: about 300 MB.
+TABLES = 500_000
 #: A text with more tokens than this is over the limit.
 LIMIT = 1024
 _memories: dict[tuple, Remembered] = {}
@@ -26,9 +28,9 @@ def forget() -> None:
     json_encoder.cache_clear()
 
 
-def memory(kind: str, path: str, make: Callable) -> Remembered:
+def memory(kind: str, path: str, make: Callable, limit: int = REMEMBERED) -> Remembered:
     """What a worker remembers of chunks from one task to the next."""
-    return _memories.setdefault((kind, path), Remembered(make))
+    return _memories.setdefault((kind, path), Remembered(make, limit))
 
 
 def packed(encoder: Encoder, path: str) -> Remembered:
@@ -74,7 +76,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public
     def make(texts: list[str]) -> dict[str, list]:
         works("tokens", forget)
         encoder, added = json_encoder(path, pattern)
-        known = memory("tables", path, encoder.table)
+        known = memory("tables", path, encoder.table, TABLES)
         special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         out: dict[str, list] = {"n_bytes": [], "n_tokens": [], "over_limit": [], "limit_bytes": []}
         for x in texts:
