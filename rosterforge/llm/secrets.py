@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_texts, whole
+from .common import documents, drop_written, map_texts, whole, written
 
 # The patterns of the base kinds, in the order in which the kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -152,7 +152,8 @@ def _runs(text: str, near: frozenset[tuple[str, str]]) -> dict[int, list[tuple[i
 
 
 def word_ranks(docs: DataFrame, text: str = "text", most: int = KNOWN, least: int = LEAST_SEEN) -> dict[str, int]:
-    """The ranks of WORDS and after them of the corpus's words, by the number of documents that have them. All documents are counted; `most` words go to the driver."""
+    """The ranks of WORDS and after them of the corpus's words, by the number of documents that have them. All documents are counted; the words above a number of documents, in steps of quarter powers of 2, that
+    leaves `most` of them or fewer go to the driver."""
 
     def run(batches):
         seen: Counter = Counter()
@@ -165,7 +166,14 @@ def word_ranks(docs: DataFrame, text: str = "text", most: int = KNOWN, least: in
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
     counts = docs.select(whole(docs[text]).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = [r.word for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    counts = written(counts.where(F.col("n") >= least).withColumn("step", F.floor(F.log2("n") * 4)), "secret-words")
+    steps = {r.step: r.words for r in counts.groupBy("step").agg(F.count("*").alias("words")).collect()}
+    bound, total = max(steps, default=-1) + 1, 0
+    while bound > 0 and total + steps.get(bound - 1, 0) <= most:
+        bound -= 1
+        total += steps.get(bound, 0)
+    found = [w for _, w in sorted((-r.n, r.word) for r in counts.where(F.col("step") >= bound).select("word", "n").collect())]  # `most` words
+    drop_written(counts)
     return {w: k for k, w in reversed(list(enumerate([*RANK, *(w for w in found if w not in RANK)], 1)))}
 
 
