@@ -13,13 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 
 #: The first OPENING classes hold the symbols that begin a word, and END; the others those that go on with one.
-WIDTH, CLASSES, OPENING = 16, 64, 32
+WIDTH, CLASSES, OPENING = 16, 128, 64
 #: Positions are scored in blocks of STEP; a window is a block and the one before it, so windows overlap and each position is scored once.
-STEP = 8
+STEP = 16
 #: Blocks worked on at a time.
 BATCH = 256
 #: Positions of a part of a sequence that is learned from, a multiple of STEP, and of a step of learning.
-LONGEST, POSITIONS = 512, 2048
+LONGEST, POSITIONS = 512, 4096
 END, BYTES = 0, 256
 
 
@@ -103,21 +103,22 @@ def gradients(m: Model, last: np.ndarray, then: np.ndarray, first: np.ndarray) -
     """Of the mean negative log probability of the classes, by LEARNED."""
     before = last[np.maximum(np.arange(len(last)) - 1, 0)]
     weights, seen = attend(m, last, before, first)
-    weights /= weights.sum(axis=2, keepdims=True)
-    read = weights @ m.value[seen]
+    values = m.value[seen]
+    weights /= (weights @ np.ones((2 * STEP, 1), weights.dtype))
+    read = weights @ values
     x, y = last.ravel(), np.maximum(then.ravel(), 0)
     flat = read.reshape(-1, WIDTH)
-    logits = flat @ m.out + m.after[x]
-    logits -= logits.max(axis=1, keepdims=True)
-    d = np.exp(logits)
-    d /= d.sum(axis=1, keepdims=True)
-    d[np.arange(len(x)), m.classes[y]] -= 1
+    d = flat @ m.out
+    d += m.after[x]
+    np.exp(d, out=d)
+    d /= (d @ np.ones((CLASSES, 1), d.dtype)) * d.dtype.type(max(1, int((then >= 0).sum())))
+    d[np.arange(len(x)), m.classes[y]] -= d.dtype.type(1 / max(1, int((then >= 0).sum())))
     d[then.ravel() < 0] = 0
-    d /= max(1, int((then >= 0).sum()))
-    d_read = (d @ m.out.T).reshape(read.shape)
-    values = m.value[seen]
-    d_weights = d_read @ values.transpose(0, 2, 1)
-    d_scores = weights * (d_weights - (weights * d_weights).sum(axis=2, keepdims=True))
+    d_flat = d @ m.out.T
+    d_read = d_flat.reshape(read.shape)
+    d_scores = d_read @ values.transpose(0, 2, 1)
+    d_scores -= np.einsum("ij,ij->i", d_flat, flat).reshape(*last.shape, 1)
+    d_scores *= weights
     scaled = d_scores * np.float32(WIDTH**-0.5)
     def to_keys(d_window: np.ndarray) -> np.ndarray:
         """Of what windows give their keys: by position. A block's keys are those of the next block's window too, unless that begins a sequence (it gives nothing then)."""
@@ -126,7 +127,7 @@ def gradients(m: Model, last: np.ndarray, then: np.ndarray, first: np.ndarray) -
         return own
 
     by_position = np.concatenate([scaled @ m.key[seen], to_keys(scaled.transpose(0, 2, 1) @ m.query[last]), to_keys(weights.transpose(0, 2, 1) @ d_read)], axis=2).reshape(-1, 3 * WIDTH)
-    order = np.argsort(x, kind="stable")
+    order = np.argsort(x.astype(np.uint16) if len(m.query) <= 1 << 16 else x, kind="stable")
     begins = np.flatnonzero(np.diff(x[order], prepend=-1))
     tables = np.zeros((len(m.query), 3 * WIDTH), m.query.dtype)
     tables[x[order][begins]] = np.add.reduceat(by_position[order], begins)

@@ -28,7 +28,7 @@ from .common import documents, whole, written
 RANKS = "byte_bpe_50k.tiktoken"
 SYMBOLS = 2048
 #: Rounds of learning, which share the training texts out; rate of the first round; numbers of a slice of the tables, which are averaged slice by slice on executors.
-ROUNDS, RATE, SLICE = 2, 0.02, 4096
+ROUNDS, RATE, SLICE = 2, 0.05, 4096
 #: Words by falling count that every scoring task holds, at most, and their bytes; the others' counts are joined.
 HEAD, HEAD_BYTES = 200_000, 64
 #: Words whose symbols a worker remembers, and as many older ones.
@@ -69,12 +69,19 @@ class Alphabet:
         #: Whether a symbol begins a word, as the end does too.
         self.opens = np.array([True, *(b == 32 for b in range(BYTES)), *(enc.decode_single_token_bytes(i)[:1] == b" " for i in chosen)])
 
-    def spell(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u2").astype(np.int32)
+    def spell(self, words: list[bytes]) -> bytes:
+        """The words' symbols, packed."""
+        return b"".join(map(self.words.__getitem__, words))
 
     def sequence(self, words: list[bytes]) -> np.ndarray:
-        """The words' symbols between an END and another."""
-        return np.concatenate([[END], self.spell(words), [END]]).astype(np.int32)
+        return sequence(self.spell(words))
+
+
+def sequence(packed: bytes) -> np.ndarray:
+    """The packed symbols between an END and another."""
+    made = np.full(len(packed) // 2 + 2, END, np.int32)
+    made[1:-1] = np.frombuffer(packed, "<u2")
+    return made
 
 
 @functools.lru_cache(1)
@@ -144,15 +151,14 @@ def frequent_ids(counts: DataFrame, path: str, n: int) -> list[int]:
     return [r.id for r in by_id.where(~F.col("id").isin(sorted(single))).orderBy(F.desc("c"), "id").limit(n).collect()]
 
 
-def symbol_counts(train: DataFrame, chosen: list[int], path: str) -> np.ndarray:
-    """How often each symbol follows each (n x n) in all texts of a column text, END standing for the begin of a text too. Each task counts what it reads in a table of that size."""
-    n = BYTES + 1 + len(chosen)
+def symbol_counts(train: DataFrame, n: int) -> np.ndarray:
+    """How often each of n symbols follows each (n x n) in all rows of a column symbols, END standing for the begin of a text too. Each task counts what it reads in a table of that size."""
 
     def run(batches):
-        letters, total = alphabet(tuple(chosen), path), np.zeros(n * n, np.int64)
+        total = np.zeros(n * n, np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                s = letters.sequence(words_of(text)).astype(np.int64)
+            for packed in batch.column(0).to_pylist():
+                s = sequence(packed).astype(np.int64)
                 np.add.at(total, s[:-1] * n + s[1:], 1)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["pair", "c"])
@@ -163,15 +169,18 @@ def symbol_counts(train: DataFrame, chosen: list[int], path: str) -> np.ndarray:
     return table.reshape(n, n)
 
 
-def shares(after: np.ndarray, opens: np.ndarray, held: float = 20.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The model's fixed tables. A symbol's share after another is mixed with its share in all, which counts as much as `held` occurrences.
+def shares(after: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model's fixed tables. Half an occurrence of each pair of symbols is shared out by how many kinds of symbols each one follows (Kneser-Ney).
 
     The most frequent symbols that begin a word are dealt out to the first classes in turn, the others to the rest.
     """
     n = len(after)
     overall = after.sum(axis=0) + 0.1
     overall /= overall.sum()
-    p = (after + held * overall) / (after.sum(axis=1, keepdims=True) + held)
+    back = (after > 0).sum(axis=0) + 0.1
+    back /= back.sum()
+    total, kinds = after.sum(axis=1, keepdims=True), (after > 0).sum(axis=1, keepdims=True)
+    p = np.where(total > 0, (np.maximum(after - 0.5, 0) + 0.5 * kinds * back) / np.maximum(total, 1), back)
     classes = np.empty(n, np.int64)
     order = np.argsort(-overall, kind="stable")
     for kind, begin, size in ((True, 0, OPENING), (False, OPENING, CLASSES - OPENING)):
@@ -191,22 +200,22 @@ def text_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(p, begins) / math.log(10)
 
 
-def taught(model: Model, train: DataFrame, chosen: list[int], path: str, rounds: int = ROUNDS, rate: float = RATE) -> Model:
-    """The model after learning from all texts of a column text. A text's hash says in which round it is learned from, once; the tasks' tables are averaged by the numbers of symbols."""
+def taught(model: Model, train: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+    """The model after learning from all texts of a column symbols. A text's hash says in which round it is learned from, once; the tasks' tables are averaged by the numbers of symbols."""
     spark = train.sparkSession
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
+        shared = spark.sparkContext.broadcast(Model(*model.learned(), model.after, None, model.classes))
 
         def run(batches, shared=shared, r=r):
             own = shared.value
             own = Model(*(getattr(own, f).copy() for f in Model.LEARNED), own.after, own.inside, own.classes)
-            letters, n = alphabet(tuple(chosen), path), 0
+            n = 0
 
             def parts():
                 nonlocal n
                 for batch in batches:
-                    for text in batch.column(0).to_pylist():
-                        s = letters.sequence(words_of(text))
+                    for packed in batch.column(0).to_pylist():
+                        s = sequence(packed)
                         n += len(s) - 1
                         yield from pieces(s)
 
@@ -227,7 +236,7 @@ def taught(model: Model, train: DataFrame, chosen: list[int], path: str, rounds:
             )
 
         columns = "slice long, n long, sums binary"
-        of_round = train.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r)
+        of_round = train.where(F.pmod(F.xxhash64("symbols"), F.lit(rounds)) == r)
         made = sorted(of_round.mapInArrow(run, columns).repartition("slice").mapInArrow(add, columns).collect())  # the tables once: 800 KB
         if made:
             flat = np.concatenate([np.frombuffer(x.sums) / x.n for x in made])
@@ -271,21 +280,17 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = math.log10(totals.n + 0.1 * (totals.v + 1))
     chosen = frequent_ids(counts, path, SYMBOLS - BYTES - 1)
-    model = start(*shares(symbol_counts(train, chosen, path), alphabet(tuple(chosen), path).opens))
-    model = taught(model, train, chosen, path)
     head, in_head = head_words(counts)
-    shared = spark.sparkContext.broadcast((model, head))  # tables of a fixed size and HEAD words
+    known = spark.sparkContext.broadcast(head)  # HEAD words at most
 
-    def run(batches):
-        model, head = shared.value
-        letters = alphabet(tuple(chosen), path)
+    def spelled(batches):
+        head, letters = known.value, alphabet(tuple(chosen), path)
         for batch in batches:
             for a in range(0, batch.num_rows, 250):
                 part = batch.slice(a, 250)
                 split = [[*words_of(t), STOP] for t in part.column(1).to_pylist()]
                 sizes = np.array([len(ws) for ws in split])
                 begins = np.cumsum(sizes) - sizes
-                sequences = [letters.sequence(ws[:-1]) for ws in split]
                 flat = [w for ws in split for w in ws]
                 c = np.fromiter(map(head.get, flat, itertools.repeat(0)), np.int64, len(flat))
                 base = np.where(c > 0, np.log10(c + 0.1) - least, 0.0)
@@ -295,19 +300,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
                     [
                         part.column(0), pa.array([held_out(i) for i in part.column(0).to_pylist()], pa.bool_()), pa.array(sizes),
                         pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)), pa.array(np.add.reduceat(base, begins)),
-                        pa.array(text_scores(model, sequences)), pa.array([len(x) - 1 for x in sequences], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array([flat[k] for k in rare.tolist()], pa.binary())),
+                        pa.array([letters.spell(ws[:-1]) for ws in split], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array([flat[k] for k in rare.tolist()], pa.binary())),
                     ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_symbols", "rare"],
+                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "symbols", "rare"],
                 )
 
-    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_symbols long, rare array<binary>"
-    made = written(named.mapInArrow(run, columns).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    columns = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, symbols binary, rare array<binary>"
+    made = written(named.mapInArrow(spelled, columns).withColumn("row", F.monotonically_increasing_id()), "lm-symbols")  # each text is spelled once, and read for counts, learning and scores
+    known_rows = made.where(~F.col("held_out")).select("symbols")
+    model = start(*shares(symbol_counts(known_rows, BYTES + 1 + len(chosen)), alphabet(tuple(chosen), path).opens))
+    shared = spark.sparkContext.broadcast(taught(model, known_rows))  # tables of a fixed size
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 250):
+                part = batch.slice(a, 250)
+                sequences = [sequence(x) for x in part.column("symbols").to_pylist()]
+                p = pa.array(text_scores(shared.value, sequences))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], p, pa.array([len(x) - 1 for x in sequences], pa.int64())], [*part.schema.names[:-1], "score", "n_symbols"])
+
+    columns = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_symbols long"
+    scores = made.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "symbols").mapInArrow(run, columns)
     rare = made.select("row", F.explode("rare").alias("word"))
     tail = counts.where(~in_head)
     base = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - least
     more = rare.join(tail.hint("merge"), "word", "left").groupBy("row").agg(F.count("c").alias("known"), F.sum(base).alias("base"))
-    return made.drop("rare").join(more.hint("merge"), "row", "left").select(
+    return scores.join(more.hint("merge"), "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(totals.n).cast("long").alias("train_tokens"),
         (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), "score", "n_symbols",
     )

@@ -16,6 +16,7 @@ import tiktoken
 from brute import SF, TABLE, WORD, documents, jaccard_links, table, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from rosterforge.llm import attention, bpe, language_model, mixing, quality_model, quality_rules, secrets, tokens
@@ -248,7 +249,6 @@ def test_quality_rules_of_odd_languages(spark):
 
 
 def test_divergence(spark):
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame([([1.0, 1.0], [2.0, 2.0]), ([1.0, 0.0], [0.0, 3.0]), ([3.0, 1.0], [1.0, 3.0]), ([0.0, 0.0], [1.0, 1.0])], "p array<double>, q array<double>")
     found = [r[0] for r in df.select(quality_rules.divergence(F.col("p"), F.col("q"))).collect()]
@@ -383,7 +383,6 @@ def test_flow_is_best_of_all():
 
 
 def test_overlapping_sources(spark):
-    from pyspark.sql import functions as F
 
     rows = [(i, "w " * (1 + i % 7), ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"]) for i in range(300)]
     df = spark.createDataFrame([*rows, (999, "x y", None)], "doc_id long, text string, sources array<string>")
@@ -439,6 +438,20 @@ def test_language_model_of_odd_rows(spark):
     assert language_model.score(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_scores_beat_word_counts_on_held_out_texts(spark, monkeypatch, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+
+    def mean():
+        made = language_model.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+        return made[0] / made[2], made[1] / made[2]
+
+    learned, base = mean()
+    assert learned > base
+    monkeypatch.setattr(language_model, "taught", lambda model, train: model)
+    assert learned > mean()[0]
+
+
 def test_symbols_are_counted_over_whole_texts(spark):
     rng = random.Random(3)
     texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(3000)), "x" * 9000 + " y", "", "one two"]
@@ -449,7 +462,8 @@ def test_symbols_are_counted_over_whole_texts(spark):
         s = letters.sequence(language_model.words_of(t)).tolist()
         for a, b in itertools.pairwise(s):
             expected[a, b] += 1
-    found = language_model.symbol_counts(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), chosen, RANKS)
+    rows = [(letters.spell(language_model.words_of(t)),) for t in texts]
+    found = language_model.symbol_counts(spark.createDataFrame(rows, "symbols binary").repartition(3), n)
     assert (found == expected).all()
 
 
@@ -466,9 +480,9 @@ def test_every_symbol_is_learned_from_once(spark, monkeypatch, tmp_path):
 
     monkeypatch.setattr(language_model, "descend", seen)
     letters = language_model.alphabet((), RANKS)
-    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    train = spark.createDataFrame([(letters.spell(language_model.words_of(t)),) for t in texts], "symbols binary").repartition(4)
     model = attention.start(*language_model.shares(np.ones((257, 257)), letters.opens))
-    made = language_model.taught(model, train, [], RANKS)
+    made = language_model.taught(model, train)
     counted = Counter(int(x) for f in tmp_path.iterdir() for x in f.read_text().split())
     expected = Counter(s for t in texts for s in letters.sequence(language_model.words_of(t))[1:].tolist())
     assert counted == expected
