@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Spark's setting by which a query removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +46,25 @@ def _own_folder() -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that the driver and all executors share")
+        folder = _own_folder()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written to the shared folder and read from there: lineage ends here, and a lost executor costs no recomputation."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+def written(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """The rows of df, written to the shared folder and read from there: lineage ends here, and a lost executor costs no recomputation. tidy: the shuffles of df go as soon as it is written."""
+    path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    if tidy:
+        conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -83,6 +98,24 @@ def works(operator: str, forget: Callable[[], object] = lambda: None) -> None:
     pa.default_memory_pool().release_unused()
 
 
+def blocks(batches: Iterable[pa.RecordBatch], text: int, size: int) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a task in blocks of about `size` bytes of text (column number `text`) or one longer text, each with a number that no other block of the query has while its table is written once."""
+    task, n, held, parts = TaskContext.get().partitionId() << 32, 0, 0, []
+    for batch in batches:
+        lengths = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+        at, gone = 0, 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(lengths, gone + size - held, "right")), at + (not held))
+            if end > at:
+                parts.append(batch.slice(at, end - at))
+                held, gone, at = held + int(lengths[end - 1]) - gone, int(lengths[end - 1]), end
+            if at < batch.num_rows or held >= size:
+                yield task | n, pa.Table.from_batches(parts)
+                n, held, parts = n + 1, 0, []
+    if parts:
+        yield task | n, pa.Table.from_batches(parts)
+
+
 def map_texts(docs: DataFrame, make: Callable[[list[str]], dict[str, list]], schema: str, key: str = "doc_id", text: str = "text", part_bytes: int = 4 << 20) -> DataFrame:
     """doc_id and what `make` gives for the texts, a null text as the empty text.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_token_alignment
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .language_model import op2_lm_scoring
 from .mixing import op4_mixing
@@ -14,6 +15,6 @@ from .tokens import op9_bpe, op10_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_sharding, op8_secret_scan, op9_bpe, op10_token_counts)
+    for f in (op1_exact_dedup, op2_lm_scoring, op3_ngram_jaccard, op4_mixing, op5_quality_rules, op6_quality_classifier, op7_sharding, op8_secret_scan, op9_bpe, op10_token_counts, op12_token_alignment)
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op3_ngram_jaccard": OP3_SQL, "op5_quality_rules": OP5_SQL, "op7_sharding": OP7_SQL}
