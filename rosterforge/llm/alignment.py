@@ -27,9 +27,9 @@ from .common import blocks, documents, whole, works, written
 
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block: what a task holds of links at a time, and what shares one list of distinct pairs.
-BLOCK = 8 << 20
-#: Stretches of text whose alignment a worker remembers, and as many older ones; steps of the transducer that it remembers. About 150 MB.
-STRETCHES, STEPS = 150_000, 200_000
+BLOCK = 4 << 20
+#: Stretches of text whose alignment a worker remembers, and as many older ones; steps of the transducer that it remembers, of either side. About 120 MB.
+STRETCHES, STEPS = 80_000, 50_000
 #: A space that follows white space, or begins a text: there the two encodings need not end together.
 INSIDE = re.compile(rf"^ |[{SPACE}] ")
 SPACES = re.compile(f"[{SPACE}]")
@@ -81,41 +81,44 @@ class Transducer:
 
     def step(self, side: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
         """What is left when the side that does not lead adds a token; None where the bytes differ."""
-        steps = self.steps[side]
-        if (known := steps.get((residual, token), 0)) != 0:
-            return known
         add = self.bytes[1 - side][token]
         n = min(len(add), len(residual))
         found = None if add[:n] != residual[:n] else (side, residual[n:]) if n < len(residual) else (1 - side, add[n:])
+        steps = self.steps[side]
         if len(steps) >= STEPS:
             steps.clear()
         steps[residual, token] = found
         return found
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]] | None:
-        """(groups, pairs of overlapping tokens) of two encodings; None where they do not spell the same bytes."""
-        sides, at = (a, b), [0, 0]
-        groups, links, begin = [], [], (0, 0)
-        side, residual = 0, b""
-        while at[0] < len(a) or at[1] < len(b):
-            if not residual:
-                if at[0] == len(a):
+    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]] | None:
+        """(where groups end in a and b, pairs of overlapping tokens as a << 32 | b) of two encodings; None where they do not spell the same bytes."""
+        by_a, (after_a, after_b), step = self.bytes[0], self.steps, self.step
+        ends, links, i, j = [], [], 0, 0
+        n_a, n_b, link, end = len(a), len(b), links.append, ends.append
+        y = 0
+        while i < n_a:
+            x = a[i]
+            i += 1
+            side, residual = 0, by_a[x]
+            while residual:
+                if side:
+                    if i == n_a:
+                        return None
+                    x = token = a[i]
+                    i += 1
+                    known = after_b
+                else:
+                    if j == n_b:
+                        return None
+                    y = token = b[j]
+                    j += 1
+                    known = after_a
+                link(x << 32 | y)
+                if (found := known.get((residual, token)) or step(side, residual, token)) is None:
                     return None
-                begin, side, residual = (at[0], at[1]), 0, self.bytes[0][a[at[0]]]
-                at[0] += 1
-                continue
-            other = 1 - side
-            if at[other] == len(sides[other]):
-                return None
-            token = sides[other][at[other]]
-            at[other] += 1
-            links.append((a[at[0] - 1], b[at[1] - 1]))
-            if (found := self.step(side, residual, token)) is None:
-                return None
-            side, residual = found
-            if not residual:
-                groups.append((a[begin[0] : at[0]], b[begin[1] : at[1]]))
-        return None if residual else (groups, links)
+                side, residual = found
+            end((i, j))
+        return None if j < n_b else (ends, links)
 
 
 #: Of a stretch: numbers of a's tokens, of b's tokens and of groups, the groups as text, its links packed as a << 32 | b.
@@ -133,9 +136,17 @@ class Aligner:
         found = self.transducer.align(a, b)
         if found is None:
             return None
-        groups, links = found
-        said = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
-        return len(a), len(b), len(groups), said, struct.pack(f"<{len(links)}q", *[x << 32 | y for x, y in links])
+        ends, links = found
+        if len(ends) == 1:
+            said = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+        else:
+            parts, i, j = [], 0, 0
+            for x, y in ends:
+                one = x - i == 1 == y - j
+                parts.append(f"{a[i]}|{b[j]}" if one else f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
+                i, j = x, y
+            said = ";".join(parts)
+        return len(a), len(b), len(ends), said, struct.pack(f"<{len(links)}q", *links)
 
     def known(self, asked: set[str]) -> dict[str, Stretch | None]:
         """The stretches by their text without the space before it. Those not remembered are encoded together."""
