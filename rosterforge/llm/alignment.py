@@ -28,11 +28,16 @@ from .common import blocks, documents, whole, works, written
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block: what a task holds of links at a time, and what shares one list of distinct pairs.
 BLOCK = 4 << 20
-#: Stretches of text whose alignment a worker remembers, and as many older ones; steps of the transducer that it remembers, of either side. About 120 MB.
-STRETCHES, STEPS = 80_000, 50_000
+#: Stretches of text whose alignment a worker remembers, and as many older ones; steps of the transducer that it remembers, of either side. About 130 MB.
+STRETCHES, STEPS = 110_000, 50_000
 #: A space that follows white space, or begins a text: there the two encodings need not end together.
 INSIDE = re.compile(rf"^ |[{SPACE}] ")
 SPACES = re.compile(f"[{SPACE}]")
+#: A mark before a stretch that no space precedes; no text has it.
+MARK = "\ud800"
+#: Ends of words and lines at which both encodings are cut, if no piece holds both sides of one: a stop after a letter and before a space, line or end, and a line feed between others than white space.
+CUT = re.compile(rf"(?<=[^\W\d_²³¹])[.,;:!?](?= |\n[^{SPACE}]|\Z)|(?<=[^{SPACE}])\n(?=[^{SPACE}])")
+HELD = re.compile(r"[^\W\d_²³¹][.,;:!?]|\n")
 
 
 class ByteTokens:
@@ -63,13 +68,19 @@ class PieceTokens:
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any("▁" in p.lstrip("▁") for p in pieces):
-            raise ValueError("a piece goes on after a word's end")
+        if any("▁" in p.lstrip("▁") or HELD.search(p) for p in pieces):
+            raise ValueError("a piece goes on after a word's or line's end")
         self.bytes = {i: bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
         self.space = self.model.piece_to_id("▁")
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x if t else [self.space] for t, x in zip(texts, self.model.encode(texts, num_threads=1), strict=True)]
+        """Of stretches, with the space before each, or of those with MARK without."""
+        made = self.model.encode([t[1:] if t[:1] == MARK else t for t in texts], num_threads=1)
+        return [(self._bare(t[1], x) if t[0] == MARK else x) if t else [self.space] for t, x in zip(texts, made, strict=True)]
+
+    def _bare(self, first: str, ids: list[int]) -> list[int]:
+        """Without the space that the model puts before a text: one piece by itself before a line feed, else part of what it makes with a stop."""
+        return ids[1:] if first == "\n" or ids[0] == self.space else [self.model.piece_to_id(first)]
 
 
 class Transducer:
@@ -158,7 +169,7 @@ class Aligner:
                 out[text] = self.new[text] = self.old[text]
             else:
                 missing.append(text)
-        for text, a, b in zip(missing, self.a.encode([f" {t}" for t in missing]), self.b.encode(missing), strict=True):
+        for text, a, b in zip(missing, self.a.encode([t[1:] if t[:1] == MARK else f" {t}" for t in missing]), self.b.encode(missing), strict=True):
             out[text] = made = self.stretch(a, b)
             if len(text) <= 64:
                 self.new[text] = made
@@ -168,10 +179,10 @@ class Aligner:
 
 
 def stretches(text: str) -> list[str]:
-    """What stands between single spaces: no token of either side goes over the space before a stretch to what is before it. A space after white space is part of a stretch."""
-    parts = text.split(" ")
+    """What stands between single spaces, and, with MARK before it, what a CUT parts from what is before: no token of either side reaches over the begin of a stretch. A space after white space is part of a stretch."""
     if not INSIDE.search(text):
-        return parts
+        return CUT.sub(rf" {MARK}\g<0>", text).split(" ")
+    parts = text.split(" ")
     out = [parts[0]]
     for p in parts[1:]:
         if not out[-1] or SPACES.match(out[-1][-1]):
