@@ -1,7 +1,7 @@
 """JSON objects in text columns.
 
-Objects are read as map<string,string>, which keeps the order of keys, and nested values as JSON text. Where numbers and booleans must keep
-their JSON type when written again, the value's JSON text is kept beside (json_values).
+Objects are read as map<string,string>, which keeps the order of keys: by string_map() with texts without quotes, or, where values must keep
+their type when they are written again, by token_map() with each value's JSON text. Nested values are JSON text in both.
 """
 
 from __future__ import annotations
@@ -32,6 +32,37 @@ def string_map(c: Column) -> Column:
     return F.when(is_object(c), F.from_json(c, MAP))
 
 
+def quoted(c: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
+def token_map(c: Column) -> Column:
+    """A JSON object's values as JSON texts, each of its own type and nested ones with the order of their keys; null for what is no object. Numbers are written as briefly as they can be: 1.0 is 1."""
+    values = F.map_entries(F.from_json(c, MAP))
+    kinds = F.transform(F.map_entries(F.from_json(c, "map<string,variant>")), lambda e: F.schema_of_variant(e["value"]))
+
+    def token(e: Column, i: Column) -> Column:
+        kind, value = F.get(kinds, i), e["value"]
+        number = F.regexp_replace(F.regexp_replace(value, r"^(-?\d+)\.0+$", "$1"), "^-0$", "0")
+        made = F.when(value.isNull(), "null").when(kind == "STRING", quoted(value)).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), number).otherwise(value)
+        return F.struct(e["key"].alias("key"), made.alias("value"))
+
+    return F.when(is_object(c), F.map_from_entries(F.transform(values, token)))
+
+
+def is_empty_token(token: Column) -> Column:
+    """Whether a value's JSON text is null, false, the empty text or the number 0; the texts "0" and "false" are values."""
+    return token.isNull() | token.isin("null", "false", '""') | token.rlike(r"^-?0(\.0*)?([eE].*)?$")
+
+
+def object_of_tokens(entries: Column) -> Column:
+    """The JSON object of an array of structs (key, value) whose values are JSON texts; null if there are none."""
+    parts = F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit(":"), F.coalesce(e["value"], F.lit("null"))))
+    return F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+
+
 def nested_keys(c: Column) -> Column:
     """The keys of a JSON object whose values are arrays or objects."""
     values = F.map_entries(F.when(is_object(c), F.from_json(c, "map<string,variant>")))
@@ -57,8 +88,7 @@ def stringify_nested(texts: pd.Series) -> pd.Series:
 
 def to_json_string(c: Column) -> Column:
     """JSON as it is; any other text as a JSON string; null if blank."""
-    quoted = F.to_json(F.array(c))
-    return F.when(is_blank(c), None).when(is_json(c), c).otherwise(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+    return F.when(is_blank(c), None).when(is_json(c), c).otherwise(quoted(c))
 
 
 def object_or_null(m: Column) -> Column:

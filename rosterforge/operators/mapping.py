@@ -99,15 +99,15 @@ def field_column(m: FieldMapping, columns: list[str]) -> Column:
 
 
 def metadata_column(m: MetadataMapping, columns: list[str]) -> Column:
-    """Static entries, then each source's: the keys of a JSON object with the prefix, other text that is no JSON under the prefixed column name; JSON that is no object goes. Later entries win."""
-    entries = F.create_map(*[F.lit(x) for kv in m.static.items() for x in kv]).cast(jsons.MAP) if m.static else F.create_map().cast(jsons.MAP)
+    """Static entries, then each source's: the keys of a JSON object with the prefix, other text that is no JSON under the prefixed column name; JSON that is no object goes. Later entries win; values keep their JSON types."""
+    entries = F.create_map(*[F.lit(x) for k, v in m.static.items() for x in (k, json.dumps(v, ensure_ascii=False, separators=(",", ":")))]).cast(jsons.MAP) if m.static else F.create_map().cast(jsons.MAP)
     for source in m.sources:
         if source in columns:
             c = F.col(source)
-            own = F.transform_keys(jsons.string_map(c), lambda k, v: F.concat(F.lit(m.prefix), k))
-            raw = F.create_map(F.lit(m.prefix + source), c)
+            own = F.transform_keys(jsons.token_map(c), lambda k, v: F.concat(F.lit(m.prefix), k))
+            raw = F.create_map(F.lit(m.prefix + source), jsons.quoted(c))
             entries = jsons.merged(entries, F.when(~text.is_blank(c), F.when(jsons.is_object(c), own).when(~jsons.is_json(c), raw)))
-    return jsons.object_or_null(entries)
+    return jsons.object_of_tokens(F.map_entries(entries))
 
 
 def apply_profile(df: DataFrame, profile: Profile) -> DataFrame:

@@ -170,15 +170,41 @@ def q06_merge_by_email(spark, sf_dir):
     return made.select("email_key", "record_number", "rows", "email_verified", *[F.coalesce(c, F.lit("")).alias(c) for c in dedupe.FILLED], "email")
 
 
+#: Metadata of several JSON types, of user rows: (email_key, record_number, at, key, value), values as JSON texts.
+TYPED_SQL = """
+typed AS (SELECT * REPLACE (CASE event_id % 9 WHEN 0 THEN '{"k":0,"s":"0","b":false,"10":' || user_id % 3 || '}' WHEN 1 THEN '{"o":{"z":1,"a":[1,2,{"q":null}]},"k":' || user_id % 5 || ',"n":null}'
+    WHEN 2 THEN '{"s":"x' || user_id % 4 || '","b":true,"d":1.5}' WHEN 3 THEN '' WHEN 4 THEN 'not json' WHEN 5 THEN '[1,2]' WHEN 6 THEN '{"b":"false","e":"","u":"\u00e9\\"q","2":"two"}' WHEN 7 THEN NULL ELSE metadata END AS metadata) FROM
+  (SELECT *, record_number - 1 AS event_id FROM users)),
+objects AS (SELECT EMAIL record_number, metadata FROM typed WHERE CASE WHEN json_valid(metadata) THEN json_type(metadata) END = 'OBJECT'),
+entries AS (SELECT email_key, record_number, place, key, CAST(json_extract(metadata, '$."' || key || '"') AS VARCHAR) AS value FROM
+  (SELECT email_key, record_number, metadata, unnest(json_keys(metadata)) AS key, generate_subscripts(json_keys(metadata), 1) AS place FROM objects WHERE email_key IS NOT NULL)),
+chosen AS (SELECT email_key, key, coalesce(arg_min(value, record_number) FILTER (value NOT IN ('null', 'false', '""', '0')), arg_max(value, record_number)) AS value, min(record_number * 100 + place) AS first FROM entries GROUP BY ALL)""".replace("EMAIL", f"{EMAIL_SQL} AS email_key,")
+
+
+def typed_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User rows with metadata of several JSON types."""
+    i, rows = F.col("record_number") - 1, users(spark, sf_dir)
+    of = lambda n: (F.col("user_id") % n).cast("string")
+    made = (
+        F.when(i % 9 == 0, F.concat(F.lit('{"k":0,"s":"0","b":false,"10":'), of(3), F.lit("}"))).when(i % 9 == 1, F.concat(F.lit('{"o":{"z":1,"a":[1,2,{"q":null}]},"k":'), of(5), F.lit(',"n":null}')))
+        .when(i % 9 == 2, F.concat(F.lit('{"s":"x'), of(4), F.lit('","b":true,"d":1.5}'))).when(i % 9 == 3, "").when(i % 9 == 4, "not json").when(i % 9 == 5, "[1,2]").when(i % 9 == 6, '{"b":"false","e":"","u":"é\\"q","2":"two"}')
+        .when(i % 9 == 7, None).otherwise(F.col("metadata"))
+    )
+    return rows.withColumn("metadata", made)
+
+
 @query(
-    f"""SELECT email_key, field, string_agg(value, '|' ORDER BY pos) AS values, arg_min(value, pos) AS chosen FROM (SELECT email_key, field, value, min(record_number) AS pos FROM (
-  {' UNION ALL '.join(f"SELECT {EMAIL_SQL} AS email_key, record_number, '{c}' AS field, nullif(trim({c}), '') AS value FROM users" for c in dedupe.FILLED)}) WHERE value IS NOT NULL AND email_key IS NOT NULL GROUP BY 1, 2, 3)
-  GROUP BY 1, 2 HAVING count(*) > 1""",
-    USERS_SQL,
-)
+    f"""SELECT email_key, field, string_agg(value, '|' ORDER BY pos, value) AS values, CASE strategy WHEN 'true-if-any' THEN 'true' ELSE arg_min(value, pos) END AS chosen, strategy FROM (
+  SELECT email_key, field, value, strategy, min(record_number) AS pos FROM (
+    {' UNION ALL '.join(f"SELECT {EMAIL_SQL} AS email_key, record_number, '{c}' AS field, nullif(trim({c}), '') AS value, 'first-non-empty' AS strategy FROM typed" for c in dedupe.FILLED)}
+    UNION ALL SELECT {EMAIL_SQL}, record_number, 'email_verified', CAST({BOOL_SQL} AS VARCHAR), 'true-if-any' FROM typed
+    UNION ALL SELECT e.email_key, e.record_number, 'metadata.' || e.key, e.value, 'first-occurrence' FROM entries e
+      JOIN (SELECT email_key, key, min(record_number) AS begin FROM entries WHERE value NOT IN ('null', 'false', '""', '0') GROUP BY ALL) s ON s.email_key = e.email_key AND s.key = e.key AND e.record_number >= s.begin)
+  WHERE value IS NOT NULL AND email_key IS NOT NULL GROUP BY ALL) GROUP BY email_key, field, strategy HAVING count(*) > 1""",
+    USERS_SQL, TYPED_SQL,
+)
 def q07_merge_conflicts(spark, sf_dir):
-    found = dedupe.conflicts(users(spark, sf_dir)).where(F.col("strategy") == "first-non-empty")
-    return found.select("email_key", "field", F.array_join("values", "|").alias("values"), "chosen")
+    return dedupe.conflicts(typed_users(spark, sf_dir)).select("email_key", "field", F.array_join("values", "|").alias("values"), "chosen", "strategy")
 
 
 @query(f"SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS unique_emails, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS rows_removed FROM (SELECT count(*) AS n FROM users WHERE {EMAIL_SQL} IS NOT NULL GROUP BY {EMAIL_SQL})", USERS_SQL)
@@ -186,13 +212,18 @@ def q08_merge_summary(spark, sf_dir):
     return dedupe.summary(users(spark, sf_dir))
 
 
-@query(
-    f"""SELECT email_key, coalesce(arg_min(v, record_number) FILTER (v NOT IN ('0', '', 'false')), arg_max(v, record_number)) AS value FROM (SELECT {EMAIL_SQL} AS email_key, record_number, json_extract_string(metadata, '$.k') AS v FROM users)
-  WHERE email_key IS NOT NULL AND v IS NOT NULL GROUP BY 1""",
-    USERS_SQL,
-)
+@query("SELECT email_key, key, value FROM chosen", USERS_SQL, TYPED_SQL)
 def q09_metadata_merge(spark, sf_dir):
-    return dedupe.metadata_values(dedupe.grouped(users(spark, sf_dir))).where("key = 'k'").select("email_key", "value")
+    return dedupe.metadata_values(dedupe.grouped(typed_users(spark, sf_dir))).select("email_key", "key", "value")
+
+
+@query(
+    f"""SELECT email_key, n AS rows, CASE WHEN n = 1 THEN base ELSE coalesce(merged, base) END AS metadata FROM (SELECT {EMAIL_SQL} AS email_key, count(*) AS n, list(metadata ORDER BY record_number)[1] AS base FROM typed WHERE {EMAIL_SQL} IS NOT NULL GROUP BY 1)
+  LEFT JOIN (SELECT email_key, '{{' || string_agg('"' || key || '":' || value, ',' ORDER BY coalesce(try_cast(key AS INTEGER), 1000000), first) || '}}' AS merged FROM chosen GROUP BY 1) USING (email_key)""",
+    USERS_SQL, TYPED_SQL,
+)
+def q69_typed_metadata(spark, sf_dir):
+    return dedupe.merge(typed_users(spark, sf_dir)).select("email_key", "rows", "metadata")
 
 
 @query(

@@ -74,7 +74,7 @@ def test_merge(spark, partitions):
     made = {r.email_key: r for r in dedupe.merge(df).collect()}
     a = made["a@x.com"]
     assert (a.rows, a.first_name, a.external_id, a.email_verified, a.email) == (2, "Ann", "1", "true", "A@x.com")
-    assert json.loads(a.metadata) == {"k": "5", "a": "x", "b": "y"} and list(json.loads(a.metadata)) == ["k", "a", "b"]
+    assert json.loads(a.metadata) == {"k": 5, "a": "x", "b": "y"} and list(json.loads(a.metadata)) == ["k", "a", "b"]
     assert set(made) == {"a@x.com", "b@x.com"}
     found = {(r.email_key, r.field): (r["values"], r.chosen) for r in dedupe.conflicts(df).collect()}
     assert found[("a@x.com", "external_id")] == (["1", "2"], "1") and found[("a@x.com", "email_verified")][1] == "true"
@@ -82,6 +82,31 @@ def test_merge(spark, partitions):
     assert (one.total_rows, one.unique_emails, one.duplicate_groups, one.rows_removed) == (3, 2, 1, 1)
 
 
+def test_merged_metadata_keeps_types_and_order(spark):
+    first = '{"z":{"b":1,"a":[1,{"q":null,"c":2.5}]},"n":0,"f":false,"s":"0","t":true,"x":null,"2":"two"}'
+    second = '{"n":7,"f":"false","s":"1","t":false,"x":[],"1":"one","e":"","u":"\\u00e9\\"","i":1.0}'
+    df = rows(spark, "email metadata", ("a@x.com", first), ("A@x.com", second), ("b@x.com", ' {"n": 1, "t" : true }'), ("c@x.com", "no json"), ("c@x.com", "[1]"), ("d@x.com", None), ("d@x.com", '{"k":0}'), ("d@x.com", '{"k":""}'))
+    made = {r.email_key: r.metadata for r in dedupe.merge(df.repartition(3)).collect()}
+    assert made["a@x.com"] == '{"1":"one","2":"two","z":{"b":1,"a":[1,{"q":null,"c":2.5}]},"n":7,"f":"false","s":"0","t":true,"x":[],"e":"","u":"é\\"","i":1}'
+    assert (made["b@x.com"], made["c@x.com"], made["d@x.com"]) == (' {"n": 1, "t" : true }', "no json", '{"k":""}')
+
+
+def test_metadata_conflicts_begin_at_the_first_value(spark):
+    """An empty value before it is none, after it is; the text "0" is a value."""
+    each = ("0", "5", "0", '"5"', "5", "null", "0")
+    df = rows(spark, "email metadata", *[("a@x.com", f'{{"k":{v},"e":{"null" if k else 0},"s":"0"}}') for k, v in enumerate(each)])
+    found = {r.field: (r["values"], r.chosen, r.strategy) for r in dedupe.conflicts(df).collect()}
+    assert found == {"metadata.k": (["5", "0", '"5"', "null"], "5", "first-occurrence")}
+    assert sorted((r.value, r["at"]) for r in dedupe.conflict_values(df).collect()) == [('"5"', 4), ("0", 3), ("5", 2), ("null", 6)]
+
+
+def test_mapped_metadata_keeps_types(spark):
+    df = spark.createDataFrame([("a@x.com", '{"n":1,"o":{"b":[true]},"t":"1"}', '{"n":false}', "free \"text\""), ("b@x.com", "[1]", "", "")], "email string, user_metadata string, app_metadata string, note string")
+    profile = mapping.Profile("typed", (mapping.FieldMapping("email", "email"),), mapping.MetadataMapping(["user_metadata", "app_metadata", "note"], prefix="p_", static={"v": 2, "on": True}))
+    made = [r.metadata for r in mapping.apply_profile(df, profile).orderBy("email").collect()]
+    assert made == ['{"v":2,"on":true,"p_n":false,"p_o":{"b":[true]},"p_t":"1","p_note":"free \\"text\\""}', '{"v":2,"on":true}']
+
+
 def test_one_user_in_three_organizations(spark):
     df = rows(spark, "email org_id", *[("a@x.com", f"org_{k}") for k in range(3)])
     one = load.summary(load.outcomes(df)).first()
