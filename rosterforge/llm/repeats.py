@@ -320,7 +320,7 @@ def compare(width: int, shard: int):
 def repeated(passages: DataFrame, width: int, bucket: int = BUCKET, shard: int = SHARD, many: int = MANY, steps: tuple[int, ...] = STEPS) -> DataFrame:
     """(gram, same, runs) of a written table of different passages (gram, same, n: how many there are, shift: the anchor's place, passage): the runs of starts whose strings are elsewhere too."""
     size = F.length("passage")
-    by_gram = passages.groupBy("gram").agg(F.count("*").alias("passages"))
+    by_gram = written(passages.groupBy("gram").agg(F.count("*").alias("passages")), "repeats-counts", tidy=True)
     counted = passages.join(by_gram, "gram")
     alone = counted.where("passages = 1 AND n > 1").select("gram", "same", F.array(F.lit(0), size - width).alias("runs"))
     few = counted.where(F.col("passages").between(2, many) if steps else F.col("passages") > 1)
@@ -382,12 +382,13 @@ def remove_repeats(
     """
     held = written(held_blocks(docs, key, text, block), "repeats-texts")
     every = written(found_anchors(held, width, gram), "repeats-anchors")
-    again = every.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram")
+    # counts are written before they are joined, so that Spark can split the join's part of a very frequent anchor
+    again = written(every.groupBy("gram").agg(F.count("*").alias("places")).where("places > 1").select("gram"), "repeats-again", tidy=True)
     found = written(every.join(again, "gram", "left_semi"), "repeats-found", tidy=True)
     drop_written(every)
     counted = found.groupBy("gram", "same").agg(F.count("*").alias("n"), F.min(F.struct("block", "first", "last", "anchor")).alias("one"))
     classes = written(counted, "repeats-classes", tidy=True)
-    by_gram = classes.groupBy("gram").agg((F.count("*") > 1).alias("several"))
+    by_gram = written(classes.groupBy("gram").agg((F.count("*") > 1).alias("several")), "repeats-several", tidy=True)
     told = written(classes.join(by_gram, "gram"), "repeats-told", tidy=True)
     asked = told.where("several").select(F.col("one.block").alias("at"), "gram", "same", "n", "one.first", "one.last", "one.anchor")
     passages = written(held.groupBy("block").cogroup(asked.groupBy("at")).applyInArrow(fetch(width), PASSAGES), "repeats-passages", tidy=True)
