@@ -63,7 +63,5 @@ def test_enroll_and_ensure(spark):
     planned = spark.createDataFrame([(1, "a", "new", "u1", "enroll"), (2, "b", "old", "u2", "enroll"), (3, "c", "x", None, "user_not_found"), (4, "d", "bad", "u4", "enroll")], "record_number long, email_key string, secret string, user_id string, outcome string")
     made = {r.record_number: r.outcome for r in sink.enroll(planned, Factors(), rate=1e6, tasks=2).collect()}
     assert made == {1: "enrolled", 2: "skipped", 3: "user_not_found", 4: "failed"}
-    status = iter([201, 409, 201])
-    assert sink.ensure(spark.range(3), lambda row: next(status)) == {"created": 2, "existed": 1, "failed": 0}
     orgs = spark.createDataFrame([("o1", "e1")], "id string, external_id string")
     assert joins.resolve_one(orgs) is None and joins.resolve_one(orgs, external_id="e1") == "o1" and joins.resolve_one(orgs, external_id="e2", create_missing=True) == "org_dryrun_e2"
