@@ -135,8 +135,8 @@ def resolve_orgs(rows: DataFrame, orgs: DataFrame, create_missing: bool = False)
     """
     key = text.scope_key(text.filled(F.col("org_id")), text.filled(F.col("org_external_id")))
     keyed = rows.withColumn("__key", key)
-    known = orgs.select(F.concat(F.lit("id:"), "id").alias("__known"), F.col("id").alias("__id")).union(orgs.where(F.col("external_id").isNotNull()).select(F.concat(F.lit("ext:"), "external_id"), "id"))
-    known = known.groupBy("__known").agg(F.min("__id").alias("__id"))
+    keys = F.array(F.concat(F.lit("id:"), "id"), F.concat(F.lit("ext:"), "external_id"))
+    known = orgs.select(F.explode(F.array_compact(keys)).alias("__known"), F.col("id").alias("__id")).groupBy("__known").agg(F.min("__id").alias("__id"))
     joined = keyed.join(known, keyed["__key"] == known["__known"], "left")
     made = F.when(F.lit(create_missing) & F.col("__key").startswith("ext:"), text.dry_run_org(text.filled(F.col("org_external_id"))))
     resolved = F.coalesce("__id", made)

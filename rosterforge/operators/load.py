@@ -39,32 +39,42 @@ def payloads(built: DataFrame) -> DataFrame:
     )
 
 
+def prepared(df: DataFrame, orgs: DataFrame | None = None, roles: DataFrame | None = None, create_missing: bool = False) -> DataFrame:
+    """(record_number, email_key, org, n_roles, error_type, error): what each row is to create, or why it cannot. Row by row, so rows may be a stream."""
+    built = build(df)
+    resolved = resolve_orgs(built, orgs, create_missing) if orgs is not None else built.withColumns({"resolved_org_id": text.filled(F.col("org_id")), "org_error": F.lit(None).cast("string")})
+    resolved = with_user_roles(resolved, roles, F.col("own_roles")) if roles is not None else resolved.withColumn("all_roles", F.coalesce("own_roles", F.array().cast("array<string>")))
+    return resolved.select(
+        RECORD, "email_key", F.col("resolved_org_id").alias("org"), F.size(F.array_distinct("all_roles")).alias("n_roles"),
+        F.when(F.col("build_error").isNotNull(), "user_create").when(F.col("org_error").isNotNull(), "org_resolution").alias("error_type"), F.coalesce("build_error", "org_error").alias("error"),
+    )
+
+
 def outcomes(df: DataFrame, orgs: DataFrame | None = None, roles: DataFrame | None = None, create_missing: bool = False, chunk_size: int | None = None) -> DataFrame:
     """What a dry run does with each row.
 
     A row with an error in building or in its organisation is left out first. Of the others the first of an email creates the user, later ones are duplicates; the first of an email and
     organisation creates the membership and assigns its roles. Each key's first row is an aggregate that is joined to the rows: a user with very many rows costs no task more
-    than others. chunk_size: users and memberships are told apart within chunks of so many rows, as independent chunks do.
+    than others, nor do rows that are left out, which have keys of their own in the join. chunk_size: users and memberships are told apart within chunks of so many rows, as independent chunks do.
     """
-    built = build(df)
-    resolved = resolve_orgs(built, orgs, create_missing) if orgs is not None else built.withColumns({"resolved_org_id": text.filled(F.col("org_id")), "org_error": F.lit(None).cast("string")})
-    resolved = with_user_roles(resolved, roles, F.col("own_roles")) if roles is not None else resolved.withColumn("all_roles", F.coalesce("own_roles", F.array().cast("array<string>")))
-    scoped = resolved.withColumn("chunk", chunk_id(chunk_size) if chunk_size else F.lit(0))
-    rows = scoped.select(
-        RECORD, "chunk", "email_key", F.col("resolved_org_id").alias("org"), F.size(F.array_distinct("all_roles")).alias("n_roles"),
-        F.when(F.col("build_error").isNotNull(), "user_create").when(F.col("org_error").isNotNull(), "org_resolution").alias("error_type"), F.coalesce("build_error", "org_error").alias("error"),
-    )
     good = F.col("error_type").isNull()
-    users = rows.where(good).groupBy("chunk", "email_key").agg(F.min(RECORD).alias("__user"))
-    members = rows.where(good & F.col("org").isNotNull()).groupBy("chunk", "email_key", "org").agg(F.min(RECORD).alias("__member"))
-    joined = rows.join(users, ["chunk", "email_key"], "left").join(members, ["chunk", "email_key", "org"], "left")
+    rows = prepared(df, orgs, roles, create_missing).withColumns({
+        "chunk": chunk_id(chunk_size) if chunk_size else F.lit(0), "at_email": F.when(good, F.col("email_key")).otherwise(F.concat(F.lit("\0"), F.col(RECORD).cast("string"))), "at_org": F.coalesce("org", F.lit("\0"))
+    })
+    members = rows.where(good).groupBy("chunk", "at_email", "at_org").agg(F.min(RECORD).alias("first_member"))
+    users = members.groupBy("chunk", "at_email").agg(F.min("first_member").alias("first_user"))
+    joined = rows.join(members.join(users, ["chunk", "at_email"]), ["chunk", "at_email", "at_org"], "left")
+    return decided(joined, F.col("first_user") == F.col(RECORD), F.col("first_member") == F.col(RECORD))
+
+
+def decided(rows: DataFrame, first_of_user: Column, first_of_member: Column) -> DataFrame:
+    """Outcomes of prepared() rows, of which it is known whether they are the first of their email, and of email and organisation, that can be loaded."""
+    good = F.col("error_type").isNull()
     member = good & F.col("org").isNotNull()
-    first_member = F.col("__member") == F.col(RECORD)
-    return joined.select(
+    return rows.select(
         RECORD, "email_key", "org", "error_type", "error", F.when(good, text.dry_run_user(F.col("email_key"))).alias("user_id"),
-        F.when(~good, None).when(F.col("__user") == F.col(RECORD), "created").otherwise("duplicate").alias("user_outcome"),
-        F.when(~member, None).when(first_member, "created").otherwise("duplicate").alias("membership_outcome"),
-        F.when(member & first_member, F.col("n_roles")).otherwise(0).alias("roles_assigned"),
+        F.when(~good, None).when(first_of_user, "created").otherwise("duplicate").alias("user_outcome"), F.when(~member, None).when(first_of_member, "created").otherwise("duplicate").alias("membership_outcome"),
+        F.when(member & first_of_member, F.col("n_roles")).otherwise(0).alias("roles_assigned"),
     )
 
 

@@ -1,10 +1,9 @@
-"""Loads in chunks that can be resumed, and user rows as a stream."""
+"""Loads in chunks that can be resumed, and user rows as a stream (see loads for what is made of them)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..operators import load
@@ -61,15 +60,6 @@ def first_per_email(users: DataFrame, event_time: str | None = None, late: str =
     return keyed.withWatermark(event_time, late).dropDuplicatesWithinWatermark(["email_key"]) if event_time else keyed.dropDuplicates(["email_key"])
 
 
-def load_stream(users: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Dry-run outcomes of each micro-batch, by Parquet files in folders by batch: a batch that is done again replaces its own folder."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        load.outcomes(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
-
-    return users.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def org_counts(users: DataFrame, event_time: str, window: str = "10 minutes", late: str = "1 hour") -> DataFrame:
     """Rows by organisation and time window, of a stream."""
     return users.withWatermark(event_time, late).groupBy(F.window(event_time, window), "org_external_id").agg(F.count("*").alias("rows"))

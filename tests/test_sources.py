@@ -8,7 +8,7 @@ from rosterforge.plans import planner
 from rosterforge.sinks import files as out
 from rosterforge.sinks import rest as sink
 from rosterforge.sources import files, rest, synthetic
-from rosterforge.streaming import incremental
+from rosterforge.streaming import incremental, loads
 
 
 def test_csv(spark, tmp_path):
@@ -167,7 +167,7 @@ def test_streams(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     stream = incremental.stream_users(spark, str(tmp_path / "in"), ddl)
-    q = incremental.load_stream(stream.drop("ts"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = loads.load_stream(stream.drop("ts"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert load.summary(spark.read.parquet(str(tmp_path / "out"))).first().users_created == 50
     firsts = incremental.first_per_email(stream.union(stream)).writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
