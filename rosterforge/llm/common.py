@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 import tempfile
 import uuid
@@ -12,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -78,6 +79,34 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     return written(docs.withColumn("__row", F.monotonically_increasing_id()), name)
 
 
+def aside(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage that gives rows of docs with their columns. Columns of docs whose names begin with two underscores, as those do that a stage adds, have other names in the stage."""
+
+    @functools.wraps(stage)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        clashing = {c for c in docs.columns if c.startswith("__")}
+        if not clashing:
+            return stage(docs, *args, **options)
+        taken = {c.lower() for c in docs.columns}
+        free = (n for k in itertools.count() if (n := f"aside_{k}") not in taken)
+        inside = [next(free) if c in clashing else c for c in docs.columns]
+        return stage(docs.toDF(*inside), *args, **options).toDF(*docs.columns)
+
+    return run
+
+
+def one_of_repeats(rows: DataFrame, names: list[str], again: DataFrame | None = None) -> DataFrame:
+    """One row of those that have the columns `names` (never null) in common. again: the values that several rows have, if known. Of these, the first of each salt and then the first of those, so that no task has all rows that repeat."""
+    if again is None:
+        again = written(rows.groupBy(*names).count().where("count > 1").select(*names), "repeated")
+    if again.isEmpty():
+        return rows
+    first = lambda *by: F.row_number().over(Window.partitionBy(*names, *by).orderBy("__salt")) == 1
+    salted = rows.join(again, names, "left_semi").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(1021)))
+    once = salted.withColumn("__first", first("__salt")).where("__first").withColumn("__first", first()).where("__first").drop("__salt", "__first")
+    return rows.join(again, names, "left_anti").unionByName(once)
+
+
 def drop_written(df: DataFrame) -> None:
     """Removes the files of a table from written() that nothing reads any more."""
     spark = df.sparkSession

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, documents, row_keys, whole, written
+from .common import LOWER, UPPER, ascii_lower, aside, documents, one_of_repeats, row_keys, whole, written
 
 #: A bucket with more distinct keys than this is split.
 CAPACITY = 4096
@@ -106,6 +106,7 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
     )
 
 
+@aside
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each text, with the columns of docs: the one of the largest doc_id, and of rows that repeat doc_id and text any one."""
     index = exact_index(docs, key, text)
@@ -113,10 +114,9 @@ def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     stays = index.entries.select(*[c.alias(n) for n, c in row_keys(keep, F.lit("")).items() if n != "__hash"], F.col("hash").alias("__hash"), F.col("body").alias("__body"), F.col("place").alias("__place"))
     body = ascii_lower(whole(docs[text]))
     rows = docs.withColumns(row_keys(docs[key], body))
-    # of texts with one hash those that are equal meet; rows that repeat stand together as the join has dealt them
+    # of texts with one hash those that are equal meet
     met = rows.join(stays, ["__id", "__none", "__hash"]).where(F.col("__body").isNull() | (F.col("__body") == ascii_lower(whole(F.col(text)))))
-    first = F.row_number().over(Window.partitionBy("__id", "__none", "__hash", "__place").orderBy("__place")) == 1
-    return met.withColumn("__first", first).where("__first").select(*docs.columns)
+    return one_of_repeats(met, ["__id", "__none", "__hash", "__place"]).select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

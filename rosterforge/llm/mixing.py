@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import heapq
-import itertools
-import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ordering import number_by
-from .common import WORD, documents, numbered, whole, written
+from .common import WORD, aside, documents, numbered, whole, written
 from .components import components
 
 WEIGHTS, MOST_REPEATS, SEED = (5.0, 2.0, 1.0), 3, 20
 #: The seeded order of a pattern's documents is cut into 2 ** BUCKET_BITS buckets, and the one in which the quota falls into as many again; only in the last one are documents put in order.
 BUCKET_BITS, CUTS = 10, 2
 ROUNDS = 5
+#: Patterns whose flows one task solves, if no flow has more.
+PATTERNS = 4096
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST_REPEATS) -> DataFrame:
@@ -66,7 +67,7 @@ class Flow:
             for x in potential:
                 potential[x] += far.get(x, reach)
             while (level := self._levels(source, potential)).get(sink) is not None:
-                at = {x: iter(ks) for x, ks in self.out.items()}
+                at = dict.fromkeys(self.out, 0)  # of each node, the first of its arcs that may still lead on
                 while self._fill(source, sink, potential, level, at):
                     pass
 
@@ -99,28 +100,27 @@ class Flow:
         return level
 
     def _fill(self, source: object, sink: object, potential: dict, level: dict, at: dict) -> bool:
-        """Sends what fits along one path of growing levels. Arcs that lead nowhere are not tried again."""
+        """Sends what fits along one path of growing levels. Arcs that are full or lead nowhere are not tried again."""
         path, x = [], source
         while x != sink:
-            for k in at[x]:
+            arcs = self.out[x]
+            while at[x] < len(arcs):
+                k = arcs[at[x]]
                 y = self.arcs[k][0]
                 if level.get(y) == level[x] + 1 and self._open(x, k, potential):
                     path.append(k)
                     x = y
                     break
+                at[x] += 1
             else:
                 if not path:
                     return False
                 x = self.arcs[path.pop() ^ 1][0]
+                at[x] += 1
         amount = min(self.arcs[k][1] for k in path)
         for k in path:
             self.arcs[k][1] -= amount
             self.arcs[k ^ 1][1] += amount
-        # an arc of the path may have room left: its turn comes again
-        x = source
-        for k in path:
-            at[x] = itertools.chain([k], at[x])
-            x = self.arcs[k][0]
         return True
 
 
@@ -138,26 +138,35 @@ def route(patterns: dict[str, tuple[list[str | None], int]], quota: dict[str | N
     return {p: sum(map(flow.taken, ks)) for p, ks in levels.items()}
 
 
-def quotas(by_pattern: DataFrame, members: DataFrame, most: int) -> DataFrame:
-    """(pattern, words, quota): how many words to take of each pattern. members: pattern, words, source, share (the words to take of that source).
+def quotas(by_pattern: DataFrame, members: DataFrame, most: int, flow: Callable = route) -> DataFrame:
+    """(pattern, words, quota): how many words to take of each pattern, by the min-cost flow. members: pattern, words, source, share (the words to take of that source).
 
-    Where no source of a pattern belongs to another one, it gives what its source is to have, as far as it can. Sources that patterns bind together are one min-cost flow, and each such set of sources is solved by itself.
+    Sources that patterns bind together are one flow, a source that shares no pattern is one by itself; each is solved in one task, whose size is that of its patterns, not of their documents. Flows are dealt out in buckets of
+    some PATTERNS patterns.
     """
-    own = F.least(F.round("share").cast("long"), most * F.col("words"))
-    if by_pattern.where(F.size("names") > 1).isEmpty():
-        return members.select("pattern", "words", own.alias("quota"))
     nodes = members.withColumn("node", F.xxhash64("source", F.col("source").isNull()))
-    bound = components(nodes.groupBy("pattern").agg(F.min("node").alias("a")).join(nodes.select("pattern", F.col("node").alias("b")), "pattern").where("a != b").select("a", "b").distinct())
-    placed = nodes.join(bound, nodes["node"] == bound["id"], "left")
+    placed = nodes.withColumn("component", F.col("node"))
+    total = by_pattern.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("names")), F.lit(0)).alias("widest")).first()
+    if total.widest > 1:
+        bound = components(nodes.groupBy("pattern").agg(F.min("node").alias("a")).join(nodes.select("pattern", F.col("node").alias("b")), "pattern").where("a != b").select("a", "b").distinct())
+        named = bound.select("id", F.col("component").alias("bound"))
+        placed = nodes.join(named, nodes["node"] == named["id"], "left").withColumn("component", F.coalesce("bound", "node"))
 
     def solve(rows):
-        own = {p: ([None if s != s else s for s in of["source"]], int(of["words"].iloc[0])) for p, of in rows.groupby("pattern")}
-        share = {None if s != s else s: x for s, x in zip(rows["source"], rows["share"], strict=True)}
-        found = route(own, share, most)
-        return rows[["pattern", "words"]].drop_duplicates("pattern").assign(quota=lambda d: d["pattern"].map(found))
-
-    flows = placed.where("component IS NOT NULL").select("component", "pattern", "words", "source", "share").groupBy("component").applyInPandas(solve, "pattern string, words long, quota long")
-    return placed.where("component IS NULL").select("pattern", "words", own.alias("quota")).union(flows)
+        out = []
+        for _, own in rows.groupby("component", sort=False):
+            patterns: dict[str, tuple[list, int]] = {}
+            share = {}
+            for p, words, s, x in zip(own["pattern"], own["words"], own["source"], own["share"], strict=True):
+                name = None if s != s else s
+                patterns.setdefault(p, ([], int(words)))[0].append(name)
+                share[name] = x
+            found = flow(patterns, share, most)
+            out += [(p, words, found[p]) for p, (_, words) in patterns.items()]
+        return pd.DataFrame(out, columns=["pattern", "words", "quota"])
+
+    dealt = placed.withColumn("bucket", F.pmod("component", F.lit(total.n // PATTERNS + 1)))
+    return dealt.select("bucket", "component", "pattern", "words", "source", "share").groupBy("bucket").applyInPandas(solve, "pattern string, words long, quota long")
 
 
 def _cut(ranked: DataFrame, plans: DataFrame) -> DataFrame:
@@ -173,10 +182,10 @@ def _cut(ranked: DataFrame, plans: DataFrame) -> DataFrame:
     return cuts.drop("rest")
 
 
-def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, carried: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text", weights: Sequence[float] = WEIGHTS, most: int = MOST_REPEATS, seed: int = SEED, carried: Sequence[str] = (), flow: Callable = route) -> tuple[DataFrame, DataFrame]:
     """(doc_id, pattern, size, taken) and the columns carried, of each row, and (source, size, target).
 
-    members: the array of a row's sources, of which a null is one too; a row of several may be taken for any of them. size: words of the text, none for a null text. taken: words that
+    members: the array of a row's sources, of which a null is one too; a row of several may be taken for any of them. flow: solves the patterns of sources that belong together. size: words of the text, none for a null text. taken: words that
     the mix takes of the row, its size times 0 to `most`. Which rows are taken once more than the others of their pattern is drawn by a hash of doc_id, text and seed, so a rerun agrees.
     Then, in up to ROUNDS rounds, one more row of each pattern is put in or left out where that brings the pattern's words nearer their quota. Repeated rows are rows of their own; an empty table gives no rows.
     """
@@ -193,7 +202,7 @@ def mix(docs: DataFrame, members: Column, key: str = "doc_id", text: str = "text
     t = by_pattern.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("once"), F.coalesce(F.sum(F.col("words") * F.size("names")), F.lit(0)).alias("each")).first()
     sources = written(sources.withColumn("target", F.col("target") * (t.once / max(1, t.each))), "mix-targets")
     known = sources.select(F.col("source").alias("name"), F.col("target").alias("share"))
-    plans = quotas(by_pattern, named.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name"), most)
+    plans = quotas(by_pattern, named.join(known, F.col("source").eqNullSafe(F.col("name"))).drop("name"), most, flow)
     words = F.greatest("words", F.lit(1))
     plans = written(plans.select("pattern", F.floor(F.col("quota") / words).alias("times"), (F.col("quota") % words).alias("rest")), "mix-plans")
     # the buckets before the quota's are taken, those after it not; in it, documents by their draw
@@ -233,6 +242,7 @@ def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sour
     return rows.join(known, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
+@aside
 def apply_mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; rows without words are not taken."""
     own = numbered(docs, "mix-rows")
