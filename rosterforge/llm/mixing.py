@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -152,21 +152,17 @@ def quotas(by_pattern: DataFrame, members: DataFrame, most: int, flow: Callable
         named = bound.select("id", F.col("component").alias("bound"))
         placed = nodes.join(named, nodes["node"] == named["id"], "left").withColumn("component", F.coalesce("bound", "node"))
 
-    def solve(rows):
-        out = []
-        for _, own in rows.groupby("component", sort=False):
-            patterns: dict[str, tuple[list, int]] = {}
-            share = {}
-            for p, words, s, x in zip(own["pattern"], own["words"], own["source"], own["share"], strict=True):
-                name = None if s != s else s
-                patterns.setdefault(p, ([], int(words)))[0].append(name)
-                share[name] = x
-            found = flow(patterns, share, most)
-            out += [(p, words, found[p]) for p, (_, words) in patterns.items()]
-        return pd.DataFrame(out, columns=["pattern", "words", "quota"])
+    def solve(key, rows):
+        flows: dict[int, tuple[dict, dict]] = {}
+        for component, p, words, s, x in zip(*(rows.column(c).to_pylist() for c in ("component", "pattern", "words", "source", "share")), strict=True):
+            patterns, share = flows.setdefault(component, ({}, {}))
+            patterns.setdefault(p, ([], words))[0].append(s)
+            share[s] = x
+        found = [(p, words, made[p]) for patterns, share in flows.values() for made in [flow(patterns, share, most)] for p, (_, words) in patterns.items()]
+        return pa.Table.from_pylist([dict(zip(("pattern", "words", "quota"), x, strict=True)) for x in found], schema=pa.schema([("pattern", pa.string()), ("words", pa.int64()), ("quota", pa.int64())]))
 
     dealt = placed.withColumn("bucket", F.pmod("component", F.lit(total.n // PATTERNS + 1)))
-    return dealt.select("bucket", "component", "pattern", "words", "source", "share").groupBy("bucket").applyInPandas(solve, "pattern string, words long, quota long")
+    return dealt.select("bucket", "component", "pattern", "words", "source", "share").groupBy("bucket").applyInArrow(solve, "pattern string, words long, quota long")
 
 
 def _cut(ranked: DataFrame, plans: DataFrame) -> DataFrame:
