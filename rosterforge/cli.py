@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import analyze, dedupe, joins, load, mapping, transforms, validate
-from .operators.ordering import number_by
+from .functions import text
 from .plans import planner
+from .schema import require_columns
 from .sinks import files as out
 from .sources import files
 from .streaming import incremental
@@ -83,9 +84,15 @@ def cmd_merge_passwords(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def cmd_roles(spark: SparkSession, a: argparse.Namespace) -> int:
     kept, problems = joins.parse_role_definitions(files.read_csv(spark, a.csv))
-    there = spark.createDataFrame([], "slug string, org_id string, permissions array<string>")
+    if a.existing:
+        rows = require_columns(files.read_csv(spark, a.existing, number=False), ["slug", "org_id", "permissions"])
+        there = rows.select("slug", F.nullif("org_id", F.lit("")).alias("org_id"), F.coalesce(text.split_list(F.col("permissions")), F.array().cast("array<string>")).alias("permissions"))
+    else:
+        there = spark.createDataFrame([], "slug string, org_id string, permissions array<string>")
     found = out.report(joins.role_summary(joins.process_roles(kept, there)))
-    found["problems"] = [r.asDict() for r in problems.orderBy("record_number").limit(1000).collect()]
+    found["problems"] = {r.level: r["count"] for r in problems.groupBy("level").count().collect()}
+    if a.problems:
+        out.write_json_lines(problems, a.problems, "overwrite")
     _finish("Roles (dry run)", found, a.report)
     return 0
 
@@ -103,9 +110,9 @@ def cmd_load(spark: SparkSession, a: argparse.Namespace) -> int:
         rows = rows.withColumn("org_id", F.lit(a.org_id)).drop("org_external_id")
     roles = joins.role_mapping(files.read_csv(spark, a.user_roles), "external_id") if a.user_roles else None
     orgs = files.read_csv(spark, a.orgs, number=False).select("id", "external_id") if a.orgs else None
-    found = load.outcomes(rows, orgs, roles, a.create_missing)
+    found = load.outcomes(rows, orgs, roles, a.create_missing, a.chunk_size if a.job else None)
     if a.job:
-        chunks = incremental.process_chunks(found, a.chunk_size, f"{a.job}/chunks")
+        chunks = incremental.process_chunks(rows, a.chunk_size, f"{a.job}/chunks", lambda part: load.outcomes(part, orgs, roles, a.create_missing, a.chunk_size))
         summary = load.total_of_chunks(chunks)
     else:
         summary = load.summary(found)
@@ -117,19 +124,18 @@ def cmd_load(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def cmd_analyze(spark: SparkSession, a: argparse.Namespace) -> int:
     records, bad = files.read_errors(spark, a.errors)
-    if not records.where("recordNumber is null").isEmpty():
-        records = number_by(records.fillna({"recordNumber": 0}), "recordNumber", "errorMessage", name="recordNumber")
     records = records.cache()
-    groups = analyze.groups(records).cache()
+    groups = analyze.groups(records, "line").cache()
     found = out.report(analyze.retryability(records)) | {
         "unreadable_lines": bad.count(), "top_groups": [r.asDict() for r in analyze.top_groups(groups, a.top).collect()],
         "suggestions": [r.asDict() for r in analyze.suggestions(groups).orderBy(F.desc("affected")).limit(a.top).collect()],
     }
     if a.retry_csv:
-        again = analyze.retry_set(records, include_duplicates=a.include_duplicates)
-        keys = [r[0] for r in again.select(F.explode(F.map_keys("rawRow"))).distinct().limit(1000).collect()]
-        if keys:
-            out.write_csv(again.select(*[F.col("rawRow")[k].alias(k) for k in analyze.retry_columns(sorted(keys))]), a.retry_csv)
+        again = analyze.retry_set(records, "line", a.include_duplicates).cache()
+        table, others = analyze.retry_table(again, "line", a.all_columns)
+        if table is not None:
+            out.write_csv(table, a.retry_csv)
+        found["columns_of_other_rows"] = others
     _finish("Errors", found, a.report)
     return 0 if found["retryable_errors"] else 1
 
@@ -155,10 +161,10 @@ def parser() -> argparse.ArgumentParser:
         add(f"transform-{name}", cmd_transform, ("--source", "must"), ("--out", "must"), ("--orgs", str), ("--roles", str), ("--skipped", str), *more)
         commands.choices[f"transform-{name}"].set_defaults(provider=name, name_split="first-space", salt_separator="Bw==")
     add("merge-passwords", cmd_merge_passwords, ("--csv", "must"), ("--passwords", "must"), ("--out", "must"))
-    add("roles", cmd_roles, ("--csv", "must"))
+    add("roles", cmd_roles, ("--csv", "must"), ("--existing", str), ("--problems", str))
     add("plan", cmd_plan, ("--csv", "must"), ("--concurrency", int), ("--workers", int), ("--chunk-size", int), ("--job", str), ("--org-id", str), ("--org-external-id", str))
     add("load", cmd_load, ("--csv", "must"), ("--orgs", str), ("--user-roles", str), ("--org-id", str), ("--create-missing", bool), ("--job", str), ("--chunk-size", int), ("--errors", str))
-    add("analyze", cmd_analyze, ("--errors", "must"), ("--retry-csv", str), ("--include-duplicates", bool), ("--top", int))
+    add("analyze", cmd_analyze, ("--errors", "must"), ("--retry-csv", str), ("--include-duplicates", bool), ("--all-columns", bool), ("--top", int))
     return top
 
 

@@ -172,5 +172,21 @@ def retry_set(df: DataFrame, order: str = "recordNumber", include_duplicates: bo
 
 
 def retry_columns(raw_keys: list[str]) -> list[str]:
-    """The columns of a retry file: known ones in their order, then the others as they come."""
-    return [c for c in KNOWN_COLUMNS if c in raw_keys] + [c for c in raw_keys if c not in KNOWN_COLUMNS]
+    """The columns of a retry file: known ones in their order (but role_slugs, which is one of the others), then the others as they come."""
+    known = [c for c in KNOWN_COLUMNS if c in raw_keys and c != "role_slugs"]
+    return known + [c for c in raw_keys if c not in known]
+
+
+def retry_table(again: DataFrame, order: str = "recordNumber", every: bool = False) -> tuple[DataFrame | None, list[str]]:
+    """(rows of a retry file, columns that only other rows have) of retry_set(): the columns are those of the first row, known ones first, the others in its order; None without rows.
+
+    every: the columns of all rows, others after those of the first row by where they come first. The names of columns are listed on the driver, the rows are not.
+    """
+    first = again.agg(F.min_by(F.map_keys("rawRow"), order).alias("keys")).first().keys
+    if first is None:
+        return None, []
+    key = again.select(F.col(order).alias("at"), F.posexplode(F.map_keys("rawRow")).alias("place", "key"))
+    others = key.where(~F.col("key").isin(list(first))).groupBy("key").agg(F.min(F.struct("at", "place")).alias("first")).orderBy("first").select("key").collect()
+    more = [r.key for r in others]
+    columns = retry_columns(list(first)) + (more if every else [])
+    return again.select(*[F.col("rawRow")[c].alias(c) for c in columns]), more

@@ -89,6 +89,15 @@ def in_range(df: DataFrame, start_row: int, end_row: int, order: str = RECORD) -
     return df.where(F.col(order).between(start_row, end_row))
 
 
-def moving_average(value: str, order: str, rows: int = 5) -> Column:
-    """Of the last `rows` rows of a small table such as that of chunks."""
-    return F.avg(value).over(Window.orderBy(order).rowsBetween(1 - rows, 0))
+def moving_average(df: DataFrame, value: str, order: str, name: str = "moving", rows: int = 5, size: int = 100_000) -> DataFrame:
+    """df with the average of a column over each row and the `rows` - 1 before it in an order that no two rows share.
+
+    Rows are numbered and cut into ranges of `size`; the last rows of a range go to the next one too, so that each range is worked on by itself and no task has all rows.
+    """
+    numbered = number_by(df, order, name="__n")
+    place, part = F.col("__n") - 1, F.expr(f"(__n - 1) div {size}")
+    parts = F.when(F.pmod(place, F.lit(size)) >= size - (rows - 1), F.array(part, part + 1)).otherwise(F.array(part))
+    dealt = numbered.withColumn("__part", F.explode(parts))
+    within = Window.partitionBy("__part").orderBy("__n").rowsBetween(1 - rows, 0)
+    made = dealt.withColumn(name, F.avg(value).over(within))
+    return made.where(F.col("__part") == part).drop("__part", "__n")

@@ -326,7 +326,7 @@ def q17_chunk_summaries(spark, sf_dir):
 @query("SELECT chunk_id, rows, round(avg(rows) OVER (ORDER BY chunk_id ROWS 4 PRECEDING), 6) AS moving FROM (SELECT l_orderkey // 1000 AS chunk_id, count(*) AS rows FROM lineitem GROUP BY 1)")
 def q18_chunk_moving_average(spark, sf_dir):
     counts = table(spark, sf_dir, "lineitem").groupBy(F.expr("l_orderkey div 1000").alias("chunk_id")).agg(F.count("*").alias("rows"))
-    return counts.withColumn("moving", F.round(ordering.moving_average("rows", "chunk_id"), 6))
+    return ordering.moving_average(counts, "rows", "chunk_id", size=20).withColumn("moving", F.round("moving", 6))
 
 
 @query("SELECT record_number, email_key, org, error_type, user_outcome, membership_outcome, CAST(roles_assigned AS INTEGER) AS roles_assigned FROM outcomes", USERS_SQL, OUTCOME_SQL)

@@ -194,22 +194,29 @@ def can_connect(client) -> bool:
     return status == 200
 
 
-def point_lookup(keys: DataFrame, client, path: str, schema: str, rate: float = 50.0) -> DataFrame:
-    """One call per distinct key of a one-column table; a key that the server does not know or may not tell gives no row. schema: the key column, then what the answer has."""
+def point_lookup(keys: DataFrame, client, path: str, schema: str, rate: float = 50.0, tasks: int = 8) -> DataFrame:
+    """One call per distinct key of a one-column table; a key that the server does not know or may not tell gives no row. schema: the key column, then what the answer has. The keys are dealt to `tasks` tasks, which share the rate."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
     key = keys.columns[0]
 
     def run(batches):
         import pandas as pd
 
-        bucket = Bucket(rate)
+        bucket = Bucket(rate / tasks)
         for batch in batches:
             out = []
             for k in batch[key]:
-                bucket.acquire()
-                status, body = client.get(path.format(key=k), {})
+
+                def call(k=k):
+                    bucket.acquire()
+                    status, body = client.get(path.format(key=k), {})
+                    if status == 429 or status >= 500:
+                        raise RetryAfter(status, asked_seconds(body))
+                    return status, body
+
+                status, body = with_retry(call)
                 if status == 200:
                     out.append([k, *(body.get(n) for n in names[1:])])
             yield pd.DataFrame(out, columns=names)
 
-    return keys.distinct().mapInPandas(run, schema)
+    return keys.distinct().repartition(tasks, key).mapInPandas(run, schema)

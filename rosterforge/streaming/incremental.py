@@ -2,32 +2,68 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import load
-from ..operators.ordering import chunk_id
+from ..schema import RECORD
+from ..sources.files import input_digest
+
+
+LEDGER = "chunk_id int, run string, digest string, written_at timestamp, total long, successes long, failures long, users_created long, duplicate_users long, memberships_created long, duplicate_memberships long, roles_assigned long"
 
 
-def process_chunks(found: DataFrame, size: int, table: str) -> DataFrame:
-    """Adds the summaries of those chunks of load outcomes that the table at path `table` does not have yet, and gives all of them. A run that was broken off goes on where it ended."""
-    spark = found.sparkSession
-    rows = found.withColumn("chunk_id", chunk_id(size))
-    done = finished_chunks(spark, table)
-    if done is not None:
-        rows = rows.join(done, "chunk_id", "left_anti")
-    load.chunk_summaries(rows.drop("chunk_id"), size).write.mode("append").parquet(table)
-    return spark.read.parquet(table)
+def process_chunks(rows: DataFrame, size: int, table: str, make: Callable[[DataFrame], DataFrame] | None = None, wave: int = 1000, digest: str | None = None) -> DataFrame:
+    """Works through numbered rows in chunks of `size` and gives the summary of each chunk (see chunk_ledger) from the ledger at path `table`.
 
+    make: the outcomes of some rows, where chunks are independent; load.outcomes in chunks of that size if None. Chunks are worked on in waves of `wave`, each of which is added to the ledger when it is done, so a run that was
+    broken off goes on with the first wave that the ledger lacks: rows of others are left out before anything is worked out. digest: of the input (by files.input_digest if None); a ledger of another input is
+    refused. Runs only add to the ledger; where two at once did the same chunk, the one of the smaller name counts.
+    """
+    spark = rows.sparkSession
+    make = make or (lambda part: load.outcomes(part, chunk_size=size))
+    digest = digest or input_digest(rows)
+    run, done = f"run-{uuid.uuid4().hex}", finished_waves(spark, table, size, wave, digest)
+    last = rows.agg(F.max(RECORD)).first()[0]
+    for k in [] if last is None else range((last - 1) // (size * wave) + 1):
+        if k not in done:
+            part = rows.where(F.col(RECORD).between(k * size * wave + 1, (k + 1) * size * wave))
+            found = load.chunk_summaries(make(part), size).select("chunk_id", F.lit(run).alias("run"), F.lit(digest).alias("digest"), F.current_timestamp().alias("written_at"), *load.counters())
+            found.withColumn("wave", F.lit(k)).write.mode("append").parquet(table)
+    return chunk_ledger(spark, table)
 
-def finished_chunks(spark: SparkSession, table: str) -> DataFrame | None:
-    """The chunks that the table has; None where it is not there or has no data yet, as after a run that was broken off before its first commit."""
+
+def _there(spark: SparkSession, table: str) -> bool:
+    """Whether a table has data yet; a run that was broken off before its first commit leaves none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path) or not any(s.getPath().getName().endswith(".parquet") for s in files.listStatus(path)):
-        return None
-    return spark.read.schema("chunk_id long").parquet(table).distinct()
+    return files.exists(path) and any(s.getPath().getName().endswith(".parquet") for s in files.listStatus(path))
+
+
+def finished_waves(spark: SparkSession, table: str, size: int, wave: int, digest: str) -> set[int]:
+    """The numbers of the waves that a ledger has. One of another input, or of chunks or waves of another size, is refused."""
+    if not _there(spark, table):
+        return set()
+    ledger = spark.read.schema(f"{LEDGER}, wave int").parquet(table)
+    if other := ledger.where(F.col("digest") != digest).select("digest").first():
+        raise ValueError(f"the ledger is of another input: {other.digest}, not {digest}")
+    waves = ledger.groupBy("wave").agg(F.min("chunk_id").alias("low"), F.max("chunk_id").alias("high"), F.max("total").alias("most")).collect()  # a row for each `wave` chunks
+    if any(not w.wave * wave <= w.low <= w.high < (w.wave + 1) * wave or w.most > size for w in waves):
+        raise ValueError("the ledger is of chunks or waves of another size")
+    return {w.wave for w in waves}
+
+
+def chunk_ledger(spark: SparkSession, table: str) -> DataFrame:
+    """One row a chunk: chunk_id, run, digest, written_at, runs (how many did it), state (see load.status_label) and the counters. No rows without a ledger."""
+    if not _there(spark, table):
+        return spark.createDataFrame([], f"{LEDGER}, runs long, state string")
+    names = [f.split(" ")[0] for f in LEDGER.split(", ")]
+    one = spark.read.schema(LEDGER).parquet(table).groupBy("chunk_id").agg(F.min_by(F.struct(*names[1:]), "run").alias("row"), F.count("*").alias("runs"))
+    return one.select("chunk_id", "row.*", "runs").withColumn("state", load.status_label(F.col("successes"), F.col("failures")))
 
 
 def last_job(spark: SparkSession, folder: str) -> str | None:
@@ -42,11 +78,9 @@ def last_job(spark: SparkSession, folder: str) -> str | None:
 
 def progress(chunks: DataFrame, total: int) -> DataFrame:
     """One row: chunks done, percent, and the time left by the mean of the last five durations. chunks: chunk_id, duration_ms."""
-    timed = F.filter(F.sort_array(F.collect_list(F.struct("chunk_id", "duration_ms")), asc=False), lambda x: x["duration_ms"].isNotNull())
-    last = F.transform(F.slice(timed, 1, 5), lambda x: x["duration_ms"].cast("double"))
-    mean = F.aggregate(last, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(last), F.lit(0))
-    done = chunks.agg(F.count("*").alias("done"), mean.alias("mean_ms"))
-    return done.select("done", F.round(F.col("done") * 100.0 / max(1, total)).cast("int").alias("percent"), (F.col("mean_ms") * (total - F.col("done"))).alias("left_ms"))
+    last = chunks.where(F.col("duration_ms").isNotNull()).orderBy(F.desc("chunk_id")).limit(5)
+    both = chunks.agg(F.count("*").alias("done")).crossJoin(last.agg(F.avg("duration_ms").alias("mean_ms")))  # one row each
+    return both.select("done", F.round(F.col("done") * 100.0 / max(1, total)).cast("int").alias("percent"), (F.col("mean_ms") * (total - F.col("done"))).alias("left_ms"))
 
 
 def stream_users(spark: SparkSession, path: str, schema: str, files_each: int = 8) -> DataFrame:

@@ -50,8 +50,21 @@ def test_transforms(spark, tmp_path):
     assert run(tmp_path, "map", "--csv", str(mapped), "--profile", "auth0", "--out", str(tmp_path / "m"))[1] == {"rows": 2, "unmapped": {}}
     roles = tmp_path / "r.csv"
     roles.write_text('role_slug,role_name,role_type,permissions\nadmin,Admin,environment,"a,b"\n,X,environment,\n')
-    found = run(tmp_path, "roles", "--csv", str(roles))[1]
-    assert (found["created"], len(found["problems"])) == (1, 1)
+    found = run(tmp_path, "roles", "--csv", str(roles), "--problems", str(tmp_path / "problems"))[1]
+    assert (found["created"], found["problems"], spark.read.json(str(tmp_path / "problems")).count()) == (1, {"error": 1}, 1)
+    there = tmp_path / "there.csv"
+    there.write_text('slug,org_id,permissions\nadmin,,"a,c"\n')
+    found = run(tmp_path, "roles", "--csv", str(roles), "--existing", str(there))[1]
+    assert (found["created"], found["exists"], found["mismatched"]) == (0, 1, 1)
+
+
+def test_errors_without_numbers_keep_their_order(spark, tmp_path):
+    log = tmp_path / "e.jsonl"
+    lines = [(9, "z late number", 500), (None, "a no number", 500), (1, "z late number", 500)]
+    log.write_text("".join(json.dumps({"recordNumber": n, "errorMessage": m, "httpStatus": s, "email": f"{n}@x.com", "rawRow": {"zip": "1", "email": f"{n}@x.com"}}) + "\n" for n, m, s in lines))
+    code, found = run(tmp_path, "analyze", "--errors", str(log), "--retry-csv", str(tmp_path / "retry"))
+    assert [g["pattern"] for g in found["top_groups"]] == ["z late number", "a no number"] and found["columns_of_other_rows"] == []
+    assert files.read_csv(spark, str(tmp_path / "retry"), number=False).columns == ["email", "zip"]
 
 
 class Factors:

@@ -246,7 +246,7 @@ def test_groups_suggestions_and_retry_set(spark):
     one = analyze.retryability(df).first()
     assert (one.total_errors, one.retryable_errors, one.non_retryable_errors, one.retryable_percent) == (5, 2, 2, 40.0)
     assert analyze.retryability(df.limit(0)).first().retryable_percent == 0.0
-    assert analyze.retry_columns(["z", "email", "metadata"]) == ["email", "metadata", "z"]
+    assert analyze.retry_columns(["z", "email", "role_slugs", "metadata"]) == ["email", "metadata", "z", "role_slugs"]
 
 
 def test_group_ids(spark):
@@ -271,3 +271,23 @@ def test_empty_tables(spark):
     assert validate.summary(validate.validate(empty, True)).first().total_rows == 0
     assert dedupe.merge(empty).count() == 0 and load.outcomes(empty).count() == 0
     assert load.summary(load.outcomes(empty)).first().status == "Success"
+
+
+def test_retry_tables_have_the_columns_of_the_first_row(spark):
+    """In their order, however many; those of other rows are named, and added where that is asked for."""
+    many = [f"c{k:04d}" for k in range(1500, 0, -1)]
+    data = [(2, {"z2": "1", "email": "b", "a1": "2"}), (1, {"zz": "x", "email": "a", **dict.fromkeys(many, "v"), "a": "y"}), (3, {"b3": "3", "z2": "4"})]
+    texts = spark.createDataFrame([(n, json.dumps(row)) for n, row in data], "recordNumber long, raw string")
+    again = texts.select("recordNumber", F.from_json("raw", "map<string,string>").alias("rawRow")).repartition(3)  # keeps the order of keys
+    table, others = analyze.retry_table(again)
+    assert table.columns == ["email", "zz", *many, "a"] and others == ["z2", "a1", "b3"] and table.count() == 3
+    assert analyze.retry_table(again, every=True)[0].columns == ["email", "zz", *many, "a", "z2", "a1", "b3"]
+    assert analyze.retry_table(again.limit(0)) == (None, [])
+
+
+@pytest.mark.parametrize("size", [4, 7, 1000])
+def test_moving_averages_go_over_ranges(spark, size):
+    values = [(k * 3, float(k * k % 17)) for k in range(50)]
+    made = ordering.moving_average(spark.createDataFrame(values, "at long, v double").repartition(4), "v", "at", size=size).orderBy("at").collect()
+    plain = [v for _, v in values]
+    assert [r.moving for r in made] == pytest.approx([sum(plain[max(0, k - 4) : k + 1]) / len(plain[max(0, k - 4) : k + 1]) for k in range(50)])

@@ -152,16 +152,51 @@ def test_execute_steps():
 
 
 def test_resumed_chunks(spark, tmp_path):
-    df = synthetic.users(spark, 100)
-    found = load.outcomes(df)
-    table = str(tmp_path / "chunks")
-    incremental.process_chunks(found.where("record_number <= 30"), 10, table)
-    again = incremental.process_chunks(found, 10, table)
+    """A run that is broken off goes on with the waves that are not done; only their rows are worked out."""
+    df, table, seen = synthetic.users(spark, 100), str(tmp_path / "chunks"), []
+
+    def make(part):
+        seen.append((part.agg(F.min("record_number"), F.max("record_number")).first(), part))
+        if len(seen) == 3:
+            raise RuntimeError("broken off")
+        return load.outcomes(part, chunk_size=10)
+
+    with pytest.raises(RuntimeError, match="broken off"):
+        incremental.process_chunks(df, 10, table, make, wave=2)
+    assert incremental.chunk_ledger(spark, table).count() == 4
+    again = incremental.process_chunks(df, 10, table, make, wave=2)
+    assert [tuple(r) for r, _ in seen] == [(1, 20), (21, 40), (41, 60), (41, 60), (61, 80), (81, 100)]
+    plan = seen[-1][1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "81" in plan and "100" in plan and "Filter" in plan
+    found = load.outcomes(df, chunk_size=10)
     assert again.count() == 10 and load.total_of_chunks(again).first() == load.summary(found).first()
+    assert {(r.runs, r.state) for r in again.collect()} == {(1, "Success")}
+    assert incremental.process_chunks(df, 10, table, make, wave=2).count() == 10 and len(seen) == 6
+    for other in (df.where("record_number > 1"), df.withColumn("email", F.upper("email"))):
+        with pytest.raises(ValueError, match="another input"):
+            incremental.process_chunks(other, 10, table, wave=2)
+    with pytest.raises(ValueError, match="another size"):
+        incremental.process_chunks(df, 5, table, wave=2)
     times = spark.createDataFrame([(k, 100 * k) for k in range(1, 8)], "chunk_id int, duration_ms long")
     assert tuple(incremental.progress(times, 10).first()) == (7, 70, 1500.0)
 
 
+def test_two_runs_at_once_count_each_chunk_once(spark, tmp_path):
+    df, table = synthetic.users(spark, 60), str(tmp_path / "chunks")
+    other = []
+
+    def make(part):  # another run does everything while this one is at its first wave
+        if not other:
+            other.append(1)
+            incremental.process_chunks(df, 10, table, wave=2)
+        return load.outcomes(part, chunk_size=10)
+
+    made = incremental.process_chunks(df, 10, table, make, wave=2)
+    assert sorted(r.runs for r in made.collect()) == [2] * 6
+    assert load.total_of_chunks(made).first() == load.summary(load.outcomes(df, chunk_size=10)).first()
+    assert incremental.process_chunks(df.limit(0), 10, str(tmp_path / "none")).count() == 0
+
+
 def test_streams(spark, tmp_path):
     df = synthetic.users(spark, 50).withColumn("ts", F.timestamp_seconds(F.col("record_number") * 60))
     df.write.parquet(str(tmp_path / "in"))
@@ -206,7 +241,30 @@ def test_retry_waits_as_long_as_the_server_asks():
 def test_resume_after_a_run_without_data(spark, tmp_path):
     import os
 
-    from rosterforge.streaming import incremental
-
     os.makedirs(tmp_path / "table" / "_temporary")
-    assert incremental.finished_chunks(spark, str(tmp_path / "table")) is None
+    assert incremental.finished_waves(spark, str(tmp_path / "table"), 10, 1000, "x") == set()
+    assert incremental.process_chunks(synthetic.users(spark, 5), 10, str(tmp_path / "table")).count() == 1
+
+
+def test_digests_tell_inputs_apart(spark):
+    df = synthetic.users(spark, 50)
+    assert files.input_digest(df) == files.input_digest(df.repartition(5)) != files.input_digest(df.limit(49))
+    assert files.input_digest(df.union(df)) != files.input_digest(df) and files.input_digest(df.limit(0)) == "0-0-0"
+
+
+def test_lookups_have_as_many_tasks_as_share_the_rate(spark):
+    keys = spark.createDataFrame([(f"k{k}",) for k in range(50)], "user_id string")
+    assert rest.point_lookup(keys, Client(), "/x/{key}", "user_id string", rate=80, tasks=3).rdd.getNumPartitions() <= 3
+
+
+def test_lines_can_be_split(spark, tmp_path):
+    path = tmp_path / "big.csv"
+    path.write_text("a,b\n" + "".join(f"{k},{k}\n" for k in range(20_000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        whole, split = (files.read_csv(spark, str(path), line_breaks=x) for x in (True, False))
+        assert whole.rdd.getNumPartitions() == 1 < split.rdd.getNumPartitions()
+        assert split.where("a + 1 != record_number").count() == 0 and split.count() == 20_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
