@@ -91,10 +91,15 @@ def examples(df: DataFrame, order: str = "recordNumber", most: int = EXAMPLES) -
     return first.groupBy("group_id").agg(F.array_sort(F.collect_list("at")).alias("records"))
 
 
+def first_emails(df: DataFrame, order: str = "recordNumber", most: int = EMAILS) -> DataFrame:
+    """(group_id, email, at) of the first distinct emails of each group."""
+    firsts = with_groups(df).where(F.coalesce("email", F.lit("")) != "").groupBy("group_id", "email").agg(F.min(order).alias("at"))
+    return _first_of_each(firsts, most)
+
+
 def affected_emails(df: DataFrame, order: str = "recordNumber", most: int = EMAILS) -> DataFrame:
     """(group_id, emails): the first distinct emails of each group."""
-    firsts = with_groups(df).where(F.coalesce("email", F.lit("")) != "").groupBy("group_id", "email").agg(F.min(order).alias("at"))
-    chosen = _first_of_each(firsts, most).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "email"))).alias("first"))
+    chosen = first_emails(df, order, most).groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "email"))).alias("first"))
     return chosen.select("group_id", F.transform("first", lambda x: x["email"]).alias("emails"))
 
 
@@ -147,7 +152,11 @@ def histogram(df: DataFrame) -> DataFrame:
             )
         ).alias("x")
     ).select("x.*")
-    counts = long.groupBy("dimension", "value").agg(F.count("*").alias("errors"))
+    return with_percent(long.groupBy("dimension", "value").agg(F.count("*").alias("errors")))
+
+
+def with_percent(counts: DataFrame) -> DataFrame:
+    """(dimension, value, errors, percent) of counts: a row for each type, status and reason."""
     # each error counts once for its type, once for its status and once for its reason
     all_errors = F.sum("errors").over(Window.partitionBy(F.when(F.col("dimension").isin("type", "status"), F.col("dimension")).otherwise("reason")))
     return counts.select("dimension", "value", "errors", F.round(F.col("errors") * 100.0 / all_errors, 6).alias("percent"))
