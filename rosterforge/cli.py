@@ -1,8 +1,9 @@
-"""Commands: python -m rosterforge COMMAND --help. Each reads files, writes files and prints a summary; loads are dry runs, as real ones need a client (sinks.rest)."""
+"""Commands: python -m rosterforge COMMAND --help. Each reads files, writes files and prints a summary; loads are dry runs, as real ones need a client (sinks.rest); enroll-totp takes one by name (module:factory)."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from .functions import text
 from .plans import planner
 from .schema import require_columns
 from .sinks import files as out
+from .sinks import rest
 from .sources import files
 from .streaming import incremental
 
@@ -97,6 +99,22 @@ def cmd_roles(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def cmd_enroll(spark: SparkSession, a: argparse.Namespace) -> int:
+    records = files.read_totp(spark, a.totp)
+    records = joins.totp_from_csv(records) if a.totp.endswith(".csv") else joins.totp_from_json(records)
+    planned = joins.plan_totp(records, require_columns(files.read_csv(spark, a.users, number=False), ["id", "email"]))
+    if a.client:
+        module, _, name = a.client.partition(":")
+        found = rest.enroll(planned, getattr(importlib.import_module(module), name)(), a.rate, folder=a.outcomes)
+    else:
+        found = planned
+    summary = out.report(joins.totp_summary(found))
+    if a.failed:
+        out.write_json_lines(found.where(F.col("outcome").isin("failed", "user_not_found")), a.failed, "overwrite")
+    _finish("Enrolment" if a.client else "Enrolment (dry run)", summary, a.report)
+    return 1 if summary["failures"] else 0
+
+
 def cmd_plan(spark: SparkSession, a: argparse.Namespace) -> int:
     options = planner.Options(a.csv, a.concurrency, a.workers, a.chunk_size, a.job, a.org_id, a.org_external_id)
     made = planner.plan(options, files.header(spark, a.csv), files.count_rows(spark, a.csv), os.cpu_count() or 1)
@@ -150,7 +168,7 @@ def parser() -> argparse.ArgumentParser:
             if kind is bool:
                 p.add_argument(flag, action="store_true")
             else:
-                p.add_argument(flag, required=kind == "must", type=kind if callable(kind) else str, default=None if kind in ("must", str) else {"--concurrency": 10, "--workers": 1, "--chunk-size": 1000, "--top": 5, "--rounds": 8, "--mem-cost": 14}.get(flag))
+                p.add_argument(flag, required=kind == "must", type=kind if callable(kind) else str, default=None if kind in ("must", str) else {"--concurrency": 10, "--workers": 1, "--chunk-size": 1000, "--top": 5, "--rounds": 8, "--mem-cost": 14, "--rate": 50.0}.get(flag))
         p.add_argument("--report")
         p.set_defaults(run=run)
 
@@ -162,6 +180,7 @@ def parser() -> argparse.ArgumentParser:
         commands.choices[f"transform-{name}"].set_defaults(provider=name, name_split="first-space", salt_separator="Bw==")
     add("merge-passwords", cmd_merge_passwords, ("--csv", "must"), ("--passwords", "must"), ("--out", "must"))
     add("roles", cmd_roles, ("--csv", "must"), ("--existing", str), ("--problems", str))
+    add("enroll-totp", cmd_enroll, ("--totp", "must"), ("--users", "must"), ("--client", str), ("--rate", float), ("--outcomes", str), ("--failed", str))
     add("plan", cmd_plan, ("--csv", "must"), ("--concurrency", int), ("--workers", int), ("--chunk-size", int), ("--job", str), ("--org-id", str), ("--org-external-id", str))
     add("load", cmd_load, ("--csv", "must"), ("--orgs", str), ("--user-roles", str), ("--org-id", str), ("--create-missing", bool), ("--job", str), ("--chunk-size", int), ("--errors", str))
     add("analyze", cmd_analyze, ("--errors", "must"), ("--retry-csv", str), ("--include-duplicates", bool), ("--all-columns", bool), ("--top", int))

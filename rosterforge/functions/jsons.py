@@ -38,18 +38,22 @@ def quoted(c: Column) -> Column:
     return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
+def _entries(c: Column) -> Column:
+    """(e, kind) of a JSON object's entries: key and value as text, and the value's type. Parsed once for all of them."""
+    kinds = F.transform(F.map_entries(F.from_json(c, "map<string,variant>")), lambda e: F.schema_of_variant(e["value"]))
+    return F.when(is_object(c), F.arrays_zip(F.map_entries(F.from_json(c, MAP)).alias("e"), kinds.alias("kind")))
+
+
 def token_map(c: Column) -> Column:
     """A JSON object's values as JSON texts, each of its own type and nested ones with the order of their keys; null for what is no object. Numbers are written as briefly as they can be: 1.0 is 1."""
-    values = F.map_entries(F.from_json(c, MAP))
-    kinds = F.transform(F.map_entries(F.from_json(c, "map<string,variant>")), lambda e: F.schema_of_variant(e["value"]))
 
-    def token(e: Column, i: Column) -> Column:
-        kind, value = F.get(kinds, i), e["value"]
+    def token(x: Column) -> Column:
+        kind, value = x["kind"], x["e"]["value"]
         number = F.regexp_replace(F.regexp_replace(value, r"^(-?\d+)\.0+$", "$1"), "^-0$", "0")
         made = F.when(value.isNull(), "null").when(kind == "STRING", quoted(value)).when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), number).otherwise(value)
-        return F.struct(e["key"].alias("key"), made.alias("value"))
+        return F.struct(x["e"]["key"].alias("key"), made.alias("value"))
 
-    return F.when(is_object(c), F.map_from_entries(F.transform(values, token)))
+    return F.map_from_entries(F.transform(_entries(c), token))
 
 
 def is_empty_token(token: Column) -> Column:
@@ -63,10 +67,15 @@ def object_of_tokens(entries: Column) -> Column:
     return F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
 
 
+def nested_entries(c: Column) -> Column:
+    """The entries (key, value) of a JSON object whose values are arrays or objects; null for what is no object."""
+    nested = F.filter(_entries(c), lambda x: x["kind"].rlike("^(ARRAY|OBJECT)"))
+    return F.transform(nested, lambda x: x["e"])
+
+
 def nested_keys(c: Column) -> Column:
     """The keys of a JSON object whose values are arrays or objects."""
-    values = F.map_entries(F.when(is_object(c), F.from_json(c, "map<string,variant>")))
-    return F.transform(F.filter(values, lambda e: F.schema_of_variant(e["value"]).rlike("^(ARRAY|OBJECT)")), lambda e: e["key"])
+    return F.transform(nested_entries(c), lambda e: e["key"])
 
 
 @F.pandas_udf(StringType())

@@ -187,9 +187,15 @@ def q63_totp_plan(spark, sf_dir):
     return _totp(spark, sf_dir)
 
 
-@query("SELECT count(*) AS total, count(user_id) AS enrolled, count(*) - count(user_id) AS user_not_found FROM planned", TOTP_SQL)
+@query(
+    """SELECT count(*) AS total, count(*) FILTER (o = 'enrolled') AS enrolled, count(*) FILTER (o = 'skipped') AS skipped, count(*) FILTER (o IN ('failed', 'user_not_found')) AS failures, count(*) FILTER (o = 'user_not_found') AS user_not_found FROM
+  (SELECT CASE WHEN user_id IS NULL THEN 'user_not_found' WHEN record_number % 5 = 0 THEN 'skipped' WHEN record_number % 5 = 1 THEN 'failed' ELSE 'enrolled' END AS o FROM planned)""",
+    TOTP_SQL,
+)
 def q64_totp_summary(spark, sf_dir):
-    return joins.totp_summary(_totp(spark, sf_dir))
+    r, planned = F.col("record_number") % 5, F.col("outcome") == "enroll"
+    came_of_it = F.when(~planned, F.col("outcome")).when(r == 0, "skipped").when(r == 1, "failed").otherwise("enrolled")
+    return joins.totp_summary(_totp(spark, sf_dir).withColumn("outcome", came_of_it))
 
 
 @query("""SELECT c_custkey + 1 AS record_number, CASE c_custkey % 4 WHEN 0 THEN '{"a":' || c_custkey || '}' WHEN 1 THEN '{"a":[' || c_custkey || '],"b":{"c":2},"d":"x"}' WHEN 2 THEN '"{bad' || c_custkey || '"' END AS json FROM customer""")

@@ -195,5 +195,10 @@ def plan_totp(records: DataFrame, users: DataFrame) -> DataFrame:
     return joined.select(RECORD, "email_key", "secret", F.col("id").alias("user_id"), F.when(F.col("id").isNull(), "user_not_found").otherwise("enroll").alias("outcome"))
 
 
-def totp_summary(planned: DataFrame) -> DataFrame:
-    return planned.agg(F.count("*").alias("total"), F.count_if(F.col("outcome") == "enroll").alias("enrolled"), F.count_if(F.col("outcome") == "user_not_found").alias("user_not_found"))
+def totp_summary(found: DataFrame) -> DataFrame:
+    """One row: total, enrolled, skipped, failures (those without a user among them) and user_not_found, of plan_totp() or of what came of it (sinks.rest.enroll)."""
+    o = F.col("outcome")
+    return found.agg(
+        F.count("*").alias("total"), F.count_if(o.isin("enroll", "enrolled")).alias("enrolled"), F.count_if(o == "skipped").alias("skipped"), F.count_if(o.isin("failed", "user_not_found")).alias("failures"),
+        F.count_if(o == "user_not_found").alias("user_not_found"),
+    )

@@ -66,10 +66,14 @@ def first_non_blank(value: Column, blank: Column, order: str = RECORD) -> Column
     return F.min_by(value, F.when(~blank, F.col(order)))
 
 
+def distinct_values(df: DataFrame, key: str, value: str, order: str = RECORD) -> DataFrame:
+    """(key, value, at): the distinct values of each key and the row where each is first. A row a value, however many a key has."""
+    return df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("value")).agg(F.min(order).alias("at"))
+
+
 def ordered_distinct(df: DataFrame, key: str, value: str, order: str = RECORD, name: str = "values") -> DataFrame:
-    """(key, array) of each key's distinct values in the order of their first rows."""
-    firsts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("at"))
-    listed = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", F.col(value).alias("value")))).alias("found"))
+    """(key, array) of each key's distinct values in the order of their first rows. All distinct values of one key are one row, as those of a user's roles can be; where a key may have very many, take distinct_values()."""
+    listed = distinct_values(df, key, value, order).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("found"))
     return listed.select(key, F.transform("found", lambda x: x["value"]).alias(name))
 
 

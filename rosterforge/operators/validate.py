@@ -55,9 +55,8 @@ def _metadata_json(_: Present) -> Column:
 
 def _metadata_nested(_: Present) -> Column:
     clean = text.filled(F.col("metadata"))
-    value = lambda k: F.element_at(jsons.string_map(clean), k)
-    made = lambda k: _issue("metadata-arrays-objects", "warning", F.concat(F.lit('Metadata field "'), k, F.lit('" holds an array or object')), "metadata", original_value=value(k), fixed_value=value(k))
-    return F.transform(jsons.nested_keys(clean), made)
+    made = lambda e: _issue("metadata-arrays-objects", "warning", F.concat(F.lit('Metadata field "'), e["key"], F.lit('" holds an array or object')), "metadata", original_value=e["value"], fixed_value=e["value"])
+    return F.transform(jsons.nested_entries(clean), made)
 
 
 def _org_conflict(_: Present) -> Column:

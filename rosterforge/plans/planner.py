@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -132,18 +133,26 @@ def steps(a: Answers) -> list[Step]:
 
 
 def execute(todo: list[Step], runs: dict[str, Callable[[dict], object]]) -> dict:
-    """Runs steps in order: {id: result}; a failure ends the run unless the step is optional. Under "states": completed, skipped or failed by id."""
-    done: dict = {"states": {}}
+    """Runs steps in order: {id: result}; a failure ends the run unless the step is optional. Under "states": completed, skipped or failed by id; under "seconds": how long each took."""
+    done: dict = {"states": {}, "seconds": {}}
     for s in todo:
         if s.skip and s.skip(done):
-            done["states"][s.id] = "skipped"
+            done["states"][s.id], done["seconds"][s.id] = "skipped", 0.0
             continue
+        began = time.monotonic()
         try:
             done[s.id] = (s.run or runs[s.id])({**s.options, "done": done})
             done["states"][s.id] = "completed"
         except Exception as e:
             done["states"][s.id] = "failed"
             done[s.id] = {"error": str(e)}
-            if not s.optional:
-                break
+        done["seconds"][s.id] = time.monotonic() - began
+        if done["states"][s.id] == "failed" and not s.optional:
+            break
     return done
+
+
+def result(done: dict) -> dict:
+    """Of a run: whether no step failed, how many steps there were, completed, failed and were skipped, and how long all took."""
+    states = list(done["states"].values())
+    return {"success": "failed" not in states, "steps": len(states), **{s: states.count(s) for s in ("completed", "failed", "skipped")}, "seconds": sum(done["seconds"].values())}

@@ -28,13 +28,19 @@ def redacted(df: DataFrame, column: str = "rawRow") -> DataFrame:
     return df.withColumn(column, F.map_filter(column, lambda k, v: ~k.isin(*SECRET)))
 
 
-def write_errors(df: DataFrame, path: str) -> bool:
-    """CSV for a path that ends so, with lists and maps as JSON, else JSON lines; nothing at all without errors."""
+# The columns of an error file in CSV, in order.
+ERROR_COLUMNS = ("recordNumber", "email", "userId", "errorType", "errorMessage", "httpStatus", "code", "requestId", "timestamp", "rawRow")
+
+
+def write_errors(df: DataFrame, path: str, every: bool = False) -> bool:
+    """For a path that ends so a CSV file of ERROR_COLUMNS, of which those that df lacks are empty, with lists and maps as JSON (every: and whatever else df has); else JSON lines of all columns. Nothing at all without errors."""
     if not df.limit(1).count():
         return False
     if path.endswith(".csv"):
-        flat = [F.to_json(c).alias(c) if kind.startswith(("array", "map", "struct")) else F.col(c) for c, kind in df.dtypes]
-        write_csv(df.select(*flat), path)
+        kinds = dict(df.dtypes)
+        names = [*ERROR_COLUMNS, *(c for c in df.columns if every and c not in ERROR_COLUMNS)]
+        flat = lambda c: F.to_json(c) if kinds[c].startswith(("array", "map", "struct")) else F.col(c)
+        write_csv(df.select(*[(flat(c) if c in kinds else F.lit(None).cast("string")).alias(c) for c in names]), path)
     else:
         write_json_lines(df, path, "overwrite")
     return True

@@ -78,3 +78,14 @@ def test_enroll_and_ensure(spark):
     assert made == {1: "enrolled", 2: "skipped", 3: "user_not_found", 4: "failed"}
     orgs = spark.createDataFrame([("o1", "e1")], "id string, external_id string")
     assert joins.resolve_one(orgs) is None and joins.resolve_one(orgs, external_id="e1") == "o1" and joins.resolve_one(orgs, external_id="e2", create_missing=True) == "org_dryrun_e2"
+
+
+def test_enrolment_command(spark, tmp_path):
+    secrets, users = tmp_path / "t.csv", tmp_path / "u.csv"
+    secrets.write_text("email,totp_secret\nA@x.com,new\nb@x.com,old\nc@x.com,bad\nd@x.com,new\n")
+    users.write_text("id,email\n1,a@x.com\n2,b@x.com\n3,c@x.com\n")
+    argv = ("enroll-totp", "--totp", str(secrets), "--users", str(users), "--failed", str(tmp_path / "failed"))
+    assert run(tmp_path, *argv) == (1, {"total": 4, "enrolled": 3, "skipped": 0, "failures": 1, "user_not_found": 1})
+    code, found = run(tmp_path, *argv, "--client", "test_cli:Factors", "--rate", "1000000", "--outcomes", str(tmp_path / "out"))
+    assert (code, found) == (1, {"total": 4, "enrolled": 1, "skipped": 1, "failures": 2, "user_not_found": 1})
+    assert spark.read.json(str(tmp_path / "failed")).count() == 2

@@ -45,9 +45,12 @@ def test_json(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     df = spark.sql("select 1 as n, true as b, array('x') as roles, map('email','a','password','p') as rawRow, 'a,\"b' as t")
     assert out.write_errors(df.limit(0), str(tmp_path / "none.csv")) is False and not (tmp_path / "none.csv").exists()
-    out.write_errors(out.redacted(df), str(tmp_path / "e.csv"))
+    out.write_errors(out.redacted(df), str(tmp_path / "e.csv"), every=True)
     back = files.read_csv(spark, str(tmp_path / "e.csv")).first()
-    assert (back.b, back.roles, back.rawRow, back.t) == ("true", '["x"]', '{"email":"a"}', 'a,"b')
+    assert (back.b, back.roles, back.rawRow, back.t, back.httpStatus) == ("true", '["x"]', '{"email":"a"}', 'a,"b', "")
+    out.write_errors(df.withColumn("errorMessage", F.lit('a,"b\nc')), str(tmp_path / "f.csv"))
+    back = files.read_csv(spark, str(tmp_path / "f.csv"), number=False)
+    assert back.columns == list(out.ERROR_COLUMNS) and back.first().errorMessage == 'a,"b\nc'
     out.write_report({"a": 1}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": 1}
     kept, skipped = out.split_skipped(spark.sql("select explode(array(null, 'x')) as skip_reason"))
@@ -146,7 +149,9 @@ def test_planner():
 def test_execute_steps():
     runs = {"validate": lambda o: {"ok": True}, "plan": lambda o: 1 / 0, "import": lambda o: {}}
     done = planner.execute(planner.steps(planner.Answers("csv", dry_run=False)), runs)
-    assert done["states"] == {"validate": "completed", "plan": "failed"}
+    assert done["states"] == {"validate": "completed", "plan": "failed"} and set(done["seconds"]) == {"validate", "plan"}
+    result = planner.result(done)
+    assert result.pop("seconds") >= 0 and result == {"success": False, "steps": 2, "completed": 1, "failed": 1, "skipped": 0}
     runs["plan"] = lambda o: {}
     assert planner.execute(planner.steps(planner.Answers("csv", dry_run=False)), runs)["states"]["retry"] == "skipped"
 
