@@ -35,6 +35,24 @@ def _calling(rate: float) -> Callable:
     return call
 
 
+class DryService:
+    """Stands for the service in a dry run on the way that real loads go: each call succeeds, and what a task has made is there the next time. Its ids are those of text.dry_run_user()."""
+
+    def __init__(self):
+        self.members: set[tuple] = set()
+
+    def create_user(self, row: dict) -> tuple[int, str]:
+        return 201, f"dry-run-user-{row['email_key']}"
+
+    def create_membership(self, user: str, org: str, roles: list[str]) -> int:
+        there = (user, org) in self.members
+        self.members.add((user, org))
+        return 409 if there else 201
+
+    def delete_user(self, user: str) -> int:
+        return 200
+
+
 def load(rows: DataFrame, client, rate: float = 50.0, tasks: int = 8, require_membership: bool = False, folder: str | None = None, flush: int = calls.FLUSH) -> DataFrame:
     """What came of each row (record_number, email, org, roles, ...): RESULT, read from a table in `folder` (a new one in the shared folder where that is None).
 

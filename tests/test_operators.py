@@ -210,7 +210,7 @@ def test_totp(spark):
     users = spark.createDataFrame([("u1", "a@X.com")], "id string, email string")
     planned = joins.plan_totp(joins.totp_from_json(df), users)
     assert listed(planned, "email_key", "secret", "outcome") == [("a@x.com", "s1", "enroll"), ("b@x.com", "s2", "user_not_found")]
-    assert tuple(joins.totp_summary(planned).first()) == (2, 1, 1)
+    assert tuple(joins.totp_summary(planned).first()) == (2, 1, 0, 1, 1)
 
 
 ERRORS = "recordNumber long, email string, userId string, errorType string, errorMessage string, httpStatus int, rawRow map<string,string>"

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from rosterforge import more_queries, queries  # noqa: F401
+from rosterforge import more_queries, queries, state_queries  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
