@@ -400,3 +400,21 @@ def remove_repeats(
 
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT r, doc_id, b, octet_length(b) AS n_bytes FROM t),
+places AS (SELECT r, i, md5(b[i:i + {WIDTH - 1}]) AS h FROM (SELECT r, b, unnest(range(1, n_bytes - {WIDTH - 2})) AS i FROM n WHERE n_bytes >= {WIDTH})),
+again AS (SELECT h FROM places GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT r, i, i - lag(i) OVER (PARTITION BY r ORDER BY i) AS step FROM places SEMI JOIN again USING (h)),
+runs AS (SELECT r, i, sum(CASE WHEN step <= {WIDTH} THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM starts),
+gone AS (SELECT r, k, min(i) AS a, max(i) + {WIDTH} AS z FROM runs GROUP BY r, k),
+removed AS (SELECT r, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM gone GROUP BY r),
+left_over AS (
+    SELECT r, a AS z, lag(z, 1, 1) OVER (PARTITION BY r ORDER BY a) AS a FROM (SELECT r, a, z FROM gone UNION ALL SELECT r, n_bytes + 1, n_bytes + 1 FROM n)
+),
+kept AS (SELECT r, string_agg(CASE WHEN p.z > p.a THEN hex(n.b[p.a:p.z - 1]) ELSE '' END, '' ORDER BY p.a, p.z) AS h FROM left_over p JOIN n USING (r) GROUP BY r)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM n JOIN kept USING (r) LEFT JOIN removed USING (r)
+"""
