@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..schema import RECORD, require_columns
+from ..schema import ORG_NOT_FOUND, RECORD, require_columns
 from .ordering import keep_first, keep_last, ordered_distinct
 
 ORG_COLUMNS = ("org_id", "org_external_id", "org_name")
@@ -141,7 +141,7 @@ def resolve_orgs(rows: DataFrame, orgs: DataFrame, create_missing: bool = False)
     made = F.when(F.lit(create_missing) & F.col("__key").startswith("ext:"), text.dry_run_org(text.filled(F.col("org_external_id"))))
     resolved = F.coalesce("__id", made)
     lost = F.col("__key").isNotNull() & resolved.isNull()
-    return joined.withColumns({"resolved_org_id": resolved, "org_error": F.when(lost, F.concat(F.lit("Organization not found: "), F.coalesce(text.filled(F.col("org_id")), text.filled(F.col("org_external_id")))))}).drop("__key", "__known", "__id")
+    return joined.withColumns({"resolved_org_id": resolved, "org_error": F.when(lost, F.concat(F.lit(ORG_NOT_FOUND), F.coalesce(text.filled(F.col("org_id")), text.filled(F.col("org_external_id")))))}).drop("__key", "__known", "__id")
 
 
 def resolve_one(orgs: DataFrame, org_id: str | None = None, external_id: str | None = None, create_missing: bool = False) -> str | None:
@@ -153,7 +153,7 @@ def resolve_one(orgs: DataFrame, org_id: str | None = None, external_id: str | N
         return found.id
     if create_missing and external_id:
         return f"org_dryrun_{external_id}"
-    raise LookupError(f"Organization not found: {org_id or external_id}")
+    raise LookupError(f"{ORG_NOT_FOUND}{org_id or external_id}")
 
 
 def lookup_statistics(rows: DataFrame, key: Column) -> DataFrame:

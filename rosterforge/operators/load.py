@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons, text
-from ..schema import RECORD, with_known_columns
+from ..schema import BOTH_ORGS, INVALID_METADATA, MISSING_EMAIL, RECORD, with_known_columns
 from .joins import resolve_orgs, with_user_roles
 from .ordering import chunk_id
 
@@ -18,9 +18,9 @@ def build(df: DataFrame) -> DataFrame:
     metadata = f("metadata")
     hashed = f("password_hash").isNotNull() & f("password_hash_type").isNotNull()
     error = (
-        F.when(f("email").isNull(), "Missing required email")
-        .when(metadata.isNotNull() & (~jsons.is_json(metadata) | (metadata == "null")), "Invalid metadata JSON")
-        .when(f("org_id").isNotNull() & f("org_external_id").isNotNull(), "Row cannot specify both org_id and org_external_id")
+        F.when(f("email").isNull(), MISSING_EMAIL)
+        .when(metadata.isNotNull() & (~jsons.is_json(metadata) | (metadata == "null")), INVALID_METADATA)
+        .when(f("org_id").isNotNull() & f("org_external_id").isNotNull(), BOTH_ORGS)
     )
     return df.withColumns(
         {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons, text
-from ..schema import KNOWN_COLUMNS, RECORD, require_columns
+from ..schema import BAD_EMAIL, BAD_METADATA, KNOWN_COLUMNS, MISSING_ADDRESS, MISSING_FIELD, RECORD, USER_DISABLED, require_columns
 from .joins import apply_org_mapping, org_mapping, role_mapping
 
 
@@ -71,7 +71,7 @@ def firebase(df: DataFrame, strategy: str = "first-space", include_disabled: boo
         RECORD, email.alias("email"), F.nullif(first, F.lit("")).alias("first_name"), F.nullif(last, F.lit("")).alias("last_name"), F.coalesce(F.col("emailVerified"), F.lit(False)).cast("string").alias("email_verified"),
         uid.alias("external_id"), F.when(has_hash, phc).alias("password_hash"), F.when(has_hash & phc.isNotNull(), "firebase-scrypt").alias("password_hash_type"),
         F.when(metadata != "", F.concat(F.lit("{"), metadata, F.lit("}"))).alias("metadata"),
-        F.when(email.isNull(), "Missing email address").when(disabled & F.lit(not include_disabled), "User is disabled").alias("skip_reason"),
+        F.when(email.isNull(), MISSING_ADDRESS).when(disabled & F.lit(not include_disabled), USER_DISABLED).alias("skip_reason"),
         F.when(has_hash & phc.isNull(), "no scrypt parameters: the password is not carried over").alias("warning"),
     )
 
@@ -101,9 +101,9 @@ def exported_row_error(df: DataFrame) -> Column:
     """What keeps a mapped row from being exported; null for a good one."""
     email, metadata = F.col("email"), F.nullif("metadata", F.lit(""))
     return (
-        F.when(text.is_blank(email), "Missing required field: email")
-        .when(~email.contains("@"), F.concat(F.lit("Invalid email format: "), email))
-        .when(metadata.isNotNull() & ~jsons.is_json(metadata), "Invalid metadata: must be valid JSON")
+        F.when(text.is_blank(email), MISSING_FIELD)
+        .when(~email.contains("@"), F.concat(F.lit(BAD_EMAIL), email))
+        .when(metadata.isNotNull() & ~jsons.is_json(metadata), BAD_METADATA)
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsons, text
-from ..schema import ISSUE, ISSUES, KNOWN_COLUMNS, RECORD, detect_mode, with_known_columns
+from ..schema import BAD_EMAIL, EMPTY_ROLES, HASH_WITHOUT_TYPE, ISSUE, ISSUES, KNOWN_COLUMNS, MISSING_EMAIL, RECORD, detect_mode, with_known_columns
 
 Present = set[str]
 
@@ -35,12 +35,12 @@ def _when(condition: Column, issue: Column) -> Column:
 
 
 def _required_email(_: Present) -> Column:
-    return _when(text.is_blank(F.col("email")), _issue("required-email", "error", "Missing required email", "email", email=F.lit(None)))
+    return _when(text.is_blank(F.col("email")), _issue("required-email", "error", MISSING_EMAIL, "email", email=F.lit(None)))
 
 
 def _email_format(_: Present) -> Column:
     clean = text.filled(F.col("email"))
-    return _when(clean.isNotNull() & ~clean.contains("@"), _issue("email-format", "error", F.concat(F.lit("Invalid email format: "), clean), "email", email=clean))
+    return _when(clean.isNotNull() & ~clean.contains("@"), _issue("email-format", "error", F.concat(F.lit(BAD_EMAIL), clean), "email", email=clean))
 
 
 def _email_whitespace(_: Present) -> Column:
@@ -73,7 +73,7 @@ def _boolean_format(_: Present) -> Column:
 def _role_slugs(present: Present) -> Column:
     if "role_slugs" not in present:
         return F.lit(None).cast(ISSUES)
-    empty = _issue("role-slugs-format", "warning", "role_slugs column is present but empty", "role_slugs")
+    empty = _issue("role-slugs-format", "warning", EMPTY_ROLES, "role_slugs")
     wrong = F.filter(text.split_list(F.col("role_slugs")), lambda s: ~s.rlike("^[a-z0-9_-]+$"))
     made = F.transform(wrong, lambda s: _issue("role-slugs-format", "error", F.concat(F.lit('Invalid role slug "'), s, F.lit('"')), "role_slugs"))
     return F.when(text.is_blank(F.col("role_slugs")), F.array(empty)).otherwise(made)
@@ -81,7 +81,7 @@ def _role_slugs(present: Present) -> Column:
 
 def _hash_complete(_: Present) -> Column:
     lone = text.filled(F.col("password_hash")).isNotNull() & text.filled(F.col("password_hash_type")).isNull()
-    return _when(lone, _issue("password-hash-complete", "error", "password_hash provided without password_hash_type", "password_hash"))
+    return _when(lone, _issue("password-hash-complete", "error", HASH_WITHOUT_TYPE, "password_hash"))
 
 
 def _fix_email(_: Present) -> dict[str, Column]:

@@ -15,6 +15,7 @@ KNOWN_COLUMNS = (
 RECORD = "record_number"
 ISSUE = ("severity", "category", "field", "email", "message", "rule_id", "original_value", "fixed_value", "org_id", "org_external_id")
 ISSUES = f"array<struct<{','.join(f'{c}:string' for c in ISSUE)}>>"
+# The columns of an error log and the fields of the exports that are read.
 ERROR_RECORD = (
     "recordNumber long, email string, userId string, errorType string, errorMessage string, timestamp string, rawRow map<string,string>, httpStatus int, code string, requestId string, "
     "orgId string, orgExternalId string, roleSlugs array<string>"
@@ -26,6 +27,18 @@ FIREBASE_USER = (
 )
 PASSWORD = "email string, passwordHash string, password_set_date struct<`$date`:string>"
 TOTP = "email string, totp_secret string, secret string, mfa_factors array<struct<type:string,secret:string,totp_secret:string>>"
+# Messages by which retry classes, reports and skip reasons tell cases apart.
+MISSING_EMAIL = "Missing required email"
+INVALID_METADATA = "Invalid metadata JSON"
+BOTH_ORGS = "Row cannot specify both org_id and org_external_id"
+ORG_NOT_FOUND = "Organization not found: "
+HASH_WITHOUT_TYPE = "password_hash provided without password_hash_type"
+EMPTY_ROLES = "role_slugs column is present but empty"
+MISSING_ADDRESS = "Missing email address"
+USER_DISABLED = "User is disabled"
+MISSING_FIELD = "Missing required field: email"
+BAD_EMAIL = "Invalid email format: "
+BAD_METADATA = "Invalid metadata: must be valid JSON"
 
 
 def require_columns(df: DataFrame, every: Sequence[str] = (), some: Sequence[Sequence[str]] = ()) -> DataFrame:
