@@ -23,8 +23,8 @@ import regex
 SPACE = r"\t-\r \x85\xa0  -     　"
 #: No piece of the pattern reaches over the end of one of these.
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-#: So many chunks of a worker's texts are remembered, and as many older ones, and a quarter as many pieces. About 100 MB.
-REMEMBERED = 200_000
+#: So many chunks of a worker's texts are remembered, so many pieces' ids and so many pieces' tables, and as many older ones of each. About 120 MB without the tables.
+REMEMBERED, PIECES, LENGTHS = 100_000, 250_000, 50_000
 #: Pairs of tokens of which it is remembered whether one follows the other.
 PAIRS = 200_000
 ID = 256
@@ -179,8 +179,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary = vocabulary
         self.pieces = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACE}").replace(r"(?!\S)", rf"(?![^{SPACE}])").replace(r"\s", f"[{SPACE}]"))
-        self.known = Remembered(self.piece_ids, REMEMBERED // 4)
-        self.lengths = Remembered(lambda piece: Prefixes(vocabulary, piece.encode()).lengths()[1:], REMEMBERED // 4)
+        self.known = Remembered(self.piece_ids, PIECES)
+        self.lengths = Remembered(lambda piece: Prefixes(vocabulary, piece.encode()).lengths()[1:], LENGTHS)
 
     def piece_ids(self, piece: str) -> bytes:
         """The ids of a piece, packed as little-endian unsigned 32-bit integers."""
