@@ -33,13 +33,13 @@ def q71_row_sink(spark, sf_dir):
 
 @query("SELECT record_number, email_key, org, error_type, user_outcome, membership_outcome, CAST(roles_assigned AS INTEGER) AS roles_assigned FROM outcomes", USERS_SQL, OUTCOME_SQL)
 def q72_stream_outcomes(spark, sf_dir):
-    """The rows arrive as five files in the order of their numbers, one a micro-batch."""
+    """The rows arrive in five parts, in the order of their numbers; after each the query ends, and the next one goes on with its state."""
     folder, rows = shared_folder(spark, "stream"), users(spark, sf_dir)
     last = rows.agg(F.max("record_number")).first()[0] or 0
     for k in range(5):
-        rows.where(F.col("record_number").between(k * last // 5 + 1, (k + 1) * last // 5)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = incremental.stream_users(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files_each=1)
-    loads.load_stream(stream, f"{folder}/out", f"{folder}/checkpoint", orgs(spark, sf_dir)).awaitTermination()
+        rows.where(F.col("record_number").between(k * last // 5 + 1, (k + 1) * last // 5)).write.mode("append").parquet(f"{folder}/in")
+        stream = incremental.stream_users(spark, f"{folder}/in", rows.schema, files_each=1 << 30)
+        loads.load_stream(stream, f"{folder}/out", f"{folder}/checkpoint", orgs(spark, sf_dir)).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("record_number", "email_key", "org", "error_type", "user_outcome", "membership_outcome", "roles_assigned")
 
 
