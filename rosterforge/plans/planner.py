@@ -7,6 +7,9 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..schema import detect_mode
 
 #: Users a second at concurrency 10 with one worker.
@@ -34,6 +37,13 @@ def estimate(rows: int, concurrency: int = 10, workers: int = 1) -> str:
     return f"~{math.ceil(seconds / 3600)} hours"
 
 
+def estimated(rows: Column, concurrency: int = 10, workers: int = 1) -> Column:
+    """estimate() of a column of numbers of rows."""
+    seconds = F.ceil(rows / (BASE_RATE * (concurrency / 10) * workers))
+    said = lambda n, unit: F.concat(F.lit("~"), F.ceil(n).cast("string"), F.lit(f" {unit}"))
+    return F.when(seconds < 60, said(seconds, "seconds")).when(seconds < 3600, said(seconds / 60, "minutes")).otherwise(said(seconds / 3600, "hours"))
+
+
 def chunk_count(rows: int, size: int = 1000) -> int:
     return math.ceil(rows / size)
 

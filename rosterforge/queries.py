@@ -5,6 +5,7 @@ User rows and error records are derived from the table `events`, one per event,
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import jsons, text
 from .operators import analyze, dedupe, joins, load, ordering, transforms, validate
 from .operators.mapping import FieldMapping, MetadataMapping, Profile, apply_profile, unmapped_counts
-from .plans.planner import estimate
+from .plans.planner import estimated
 from .schema import FIREBASE_USER
 from .sources.synthetic import distribution, org_number
 
@@ -462,8 +463,8 @@ TABLES = ("customer", "events", "lineitem", "nation", "orders", "part", "region"
 
 @query("SELECT name, n AS rows, CASE WHEN ceil(n / 10.0) < 60 THEN '~' || CAST(ceil(n / 10.0) AS BIGINT) || ' seconds' WHEN ceil(n / 10.0) < 3600 THEN '~' || CAST(ceil(ceil(n / 10.0) / 60.0) AS BIGINT) || ' minutes' ELSE '~' || CAST(ceil(ceil(n / 10.0) / 3600.0) AS BIGINT) || ' hours' END AS estimate FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES) + ")")
 def q36_plan_estimates(spark, sf_dir):
-    counts = {t: table(spark, sf_dir, t).count() for t in TABLES}
-    return spark.createDataFrame([(t, n, estimate(n)) for t, n in counts.items()], "name string, rows long, estimate string")
+    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("rows")) for t in TABLES]
+    return functools.reduce(DataFrame.union, counts).withColumn("estimate", estimated(F.col("rows")))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS auth0_org_id, '' AS nothing FROM events")

@@ -146,6 +146,12 @@ def test_planner():
     assert ids == ["export", "merge-passwords", "process-role-definitions", "validate", "plan", "dry-run", "import", "enroll-totp", "analyze-errors", "retry"]
 
 
+def test_estimates_of_a_column(spark):
+    ns = [0, 1, 599, 600, 601, 35_999, 36_000, 36_001, 10**9]
+    made = spark.createDataFrame([(n,) for n in ns], "n long").select("n", planner.estimated(F.col("n")).alias("e"), planner.estimated(F.col("n"), 20, 3).alias("f")).collect()
+    assert all(r.e == planner.estimate(r.n) and r.f == planner.estimate(r.n, 20, 3) for r in made)
+
+
 def test_execute_steps():
     runs = {"validate": lambda o: {"ok": True}, "plan": lambda o: 1 / 0, "import": lambda o: {}}
     done = planner.execute(planner.steps(planner.Answers("csv", dry_run=False)), runs)
