@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .rest import Bucket, PagedReader, Part, Resource, RetryAfter, asked_seconds, with_retry
+from .rest import Bucket, PagedReader, Part, Resource, RetryAfter, all_users, asked_seconds, can_connect, members, organizations, read_paged, with_retry
 
 PLAN = "part long, parent string, first_page int, pages int"
 
@@ -90,3 +90,59 @@ def export(parents: DataFrame, client, resource: Resource, folder: str, wave: in
         if not _exists(spark, f"{path}/_SUCCESS"):
             read_pages(plan.where(at == k), client, resource).write.mode("overwrite").parquet(path)
     return spark.read.schema(resource.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
+
+
+class Exporter:
+    """What exports users of one kind of service. A kind is made known by a subclass with a name of its own (see exporter())."""
+
+    kind = ""
+    kinds: dict[str, type[Exporter]] = {}
+
+    def __init_subclass__(cls) -> None:
+        if cls.kind:
+            Exporter.kinds[cls.kind] = cls
+
+    def __init__(self, spark: SparkSession, client, **options):
+        self.spark, self.client, self.options = spark, client, options
+
+    def validate(self) -> list[str]:
+        """What is wrong before anything is exported; nothing, if it can be."""
+        return []
+
+    def export(self, folder: str) -> DataFrame:
+        """User rows, from tables in `folder`; a run that was broken off goes on."""
+        raise NotImplementedError(f"exports of {self.kind or type(self).__name__} are declared, but not there")
+
+
+class PagedExporter(Exporter):
+    """Organisations, their members and all users of a service with the collections of sources.rest: a row for each member, and one for each user who is in none."""
+
+    kind = "paged"
+
+    def validate(self) -> list[str]:
+        return [] if can_connect(self.client) else ["the service gives no organizations"]
+
+    def export(self, folder: str) -> DataFrame:
+        orgs = read_paged(self.spark, self.client, organizations(**self.options)).select(F.col("id").alias("org_id"), F.col("name").alias("org_name"), F.col("display_name").alias("org_display_name"))
+        found = export(orgs.select("org_id"), self.client, members([], **self.options), f"{folder}/members")
+        users = read_paged(self.spark, self.client, all_users(**self.options))
+        path = f"{folder}/users"
+        if not _exists(self.spark, f"{path}/_SUCCESS"):
+            users.write.mode("overwrite").parquet(path)
+        each = found.select(F.col("parent").alias("org_id"), "user_id").distinct()
+        return self.spark.read.schema(users.schema).parquet(path).join(each, "user_id", "left").join(orgs, "org_id", "left")
+
+
+class OktaExporter(Exporter):
+    kind = "okta"
+
+
+class CognitoExporter(Exporter):
+    kind = "cognito"
+
+
+def exporter(kind: str, spark: SparkSession, client, **options) -> Exporter:
+    """The exporter of a kind of service."""
+    if kind not in Exporter.kinds:
+        raise ValueError(f"no exporter of {kind}; there are {', '.join(sorted(Exporter.kinds))}")
+    return Exporter.kinds[kind](spark, client, **options)

@@ -77,3 +77,27 @@ def test_an_export_goes_on_where_it_was_broken_off(spark, tmp_path):
     assert all(f"{r.user_id.rpartition('-')[0]} {int(r.user_id.rpartition('-')[2]) // 100}" not in again for r in kept)  # what was there is not read again
     assert exports.export(parents(spark), client, resource(), folder, wave=4).count() == len(expected()) and len(asked(tmp_path / "calls")) == len(pages) + len(totals)
     assert exports.export(parents(spark).limit(0), client, resource(), str(tmp_path / "none")).count() == 0
+
+
+class Tenant:
+    """Three organisations, one of which is gone when its members are asked for."""
+
+    def get(self, path, params):
+        if path == "/organizations":
+            return 200, [{"id": f"o{k}", "name": f"n{k}"} for k in range(3)][params["page"] * params["per_page"] :][: params["per_page"]]
+        if path == "/users":
+            return 200, [{"user_id": f"u{k}", "email": f"{k}@x.com"} for k in range(5)][params["from"] :]
+        of = {"/organizations/o0/members": ["u0", "u1"], "/organizations/o1/members": ["u1"]}.get(path)
+        return (200, [{"user_id": u} for u in of][params["page"] * params["per_page"] :][: params["per_page"]]) if of else (404, None)
+
+
+def test_exporters(spark, tmp_path):
+    made = exports.exporter("paged", spark, Tenant(), rate=1e6, tasks=2)
+    assert made.validate() == []
+    for _ in range(2):
+        rows = sorted((r.user_id, r.email, r.org_id or "", r.org_name or "") for r in made.export(str(tmp_path / "out")).collect())
+        assert rows == [("u0", "0@x.com", "o0", "n0"), ("u1", "1@x.com", "o0", "n0"), ("u1", "1@x.com", "o1", "n1"), *((f"u{k}", f"{k}@x.com", "", "") for k in (2, 3, 4))]
+    with pytest.raises(NotImplementedError, match="okta"):
+        exports.exporter("okta", spark, None).export(str(tmp_path))
+    with pytest.raises(ValueError, match="cognito, okta, paged"):
+        exports.exporter("else", spark, None)
