@@ -26,8 +26,6 @@ SIMILARITY = (4, 5)
 TREES, RECALL = 32, 0.99999
 #: A label has so many minima, of 16 bits each.
 LONGEST = 8
-#: So many matches of neighbours, those of smallest hash, are looked at to see what recall a length of prefix gives.
-MEASURED = 2000
 #: Groups are cut into blocks of about this many texts, yet into no more than BLOCKS until blocks would have more than LARGEST texts or HEAVIEST shingles.
 BLOCK, BLOCKS, LARGEST, HEAVIEST = 64, 64, 2048, 2_000_000
 #: Bits of the map that tells documents that are no candidates: 2 MB.
@@ -185,21 +183,34 @@ def matches(found: DataFrame, length: int, least: int) -> DataFrame:
 def prefix_length(found: DataFrame, sets: DataFrame, similarity: float, trees: int = TREES, recall: float = RECALL) -> int:
     """The length of the prefixes that make two sets candidates: shortened from whole labels until the recall that matches show is that asked for.
 
-    Of up to MEASURED matches of a length, each pair's similarity is what its labels have in common, its chance of sharing such a prefix follows, and one over it is the number of pairs for each
+    Of all matches of a length, each pair's similarity is what its labels have in common, its chance of sharing such a prefix follows, and one over it is the number of pairs for each
     found. A pair below the least similarity counts as none, and one pair at the least similarity is taken to be there in any case. At shortest_prefix() all pairs have the recall.
     """
     least = shortest_prefix(similarity, trees, recall)
+    if least == LONGEST:
+        return least
+    pairs = found.select("id", F.posexplode("pivots").alias("at", "pivot")).where("at > 0 AND pivot != id").groupBy(F.col("pivot").alias("a"), F.col("id").alias("b")).agg(F.bit_or(F.expr("shiftleft(1, at)")).alias("lengths"))
+    of = lambda side: sets.select(F.col("set_id").alias(side), F.col("high").alias(f"high_{side}"), F.col("low").alias(f"low_{side}")).hint("merge")  # noqa: E731  neither side is bounded
+    labelled = pairs.join(of("a"), "a").join(of("b"), "b").select("lengths", "high_a", "low_a", "high_b", "low_b")
+    counts = labelled.mapInArrow(_agreeing, "lengths int, same int").groupBy("lengths", "same").agg(F.count("*").alias("n")).collect()  # a row for each set of lengths and number of minima
+    lengths, same, n = (np.array([r[k] for r in counts], np.int64) for k in range(3))
+    alike = same / (trees * LONGEST)
     for length in range(LONGEST, least, -1):
-        some = F.broadcast(matches(found, length, least).orderBy(F.xxhash64("a", "b")).limit(MEASURED))  # of 16 bytes each
-        of = lambda side, some=some: some.join(sets.select(F.col("set_id").alias(side), F.col("high").alias(f"high_{side}"), F.col("low").alias(f"low_{side}")), side)
-        pairs = of("a").join(of("b"), ["a", "b"]).select("high_a", "low_a", "high_b", "low_b").collect()
-        alike = np.array([similarity, *(agreement(np.array(r[:2]), np.array(r[2:])) for r in pairs)])
-        chances = chance(np.maximum(alike[alike > similarity - 0.05], similarity), length, trees)
-        if len(chances) / (1 / chances).sum() >= recall:
+        at = (lengths >> (length - least) & 1 == 1) & (alike > similarity - 0.05)
+        there = n[at] / chance(np.maximum(alike[at], similarity), length, trees)
+        if (1 + n[at].sum()) / (1 / chance(similarity, length, trees) + there.sum()) >= recall:
             return length
     return least
 
 
+def _agreeing(batches):
+    """Of each pair of labels: how many minima they have in common."""
+    for batch in batches:
+        a_high, a_low, b_high, b_low = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("high_a", "low_a", "high_b", "low_b"))
+        same = sum((x.astype("<i8").view("<u2") == y.astype("<i8").view("<u2")).sum(axis=1) for x, y in ((a_high, b_high), (a_low, b_low)))
+        yield pa.RecordBatch.from_arrays([batch.column("lengths"), pa.array(same.astype(np.int32))], ["lengths", "same"])
+
+
 def agreement(a: np.ndarray, b: np.ndarray) -> float:
     """The share of minima that two sets' labels have in common."""
     return float((a.astype("<i8").view("<u2") == b.astype("<i8").view("<u2")).mean())

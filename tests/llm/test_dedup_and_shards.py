@@ -129,6 +129,21 @@ def test_prefixes_are_shortened_until_the_recall(spark):
     assert near_dups.prefix_length(found.limit(0), sets, 0.8) == 5 and near_dups.prefix_length(found, sets, 0.8, recall=0.99) == 8
 
 
+def test_prefixes_depend_on_every_match(spark):
+    n, rng = 2300, np.random.default_rng(5)
+    pairs = spark.range(n).selectExpr("2 * id AS a", "2 * id + 1 AS b").orderBy(F.xxhash64("a", "b")).collect()
+    rows = []
+    for k, (a, b) in enumerate(pairs):
+        one = rng.integers(0, 1 << 16, 256).astype("<u2")
+        other = one.copy()
+        if k >= 2000:  # the 300 pairs of largest hash are no closer than need be
+            other[rng.choice(256, 51, replace=False)] ^= 1
+        rows += [(i, x.view("<i8")[:32].tolist(), x.view("<i8")[32:].tolist()) for i, x in ((a, one), (b, other))]
+    sets = spark.createDataFrame(rows, "set_id long, high array<long>, low array<long>")
+    found = spark.createDataFrame([(b, [a] * 4) for a, b in pairs], "id long, pivots array<long>")
+    assert near_dups.prefix_length(found, sets, 0.8) == 6
+
+
 def test_labels_agree_as_often_as_sets_do():
     rng = np.random.default_rng(4)
     shares = []
