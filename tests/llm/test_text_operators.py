@@ -300,6 +300,12 @@ def test_kneser_ney(spark):
             assert model[quality_model.grams(t)[k]] == pytest.approx(math.log10(p(g)), abs=1e-4)
 
 
+def test_classifier_learns_from_every_trusted_text(spark):
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat('w', id % 7001) AS text", "'en' AS lang")
+    _, model, _, _ = quality_model.learned(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert np.array_equal(model, quality_model.kneser_ney(docs.select("text")))
+
+
 def test_classifier(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     known = {r.doc_id: r.quality for r in labels.collect()}
