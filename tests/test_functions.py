@@ -99,3 +99,14 @@ def test_unique_suffix_and_durations(spark):
 def test_api_errors(spark):
     df = spark.sql("select 'c' as code, array(named_struct('code', 'a', 'message', 'x'), named_struct('code', null, 'message', '')) as some, cast(array() as array<struct<code:string,message:string>>) as none, cast(null as string) as gone")
     assert tuple(df.select(text.api_error_text(F.col("code"), F.col("some")), text.api_error_text(F.col("code"), F.col("none")), text.api_error_text(F.col("gone"), F.col("none"))).first()) == ("a: x; unknown", "c", "unknown_error")
+
+
+def test_json_expressions_do_not_multiply(spark):
+    """Merged maps are worked out once a row each, however deep they are nested."""
+    df = spark.createDataFrame([('{"a":1,"b":"x"}', '{"b":2}')], "x string, y string")
+    made = jsons.merged(jsons.merged(jsons.merged(jsons.string_map(F.col("x")), jsons.string_map(F.col("y"))), jsons.string_map(F.col("x"))), jsons.string_map(F.col("y")))
+    one = df.select(jsons.object_or_null(made).alias("m"))
+    assert one.first().m == '{"a":"1","b":"2"}'
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("from_json") + one._jdf.queryExecution().optimizedPlan().toString().count("JsonToStructs") <= 8
+    own = df.select(jsons.org_from_metadata(F.to_json(F.struct("x")), F.to_json(F.struct("y")), "t").alias("o"))
+    assert own.first().o is None and own._jdf.queryExecution().optimizedPlan().toString().count("to_json") <= 4
