@@ -14,13 +14,15 @@ from ..schema import RECORD
 from ..sources.files import input_digest
 
 
+#: So many jobs at most work through a table, each of which reads it: a job takes several waves where there are more.
+JOBS = 16
 LEDGER = "chunk_id int, run string, digest string, written_at timestamp, total long, successes long, failures long, users_created long, duplicate_users long, memberships_created long, duplicate_memberships long, roles_assigned long"
 
 
 def process_chunks(rows: DataFrame, size: int, table: str, make: Callable[[DataFrame], DataFrame] | None = None, wave: int = 1000, digest: str | None = None) -> DataFrame:
     """Works through numbered rows in chunks of `size` and gives the summary of each chunk (see chunk_ledger) from the ledger at path `table`.
 
-    make: the outcomes of some rows, where chunks are independent; load.outcomes in chunks of that size if None. Chunks are worked on in waves of `wave`, each of which is added to the ledger when it is done, so a run that was
+    make: the outcomes of some rows, where chunks are independent; load.outcomes in chunks of that size if None. Chunks are worked on in waves of `wave`, one or (of a table of more than JOBS waves) several that follow each other at a time, which are added to the ledger when they are done, so a run that was
     broken off goes on with the first wave that the ledger lacks: rows of others are left out before anything is worked out. digest: of the input (by files.input_digest if None); a ledger of another input is
     refused. Runs only add to the ledger; where two at once did the same chunk, the one of the smaller name counts.
     """
@@ -29,14 +31,25 @@ def process_chunks(rows: DataFrame, size: int, table: str, make: Callable[[DataF
     digest = digest or input_digest(rows)
     run, done = f"run-{uuid.uuid4().hex}", finished_waves(spark, table, size, wave, digest)
     last = rows.agg(F.max(RECORD)).first()[0]
-    for k in [] if last is None else range((last - 1) // (size * wave) + 1):
-        if k not in done:
-            part = rows.where(F.col(RECORD).between(k * size * wave + 1, (k + 1) * size * wave))
-            found = load.chunk_summaries(make(part), size).select("chunk_id", F.lit(run).alias("run"), F.lit(digest).alias("digest"), F.current_timestamp().alias("written_at"), *load.counters())
-            found.withColumn("wave", F.lit(k)).write.mode("append").parquet(table)
+    waves = 0 if last is None else (last - 1) // (size * wave) + 1
+    for low, high in _runs([k for k in range(waves) if k not in done], -(-waves // JOBS)):
+        part = rows.where(F.col(RECORD).between(low * size * wave + 1, (high + 1) * size * wave))
+        found = load.chunk_summaries(make(part), size).select("chunk_id", F.lit(run).alias("run"), F.lit(digest).alias("digest"), F.current_timestamp().alias("written_at"), *load.counters())
+        found.withColumn("wave", F.expr(f"chunk_id div {wave}").cast("int")).write.mode("append").parquet(table)
     return chunk_ledger(spark, table)
 
 
+def _runs(numbers: list[int], most: int) -> list[tuple[int, int]]:
+    """The first and last of each run of numbers that follow each other, of no more than `most`."""
+    out: list[tuple[int, int]] = []
+    for k in numbers:
+        if out and k == out[-1][1] + 1 and k - out[-1][0] < most:
+            out[-1] = out[-1][0], k
+        else:
+            out.append((k, k))
+    return out
+
+
 def _there(spark: SparkSession, table: str) -> bool:
     """Whether a table has data yet; a run that was broken off before its first commit leaves none."""
     path = spark._jvm.org.apache.hadoop.fs.Path(table)

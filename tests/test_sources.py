@@ -192,6 +192,23 @@ def test_resumed_chunks(spark, tmp_path):
     assert tuple(incremental.progress(times, 10).first()) == (7, 70, 1500.0)
 
 
+def test_jobs_do_not_grow_with_the_waves(spark, tmp_path):
+    df, table, seen = synthetic.users(spark, 400), str(tmp_path / "chunks"), []
+
+    def make(part):
+        seen.append(1)
+        if len(seen) == 3:
+            raise RuntimeError("broken off")
+        return load.outcomes(part, chunk_size=10)
+
+    with pytest.raises(RuntimeError, match="broken off"):
+        incremental.process_chunks(df, 10, table, make, wave=1)
+    assert incremental.chunk_ledger(spark, table).count() == 6  # of 40 waves, three a job
+    made = incremental.process_chunks(df, 10, table, make, wave=1)
+    assert len(seen) == 3 + 12 and incremental._runs([0, 1, 2, 5, 6, 7, 8], 3) == [(0, 2), (5, 7), (8, 8)]
+    assert {r.runs for r in made.collect()} == {1} and load.total_of_chunks(made).first() == load.summary(load.outcomes(df, chunk_size=10)).first()
+
+
 def test_two_runs_at_once_count_each_chunk_once(spark, tmp_path):
     df, table = synthetic.users(spark, 60), str(tmp_path / "chunks")
     other = []
