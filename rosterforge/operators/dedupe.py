@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons, text
 from ..schema import RECORD, with_known_columns
+from ..sinks.calls import stored
 from .ordering import first_non_blank
 
 # Fields that are filled from later rows.
@@ -63,7 +64,7 @@ def merge_metadata(rows: DataFrame) -> DataFrame:
 def conflict_values(df: DataFrame) -> DataFrame:
     """(email_key, field, value, at, strategy): the different filled values of each field in which rows of one email differ, and the row where each is first. One row a value, however many an email has.
 
-    Metadata fields are metadata.<key>, their values JSON texts: the first that is not empty and whatever differs from it in later rows.
+    Metadata fields are metadata.<key>, their values JSON texts: the first that is not empty and whatever differs from it in later rows. Rows are parsed twice, here; the frame that is given reads tables of distinct values.
     """
     rows = grouped(df)
     fields = [F.struct(F.lit(c).alias("field"), text.filled(F.col(c)).alias("value"), F.lit("first-non-empty").alias("strategy")) for c in FILLED]
@@ -72,13 +73,14 @@ def conflict_values(df: DataFrame) -> DataFrame:
     entries = metadata_entries(rows).select("email_key", RECORD, F.concat(F.lit("metadata."), "key").alias("field"), "value", F.lit("first-occurrence").alias("strategy"))
     every = long.unionByName(entries)
     key = ["email_key", "field", "strategy"]
-    firsts = every.groupBy(*key, "value").agg(F.min(RECORD).alias("first"), F.max(RECORD).alias("last"))
+    firsts = stored(every.groupBy(*key, "value").agg(F.min(RECORD).alias("first"), F.max(RECORD).alias("last")), "conflict-firsts")
     counted = F.when((F.col("strategy") != "first-occurrence") | ~jsons.is_empty_token(F.col("value")), F.col("first"))
     stats = firsts.groupBy(*key).agg(F.count("*").alias("n"), F.min(counted).alias("begin")).where("n > 1 AND begin IS NOT NULL")
     open_ = firsts.join(stats, key).where(F.col("last") >= F.col("begin"))
     # an empty metadata value may come before the first that counts, and again after it: then its place is the later one
     early = open_.where(F.col("first") < F.col("begin")).select(*key, "value", "begin")
-    again = early.join(entries.where(jsons.is_empty_token(F.col("value"))), [*key, "value"]).where(F.col(RECORD) > F.col("begin")).groupBy(*key, "value").agg(F.min(RECORD).alias("at"))
+    later = early.join(entries.where(jsons.is_empty_token(F.col("value"))), [*key, "value"]).where(F.col(RECORD) > F.col("begin")).groupBy(*key, "value").agg(F.min(RECORD).alias("at"))
+    again = stored(later, "conflict-again")
     placed = open_.where(F.col("first") >= F.col("begin")).select(*key, "value", F.col("first").alias("at")).unionByName(again)
     several = placed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
     return placed.join(several, key).select("email_key", "field", "value", "at", "strategy")

@@ -91,6 +91,13 @@ def test_merged_metadata_keeps_types_and_order(spark):
     assert (made["b@x.com"], made["c@x.com"], made["d@x.com"]) == (' {"n": 1, "t" : true }', "no json", '{"k":""}')
 
 
+def test_conflicts_do_not_parse_rows_for_every_step(spark):
+    df = spark.createDataFrame([(1, "a@x", '{"k":1}'), (2, "a@x", '{"k":2}')], "record_number long, email string, metadata string")
+    made = dedupe.conflict_values(df)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and sorted((r.field, r.value) for r in made.collect()) == [("metadata.k", "1"), ("metadata.k", "2")]
+
+
 def test_metadata_conflicts_begin_at_the_first_value(spark):
     """An empty value before it is none, after it is; the text "0" is a value."""
     each = ("0", "5", "0", '"5"', "5", "null", "0")
