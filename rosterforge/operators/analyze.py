@@ -17,8 +17,14 @@ def _status(low: int, high: int | None = None) -> Column:
     return (s >= low) & (s < high) if high else s >= low
 
 
+#: What classify() and with_groups() add.
+CLASSES, GROUPED = ("retry_reason", "retryable", "retry_type", "retry_delay_ms"), ("pattern", "group_id")
+
+
 def classify(df: DataFrame) -> DataFrame:
-    """df with retryable, retry_reason, retry_type and retry_delay_ms. The first case that fits decides: a rate limit, then what the error's type tells, then the status alone."""
+    """df with retryable, retry_reason, retry_type and retry_delay_ms. The first case that fits decides: a rate limit, then what the error's type tells, then the status alone. Errors that have all these columns stay as they are."""
+    if set(CLASSES) <= set(df.columns):
+        return df
     kind, status = F.col("errorType"), F.coalesce("httpStatus", F.lit(0))
     org, user = kind == "org_resolution", kind == "user_create"
     member = (kind == "membership_create") & (F.coalesce("userId", F.lit("")) != "")
@@ -56,7 +62,9 @@ def severity(kind: Column, status: Column, retryable: Column) -> Column:
 
 
 def with_groups(df: DataFrame) -> DataFrame:
-    """Classified errors with pattern and group_id."""
+    """Classified errors with pattern and group_id; those that have them all stay as they are."""
+    if {*CLASSES, *GROUPED} <= set(df.columns):
+        return df
     return classify(df).withColumn("pattern", text.message_pattern(F.col("errorMessage"))).withColumn("group_id", group_id(F.col("pattern"), F.col("errorType"), F.col("httpStatus")))
 
 

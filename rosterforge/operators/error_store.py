@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sinks.calls import stored
 from ..sources.files import input_digest
 from . import analyze
 
@@ -38,6 +39,8 @@ def add_log(errors: DataFrame, folder: str, order: str = "line", buckets: int =
     if not logs.where(F.col("digest") == digest).isEmpty():
         return False
     log = (logs.agg(F.max("log")).first()[0] or 0) + 1
+    has_row = F.when(F.col("rawRow").isNotNull(), F.lit(True)).alias("rawRow")  # what rows hold is not kept
+    errors = stored(analyze.with_groups(errors).select(order, "email", "userId", "errorType", "httpStatus", has_row, *analyze.CLASSES, *analyze.GROUPED), "classed-errors")  # classed once, for six tables
     one = analyze.retryability(errors).select(F.lit(digest).alias("digest"), F.col("total_errors").alias("total"), F.col("retryable_errors").alias("retryable"), F.col("non_retryable_errors").alias("non_retryable"))
     made = {
         "groups": analyze.groups(errors, order), "examples": analyze.examples(errors, order).select("group_id", F.explode("records").alias("at")), "emails": analyze.first_emails(errors, order),

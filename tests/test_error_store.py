@@ -49,3 +49,9 @@ def test_a_log_that_was_not_added_as_a_whole_does_not_count(spark, tmp_path):
     assert listed(error_store.groups(spark, folder)) == before
     assert error_store.add_log(log(spark, 3), folder) and error_store.retryability(spark, folder).first().total_errors == 240
     assert error_store.groups(spark, folder).agg(F.sum("count")).first()[0] == 240
+
+
+def test_a_log_is_classed_once(spark, tmp_path, monkeypatch):
+    seen, pattern = [], analyze.text.message_pattern
+    monkeypatch.setattr(analyze.text, "message_pattern", lambda c: seen.append(1) or pattern(c))
+    assert error_store.add_log(log(spark, 9), str(tmp_path / "once"), "line") and len(seen) == 1
