@@ -306,6 +306,27 @@ def test_classifier_learns_from_every_trusted_text(spark):
     assert np.array_equal(model, quality_model.kneser_ney(docs.select("text")))
 
 
+def test_texts_that_are_not_trusted_stay_where_they_are(spark):
+    """With more trusted ids than Spark broadcasts, only what is trusted is dealt out, and all of that is learned from."""
+    docs = spark.range(2000).selectExpr("id * 7 - 5000 AS doc_id", "concat_ws(' ', transform(sequence(1, 100), k -> sha2(concat(id, ' ', k), 256))) AS text", "'en' AS lang").localCheckpoint()
+    trusted = docs.where("doc_id % 20 = 0")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        store, jvm = spark._jsc.sc().statusStore(), spark._jvm
+        shuffled = lambda: sum(s.shuffleWriteBytes() for s in jvm.scala.collection.JavaConverters.seqAsJavaList(store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), None)))
+        already = shuffled()
+        found = quality_model.texts_of(docs, trusted.select("doc_id")).collect()
+        moved = shuffled() - already
+        _, model, _, _ = quality_model.learned(docs, trusted.selectExpr("doc_id", "1 AS quality"))
+        in_all = shuffled() - already - moved
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in trusted.collect())
+    assert 0 < moved < 2000 * 6500 / 10 and 0 < in_all < 2000 * 6500 / 4, (moved, in_all)
+    assert np.array_equal(model, quality_model.kneser_ney(trusted.select("text")))
+
+
 def test_classifier(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     known = {r.doc_id: r.quality for r in labels.collect()}
