@@ -1,19 +1,23 @@
 """A small causal self-attention model of symbols in numpy: scores of blocks of positions, and their gradients.
 
-A symbol is a byte or one of the most frequent subwords. The next symbol's class comes from attention over the symbols so far, added to
-the log share that the class has after the last symbol; within its class the symbol has the share that it has after the last symbol. Queries, keys and values
-are rows of tables by symbol, so a position costs some look-ups and the small products of attention itself.
+A symbol is a byte or one of the most frequent subwords. The next symbol's group of classes, and its class within the group, come from attention over the symbols so far, added to
+the log shares that they have after the last symbol; within its class the symbol has the share that it has after the last symbol. So a position is normalised over the groups and over the classes of
+one, not over all classes. Queries, keys and values are rows of tables by symbol, so a position costs some look-ups and the small products of attention itself.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
 #: The first OPENING classes hold the symbols that begin a word, and END; the others those that go on with one.
-WIDTH, CLASSES, OPENING = 16, 128, 64
+WIDTH, CLASSES, OPENING = 16, 256, 128
+#: Classes are in PER groups of PER that follow each other, either all of opening classes or all of others. A choice is among groups (the first) or among the classes of a group.
+PER = 16
+CHOICES = 1 + CLASSES // PER
 #: Positions are scored in blocks of STEP; a window is a block and the one before it, so windows overlap and each position is scored once.
 STEP = 16
 #: Blocks worked on at a time.
@@ -25,8 +29,8 @@ END, BYTES = 0, 256
 
 @dataclass
 class Model:
-    """Tables of a model over n symbols: query, key, value (n x WIDTH), near (2 STEP, by distance), out (WIDTH x CLASSES), and those fixed by counts:
-    after (n x CLASSES, log share of a class after a symbol), inside (n x n, log share of a symbol within its class after another) and classes (n)."""
+    """Tables of a model over n symbols: query, key, value (n x WIDTH), near (2 STEP, by distance), out (CHOICES x WIDTH x PER), and those fixed by counts:
+    after (n x CHOICES x PER, log share of a group after a symbol, and of a class within its group), inside (n x n, log share of a symbol within its class after another) and classes (n)."""
 
     query: np.ndarray
     key: np.ndarray
@@ -48,7 +52,7 @@ def start(after: np.ndarray, inside: np.ndarray, classes: np.ndarray, seed: int
     rng, n = np.random.default_rng(seed), len(classes)
     table = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     near = -0.1 * np.arange(2 * STEP, dtype=np.float32)
-    return Model(table(n, WIDTH), table(n, WIDTH), table(n, WIDTH), near, np.zeros((WIDTH, CLASSES), np.float32), after, inside, classes)
+    return Model(table(n, WIDTH), table(n, WIDTH), table(n, WIDTH), near, np.zeros((CHOICES, WIDTH, PER), np.float32), after, inside, classes)
 
 
 #: From a query back to a key of its window; keys after the query are not seen.
@@ -61,7 +65,7 @@ def blocks(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     blocks begin a sequence, and the first block of each sequence."""
     counts = np.array([-(-(len(s) - 1) // STEP) for s in sequences])
     begins = np.cumsum(counts) - counts
-    last, then = np.zeros(counts.sum() * STEP, np.int32), np.full(counts.sum() * STEP, -1, np.int32)
+    last, then = np.zeros(counts.sum() * STEP, np.intp), np.full(counts.sum() * STEP, -1, np.intp)
     for s, b in zip(sequences, (begins * STEP).tolist(), strict=True):
         last[b : b + len(s) - 1], then[b : b + len(s) - 1] = s[:-1], s[1:]
     first = np.zeros(counts.sum(), bool)
@@ -70,69 +74,104 @@ def blocks(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def attend(m: Model, last: np.ndarray, before: np.ndarray, first: np.ndarray):
-    """Attention of each block's positions over its window: weights, not yet divided by their sums, and the symbols of the keys."""
-    seen = np.concatenate([before, last], axis=1)
-    weights = (m.query * np.float32(WIDTH**-0.5))[last] @ m.key[seen].transpose(0, 2, 1)
+    """Attention of each block's positions over its window: weights, not yet divided by their sums, the queries, and the keys and values of the window."""
+    queries = (m.query * m.query.dtype.type(WIDTH**-0.5)).take(last, axis=0)
+    seen = np.concatenate([m.key, m.value], axis=1).take(np.concatenate([before, last], axis=1), axis=0)
+    keys, values = seen[:, :, :WIDTH], seen[:, :, WIDTH:]
+    weights = queries @ keys.transpose(0, 2, 1)
     weights += m.near[np.maximum(DISTANCE, 0)] + HIDDEN
     np.minimum(weights, 30, out=weights)
     np.exp(weights, out=weights)
     weights[first, :, :STEP] = 0
-    return weights, seen
+    return weights, queries, keys, values
+
+
+def rows(table: np.ndarray) -> np.ndarray:
+    """The sums of rows, as a column."""
+    return table @ np.ones((table.shape[-1], 1), table.dtype)
+
+
+def by_group(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """The order of positions by the groups of their classes, the classes in that order, and (choice, begin, end) of each group that is there."""
+    order = np.argsort((classes // PER).astype(np.uint8), kind="stable")
+    classes = classes[order]
+    ends = np.searchsorted(classes // PER, np.arange(CHOICES))
+    return order, classes, [(k, a, b) for k, (a, b) in enumerate(itertools.pairwise(ends.tolist()), 1) if b > a]
+
+
+def logits(m: Model, flat: np.ndarray, x: np.ndarray, own: np.ndarray, there: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of positions by group: those of all groups, and those of the classes of its own. flat: what attention reads, x: last symbols, own: classes."""
+    after = m.after.reshape(-1, PER)
+    at = x * CHOICES
+    groups = flat @ m.out[0]
+    groups += after.take(at, axis=0)
+    at += own // PER + 1
+    classes = after.take(at, axis=0)
+    for k, a, b in there:
+        classes[a:b] += flat[a:b] @ m.out[k]
+    return groups, classes
 
 
 def scored(m: Model, last: np.ndarray, then: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Log probability of the next symbol, by block and position; without meaning where there is none."""
     out = np.zeros(last.shape)
-    with_sum = np.concatenate([m.value, np.ones((len(m.value), 1), np.float32)], axis=1)  # its last column adds up the weights
-    ones = np.ones(CLASSES, np.float32)
     for a in range(0, len(last), BATCH):
         now, to = last[a : a + BATCH], then[a : a + BATCH]
-        before = last[np.maximum(np.arange(a, a + len(now)) - 1, 0)]
-        weights, seen = attend(m, now, before, first[a : a + BATCH])
-        read = (weights @ with_sum[seen]).reshape(-1, WIDTH + 1)
-        x, y = now.ravel(), np.maximum(to.ravel(), 0)
-        logits = (read[:, :WIDTH] / read[:, WIDTH:]) @ m.out
-        logits += m.after[x]
-        chosen = logits[np.arange(len(x)), m.classes[y]]
-        np.exp(logits, out=logits)
-        out[a : a + BATCH] = (chosen - np.log(logits @ ones) + m.inside[x, y]).reshape(now.shape)
+        weights, _, _, values = attend(m, now, last[np.maximum(np.arange(a, a + len(now)) - 1, 0)], first[a : a + BATCH])
+        read = weights @ values
+        read /= rows(weights)
+        y = np.maximum(to.ravel(), 0)
+        order, own, there = by_group(m.classes[y])
+        x, y, at = now.ravel()[order], y[order], np.arange(len(order))
+        groups, classes = logits(m, read.reshape(-1, WIDTH)[order], x, own, there)
+        p = groups[at, own // PER] + classes[at, own % PER] + m.inside[x, y]
+        p -= np.log(rows(np.exp(groups, out=groups)) * rows(np.exp(classes, out=classes)))[:, 0]
+        out[a : a + BATCH].reshape(-1)[order] = p
     return out
 
 
 def gradients(m: Model, last: np.ndarray, then: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-    """Of the mean negative log probability of the classes, by LEARNED."""
-    before = last[np.maximum(np.arange(len(last)) - 1, 0)]
-    weights, seen = attend(m, last, before, first)
-    values = m.value[seen]
-    weights /= (weights @ np.ones((2 * STEP, 1), weights.dtype))
+    """Of the mean negative log probability of groups and classes, by LEARNED."""
+    weights, queries, keys, values = attend(m, last, last[np.maximum(np.arange(len(last)) - 1, 0)], first)
+    weights /= rows(weights)
     read = weights @ values
-    x, y = last.ravel(), np.maximum(then.ravel(), 0)
     flat = read.reshape(-1, WIDTH)
-    d = flat @ m.out
-    d += m.after[x]
-    np.exp(d, out=d)
-    d /= (d @ np.ones((CLASSES, 1), d.dtype)) * d.dtype.type(max(1, int((then >= 0).sum())))
-    d[np.arange(len(x)), m.classes[y]] -= d.dtype.type(1 / max(1, int((then >= 0).sum())))
-    d[then.ravel() < 0] = 0
-    d_flat = d @ m.out.T
+    x, y = last.ravel(), then.ravel()
+    order, own, there = by_group(m.classes[np.maximum(y, 0)])
+    at, none, share = np.arange(len(x)), np.flatnonzero(y[order] < 0), flat.dtype.type(1 / max(1, int((y >= 0).sum())))
+    ordered = flat[order]
+    d_groups, d_classes = logits(m, ordered, x[order], own, there)
+    for d, chosen in ((d_groups, own // PER), (d_classes, own % PER)):
+        np.exp(d, out=d)
+        d *= share / rows(d)
+        d[at, chosen] -= share
+        d[none] = 0
+    d_out = np.zeros_like(m.out)
+    d_out[0] = ordered.T @ d_groups
+    d_ordered = d_groups @ m.out[0].T
+    for k, a, b in there:
+        d_out[k] = ordered[a:b].T @ d_classes[a:b]
+        d_ordered[a:b] += d_classes[a:b] @ m.out[k].T
+    d_flat = np.empty_like(d_ordered)
+    d_flat[order] = d_ordered
     d_read = d_flat.reshape(read.shape)
     d_scores = d_read @ values.transpose(0, 2, 1)
     d_scores -= np.einsum("ij,ij->i", d_flat, flat).reshape(*last.shape, 1)
     d_scores *= weights
-    scaled = d_scores * np.float32(WIDTH**-0.5)
-    def to_keys(d_window: np.ndarray) -> np.ndarray:
-        """Of what windows give their keys: by position. A block's keys are those of the next block's window too, unless that begins a sequence (it gives nothing then)."""
-        own = d_window[:, STEP:].copy()
-        own[:-1] += d_window[1:, :STEP]
-        return own
-
-    by_position = np.concatenate([scaled @ m.key[seen], to_keys(scaled.transpose(0, 2, 1) @ m.query[last]), to_keys(weights.transpose(0, 2, 1) @ d_read)], axis=2).reshape(-1, 3 * WIDTH)
-    order = np.argsort(x.astype(np.uint16) if len(m.query) <= 1 << 16 else x, kind="stable")
-    begins = np.flatnonzero(np.diff(x[order], prepend=-1))
+    by_position = np.empty((*last.shape, 3 * WIDTH), flat.dtype)
+    by_position[:, :, :WIDTH] = d_scores @ keys
+    by_position[:, :, :WIDTH] *= flat.dtype.type(WIDTH**-0.5)
+    for part, d_window in ((by_position[:, :, WIDTH : 2 * WIDTH], d_scores.transpose(0, 2, 1) @ queries), (by_position[:, :, 2 * WIDTH :], weights.transpose(0, 2, 1) @ d_read)):
+        # of what windows give their keys; a block's keys are those of the next block's window too, unless that begins a sequence (it gives nothing then)
+        part[:] = d_window[:, STEP:]
+        part[:-1] += d_window[1:, :STEP]
+    by_symbol = np.argsort(x.astype(np.uint16) if len(m.query) <= 1 << 16 else x, kind="stable")
+    x = x[by_symbol]
+    begins = np.flatnonzero(np.diff(x, prepend=-1))
     tables = np.zeros((len(m.query), 3 * WIDTH), m.query.dtype)
-    tables[x[order][begins]] = np.add.reduceat(by_position[order], begins)
+    tables[x[begins]] = np.add.reduceat(by_position.reshape(-1, 3 * WIDTH).take(by_symbol, axis=0), begins)
     near = np.bincount(np.maximum(DISTANCE, 0).ravel(), weights=d_scores.sum(axis=0).ravel(), minlength=2 * STEP).astype(np.float32)
-    return [*np.split(tables, 3, axis=1), near, flat.T @ d]
+    return [*np.split(tables, 3, axis=1), near, d_out]
 
 
 def pieces(sequence: np.ndarray, longest: int = LONGEST) -> Iterator[tuple[np.ndarray, bool]]:
@@ -161,9 +200,18 @@ def descend(m: Model, batches: Iterable[list[tuple[np.ndarray, bool]]], rate: fl
         last, then, first, begins = blocks([s for s, _ in parts])
         then[begins[[goes_on for _, goes_on in parts]]] = -1
         for t, g, (one, two) in zip(m.learned(), gradients(m, last, then, first), moments, strict=True):
-            one += 0.1 * (g - one)
-            two += 0.01 * (g * g - two)
-            t -= (rate * one / (1 - 0.9**step) / (np.sqrt(two / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            one *= 0.9
+            one += 0.1 * g
+            two *= 0.99
+            by = g * g
+            by *= 0.01
+            two += by
+            np.sqrt(two, out=by)
+            by *= (1 - 0.99**step) ** -0.5
+            by += 1e-8
+            np.divide(one, by, out=by)
+            by *= rate / (1 - 0.9**step)
+            t -= by
 
 
 def learn(m: Model, sequences: list[np.ndarray], rate: float, batch: int = 16) -> None:

@@ -12,16 +12,16 @@ import functools
 import itertools
 import math
 import zlib
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .attention import BYTES, CLASSES, END, OPENING, Model, blocks, descend, gathered, pieces, scored, start
+from .attention import BYTES, CHOICES, CLASSES, END, OPENING, PER, Model, blocks, descend, gathered, pieces, scored, start
 from .bpe import Remembered
 from .common import documents, whole, written
 
@@ -93,24 +93,25 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(str(doc_id).encode()) % FOLDS == 0
 
 
-def word_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
-    """(word, c) of a column text, an end per text among them. Each task counts what it has read before anything is shuffled."""
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, as words_of() has them, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at a text's begin or end leaves an empty piece
+    upto = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return flat.filter(real).cast(pa.binary()), np.diff(upto[ends])
 
-    def run(batches):
-        seen: Counter = Counter()
 
-        def rows():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, c) of a column text, an end per text among them. Each task counts what it has read before anything is shuffled."""
 
+    def run(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(words_of(text))
-                seen[STOP] += 1
-                if len(seen) > most:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
+            for a in range(0, batch.num_rows, 2500):
+                texts = batch.column(0).slice(a, 2500)
+                seen = words_in(texts)[0].value_counts()
+                yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array([STOP], pa.binary()), pa.array([len(texts)], pa.int64())], ["word", "c"])
 
     return train.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -190,7 +191,10 @@ def shares(after: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray
     for k in range(CLASSES):
         by_class[:, k] = p[:, classes == k].sum(axis=1)
     inside = np.log(p) - np.log(by_class[:, classes])
-    return np.log(np.maximum(by_class, 1e-30)).astype(np.float32), inside.astype(np.float32), classes
+    by_class = np.maximum(by_class, 1e-30).reshape(n, CHOICES - 1, PER)
+    by_group = by_class.sum(axis=2)
+    after = np.log(np.concatenate([by_group[:, None], by_class / by_group[:, :, None]], axis=1))
+    return after.astype(np.float32), inside.astype(np.float32), classes
 
 
 def text_scores(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -286,21 +290,29 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     def spelled(batches):
         head, letters = known.value, alphabet(tuple(chosen), path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 250):
-                part = batch.slice(a, 250)
-                split = [[*words_of(t), STOP] for t in part.column(1).to_pylist()]
-                sizes = np.array([len(ws) for ws in split])
-                begins = np.cumsum(sizes) - sizes
-                flat = [w for ws in split for w in ws]
-                c = np.fromiter(map(head.get, flat, itertools.repeat(0)), np.int64, len(flat))
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                words, sizes = words_in(part.column(1))
+                seen = words.dictionary_encode()  # each different word is looked up once
+                different = [*seen.dictionary.to_pylist(), STOP]
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                begins = ends - sizes
+                own = np.full(ends[-1], len(different) - 1)  # each text's last one is an end
+                of_word = np.ones(len(own), bool)
+                of_word[ends - 1] = False
+                own[of_word] = seen.indices.to_numpy()
+                c = np.fromiter(map(head.get, different, itertools.repeat(0)), np.int64, len(different))[own]
                 base = np.where(c > 0, np.log10(c + 0.1) - least, 0.0)
                 rare = np.flatnonzero(c == 0)
-                ends = np.searchsorted(rare, np.concatenate([begins, [len(flat)]])).astype(np.int32)
+                spelling = pa.array([*map(letters.words.__getitem__, different[:-1]), b""], pa.large_binary()).take(pa.array(own))
+                at = np.frombuffer(spelling.buffers()[1], np.int64)[np.append(begins, ends[-1])]
+                symbols = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(at), spelling.buffers()[2]]).cast(pa.binary())
+                upto = np.searchsorted(rare, np.append(begins, ends[-1])).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0), pa.array([held_out(i) for i in part.column(0).to_pylist()], pa.bool_()), pa.array(sizes),
-                        pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)), pa.array(np.add.reduceat(base, begins)),
-                        pa.array([letters.spell(ws[:-1]) for ws in split], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array([flat[k] for k in rare.tolist()], pa.binary())),
+                        part.column(0), pa.array([held_out(i) for i in part.column(0).to_pylist()], pa.bool_()), pa.array(sizes), pa.array(np.add.reduceat((c > 0).astype(np.int64), begins)),
+                        pa.array(np.add.reduceat(base, begins)), symbols, pa.ListArray.from_arrays(pa.array(upto), pa.array(different, pa.binary()).take(pa.array(own[rare]))),
                     ],
                     ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "symbols", "rare"],
                 )

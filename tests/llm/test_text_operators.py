@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from brute import SF, TABLE, WORD, documents, jaccard_links, table, words
@@ -516,6 +517,23 @@ def test_every_symbol_is_learned_from_once(spark, monkeypatch, tmp_path):
     assert all(np.allclose(a, b) for a, b in zip(made.learned(), model.learned(), strict=True))
 
 
+def test_words_of_a_column_are_those_of_its_texts():
+    texts = [t or "" for t in ODD[:5]] + ["\x0b\x0ca B\x1c\x1fc ", " w " * 3, "\x00 \x00A É"]
+    words, sizes = language_model.words_in(pa.array(texts))
+    assert words.to_pylist() == [w for t in texts for w in language_model.words_of(t)] and sizes.tolist() == [len(language_model.words_of(t)) for t in texts]
+
+
+def test_a_position_is_normalised_over_the_groups_and_one_of_them():
+    m, rng = small_model(600)
+    m.out[:] = rng.standard_normal(m.out.shape) * 0.5
+    last, then, first, _ = attention.blocks([np.concatenate([[0], rng.integers(1, 600, 10)]).astype(np.int32)])
+    total = sum(np.exp(attention.scored(m, last, np.where(then >= 0, y, -1), first)) for y in range(600))
+    assert np.allclose(total[then >= 0], 1, atol=1e-3)
+    order, own, there = attention.by_group(m.classes[rng.integers(0, 600, 50)])
+    made = attention.logits(m, np.zeros((50, attention.WIDTH), np.float32), np.zeros(50, np.intp), own, there)
+    assert sum(x.shape[1] for x in made) == 2 * attention.PER < attention.CLASSES / 4
+
+
 def small_model(n=8):
     rng = np.random.default_rng(1)
     after = rng.random((n, n)) * 30
