@@ -495,6 +495,50 @@ def test_symbols_are_counted_over_whole_texts(spark):
     assert (found == expected).all()
 
 
+def test_frequent_pairs_of_subwords_are_one_symbol(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.coalesce("text", F.lit("")).alias("text"))
+    texts = [language_model.words_of(r.text) for r in docs.collect()]
+    enc = language_model.subwords(RANKS)
+    ids = {w: language_model.subword_ids([w], RANKS).tolist() for t in texts for w in t}
+    saved = Counter()
+    for w in itertools.chain.from_iterable(texts):
+        for i in ids[w]:
+            saved[i] += len(enc.decode_single_token_bytes(i)) - 1
+        for a, b in itertools.pairwise(ids[w]):
+            saved[enc.n_vocab * (a + 1) + b] += 1
+    chosen = language_model.frequent_units(language_model.word_counts(docs), RANKS, 700)
+    assert chosen == [i for i, c in sorted(saved.items(), key=lambda x: (-x[1], x[0])) if c > 0][:700]
+    assert any(i >= enc.n_vocab for i in chosen)
+    symbol = {i: 257 + k for k, i in enumerate(chosen)}
+
+    def by_hand(own):
+        made, k = [], 0
+        while k < len(own):
+            both = symbol.get(enc.n_vocab * (own[k] + 1) + own[k + 1]) if k + 1 < len(own) else None
+            made.extend([both] if both else [symbol[own[k]]] if own[k] in symbol else [1 + b for b in enc.decode_single_token_bytes(own[k])])
+            k += 1 + bool(both)
+        return made
+
+    monkeypatch.setattr(language_model, "KNOWN", 500)  # words are forgotten and asked for again
+    letters = language_model.Alphabet(chosen, RANKS)
+    for t in [*texts[:300], [], [b"\x1c", b"x\x85", "\u00a0".encode(), b"\xff", b"one", b"one"]]:
+        assert letters.sequence(t).tolist() == [0, *(s for w in t for s in by_hand(ids.get(w) or language_model.subword_ids([w], RANKS).tolist())), 0]
+    rows = language_model.score(spark.read.parquet(f"{SF}/documents.parquet")).agg(F.sum("n_symbols"), F.count("*")).first()
+    assert rows[0] - rows[1] < 0.9 * sum(len(ids[w]) for t in texts for w in t)
+
+
+def test_memory_used_again_gives_the_same_steps():
+    m, rng = small_model()
+    m.out[:] = rng.standard_normal(m.out.shape) * 0.3
+    room = attention.Room()
+    for lengths in ((90, 3, 40), (5,), (200, 17)):  # a smaller batch after a larger one, and a larger one again
+        batch = attention.blocks([np.concatenate([[0], rng.integers(1, 8, n)]).astype(np.int32) for n in lengths])[:3]
+        made = [t.copy() for t in attention.steps(m, attention.side_by_side(m), *batch, room)]
+        tables, *others = made
+        assert all(np.array_equal(a, b) for a, b in zip(attention.gradients(m, *batch), [*np.split(tables, 3, axis=1), *others], strict=True))
+        assert np.array_equal(attention.scored(m, *batch, room), attention.scored(m, *batch))
+
+
 def test_every_symbol_is_learned_from_once(spark, monkeypatch, tmp_path):
     rng = random.Random(4)
     texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([0, 5, 600, 9000]))) + str(k) for k in range(40)]
